@@ -214,3 +214,9 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, and kept for the smallest doc_id of each component."""
     return classes(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows, as they are, of the smallest doc_id of each component."""
+    late = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
