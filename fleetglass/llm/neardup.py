@@ -2,14 +2,15 @@
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Documents with equal sets form one class and
 only the smallest doc_id of a class goes on. Its sketch has one register for each of 128 buckets: the leading zeros of the
-smallest hash there and ten bits after them. Empty buckets borrow from the next filled one. Bands of four registers name
-candidates; the sketches' agreement, corrected for chance collisions, discards the hopeless, and the rest are confirmed on
-full sets.
+smallest hash there and ten bits after them. Empty buckets borrow from the next filled one, and say so in a bit, for
+banding: bands of four registers name candidates. The agreement of own registers, corrected for chance collisions, discards
+the hopeless, and the rest are confirmed on full sets.
 
 Inside a band's bucket no list of all pairs is made. First every member meets the bucket's smallest one. What these links
-join is one component; later rounds look only at buckets whose members still lie in different components, deal them into
-blocks of bounded size and compare sketches inside a task, so only pairs that may be links leave it. Those are confirmed in
-full as well, so no link is given up for the size of a bucket.
+join is one component; the rest of the work looks only at buckets whose members still lie in different components. These
+are dealt into blocks of bounded size whose sketches are compared inside a task. Documents that may be linked across
+components form a family, whose full sets are compared in blocks too; only links that join two components leave the task.
+So no link is given up for the size of a bucket, and no table of pairs grows with its square.
 
 Null texts and texts without words have the empty set, class of their own, and no links. Rows of equal doc_id count as one
 document with the union of their links. Rows with null doc_id are classes of their own without links: component_id null,
@@ -32,8 +33,9 @@ WIDTH = 5
 REGISTER_BITS = 7
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
+BORROWED = 1 << 15
 BAND = 4
-BLOCK = 256
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -54,28 +56,34 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
 
 
 def registers(found: np.ndarray) -> np.ndarray:
-    """The sketch of a sorted set: in each bucket leading zeros and mantissa of the smallest rest, packed in 16 bits."""
+    """The sketch of a sorted set: in each bucket leading zeros and mantissa of the smallest rest, packed in 15 bits."""
     bucket = (found >> np.uint64(64 - REGISTER_BITS)).astype(np.int64)
     first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     filled, rest = bucket[first], found[first] << np.uint64(REGISTER_BITS)
     top = (rest >> np.uint64(12)).astype(np.float64)  # 52 bits, exact
-    zeros = np.minimum(52 - np.frexp(top)[1], 62).astype(np.int64)
+    zeros = np.minimum(52 - np.frexp(top)[1], 31).astype(np.int64)
     mantissa = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
     packed = (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa
-    owner = np.searchsorted(filled, np.arange(REGISTERS)) % len(filled)
-    return packed[owner].astype(np.uint16)
+    places = np.arange(REGISTERS)
+    owner = np.searchsorted(filled, places) % len(filled)
+    return packed[owner].astype(np.uint16) | np.where(filled[owner] == places, 0, BORROWED).astype(np.uint16)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates from sketches, less the share of registers that agree by chance."""
-    chance = 2.0 ** -(MANTISSA + 1)
-    return ((a == b).mean(axis=-1) - chance) / (1 - chance)
-
+def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches and set sizes may be similar enough.
 
-def hopeless_below(smaller: np.ndarray, percent: int) -> np.ndarray:
-    """An estimate below this rules a link out: five deviations under the threshold; tiny sets are never ruled out."""
-    cut = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / np.minimum(REGISTERS, np.maximum(smaller, 1) / 2))
-    return np.where(smaller < 32, -1.0, cut)
+    The estimate is the share of agreeing registers among those that either set fills, less chance agreements. It rules a
+    pair out only five deviations and two registers under the threshold; where the registers hold nearly all elements of
+    the union, as with small sets, the deviation is small.
+    """
+    own_a, own_b = a < BORROWED, b < BORROWED
+    seen = np.maximum((own_a | own_b).sum(axis=-1), 1)
+    chance = 2.0 ** -(MANTISSA + 1)
+    estimate = (((a == b) & own_a).sum(axis=-1) / seen - chance) / (1 - chance)
+    share = percent / 100
+    union = (n_a + n_b) / (1 + share)
+    deviation = np.sqrt(share * (1 - share) / seen * np.clip(1 - seen / union, 0, 1))
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (estimate >= share - 5 * deviation - 2 / seen)
 
 
 _SKETCH = "doc_id long, n_shingles long, print1 long, print2 long, sketch binary"
@@ -95,7 +103,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bands = REGISTERS // BAND
-        sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, bands, BAND).astype(np.uint64)
+        sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, bands, BAND).astype(np.uint64) & np.uint64(BORROWED - 1)
         key = np.full(sketch.shape[:2], 0, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
         for k in range(BAND):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, :, k])
@@ -112,13 +120,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set_a", 1 << 20):
-            good = []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            pairs = zip(batch["set_a"], batch["set_b"], strict=True)
+            good = [linked(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in p), percent) for p in pairs]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -133,39 +136,96 @@ def _hopeful(percent: int):
                 continue
             n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-            small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-            good = (100 * small >= percent * large) & (agreement(a, b) >= hopeless_below(small, percent))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(possible(a, b, n_a, n_b, percent)))
 
     return run
 
 
-def _across(percent: int):
-    """Inside one pair of blocks of a bucket: pairs from different components whose sketches allow a link."""
+class _Joined:
+    """Which of a task's documents are known to be connected."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        gone = np.unique(self.label[others])
+        self.label[np.isin(self.label, gone)] = self.label[i]
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of the first and of the second block, and whether both are the same block."""
+    within = table["left"][0].as_py() == table["right"][0].as_py()
+    side, every = table["side"].to_numpy(), np.arange(table.num_rows)
+    return (every, every, True) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)
+
+
+def _partners(percent: int):
+    """For the documents of a pair of blocks that may be linked to one in another component: one of those they hang with."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right, doc, comp, size = (table[c].to_numpy() for c in ("left", "right", "doc_id", "component", "n_shingles"))
-        side = table["side"].to_numpy()
+        one, two, within = _sides(table)
+        doc, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        within = bool(len(left) and left[0] == right[0])
-        one, two = (np.arange(len(doc)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        a, b = [], []
+        known, touched = _Joined(np.arange(len(doc))), np.zeros(len(doc), dtype=bool)
+        for i in one:
+            others = two[(comp[two] != comp[i]) & (known.label[two] != known.label[i]) & ((two > i) if within else True)]
+            others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+            if len(others) and len(others := others[possible(sketch[others], sketch[i], size[others], size[i], percent)]):
+                known.join(i, others)
+                touched[i] = touched[others] = True
+        root = np.full(len(doc), np.iinfo(np.int64).max)
+        np.minimum.at(root, known.label[touched], doc[touched])
+        return pa.table({"a": root[known.label[touched]], "b": doc[touched]})
+
+    return run
+
+
+def _links(percent: int):
+    """Inside a pair of blocks of a family: links on full sets that join two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one, two, within = _sides(table)
+        doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
+        size, sketch = np.array([len(x) for x in sets]), np.stack([registers(x) for x in sets])
+        known, a, b = _Joined(comp), [], []
         for i in one:
-            others = two[(comp[two] != comp[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i])) & ((two > i) if within else True)]
-            if len(others):
-                others = others[agreement(sketch[others], sketch[i]) >= hopeless_below(np.minimum(size[others], size[i]), percent)]
-                a.append(np.minimum(doc[others], doc[i]))
-                b.append(np.maximum(doc[others], doc[i]))
-        empty = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+            others = two[(known.label[two] != known.label[i]) & ((two > i) if within else True)]
+            others = others[possible(sketch[others], sketch[i], size[others], size[i], percent)] if len(others) else others
+            for k in others:
+                if known.label[k] != known.label[i] and linked(sets[i], sets[k], percent):
+                    known.join(i, np.array([k]))
+                    a.append(doc[i])
+                    b.append(doc[k])
+        return pa.table({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough of their union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of each key (with ``n``, the key's number of rows) dealt into pairs of blocks: left, right and side."""
+    blocks = rows.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    pairs = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    out = pairs.withColumn("left", F.least("_block", "_other")).withColumn("right", F.greatest("_block", "_other")).withColumn("side", (F.col("_block") > F.col("_other")).cast("int"))
+    return out.drop("n", "_blocks", "_block", "_other")
+
+
+def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc_id and ``set`` of the needed documents."""
+    return arrow_map(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), _sets, "doc_id long, set binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of doc_id whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = arrow_map(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), _sets, "doc_id long, set binary")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     return arrow_map(both.select("a", "b", "set_a", "set_b"), _confirmer(percent), "a long, b long")
@@ -191,19 +251,18 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = members.join(heads, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     hopeful = written(arrow_map(_with_sketches(stars, reps), _hopeful(percent), "a long, b long"), "pairs")
     links = written(confirmed(hopeful, docs, percent), "links")
-    tried, joined = hopeful, components(links)
+    joined = components(links)
     # buckets whose members still lie in different components
     placed = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2")
-    apart = placed.join(spread.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    apart = apart.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = apart.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "doc_id", "component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(reps, "doc_id")
-    more = dealt.groupBy("bucket", "left", "right").applyInArrow(_across(percent), "a long, b long").distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        joined = components(links.unionByName(written(confirmed(more, docs, percent), "links")))
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("bucket", "n")
+    apart = _dealt(placed.join(spread, "bucket")).join(reps, "doc_id")
+    hanging = components(written(apart.groupBy("bucket", "left", "right").applyInArrow(_partners(percent), "a long, b long").distinct(), "partners"))
+    families = written(hanging.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    if not families.isEmpty():
+        sized = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        whole = _dealt(sized.join(full_sets(docs, families.select("doc_id")), "doc_id"))
+        more = whole.groupBy("family", "left", "right").applyInArrow(_links(percent), "a long, b long")
+        joined = components(links.unionByName(written(more, "links")))
     component = reps.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     by_class = filled.groupBy(*alike).agg(F.min("doc_id").alias("_rep")).join(component.select(F.col("doc_id").alias("_rep"), F.coalesce("component", "doc_id").alias("_component")), "_rep")
     whole = facts.select("doc_id", *alike).join(by_class.drop("_rep"), alike, "left")
