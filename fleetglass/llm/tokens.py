@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 
 from .common import _SPACE, utf8
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 TOKEN_SLICE = 6 << 20
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -53,18 +54,38 @@ def chunks(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(bounds, offsets)
 
 
+class Recent(dict):
+    """A bounded cache: when it is full, what was not used since it was last full goes."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.older = entries, {}
+
+    def missing(self, keys: list) -> list:
+        """The keys not known; the others are in the cache until the next call."""
+        if len(self) > self.entries:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for k in keys:
+            if k not in self:
+                if (found := self.older.get(k)) is None:
+                    new.append(k)
+                else:
+                    self[k] = found
+        return new
+
+
 class Encoder:
     """Ids of the rows of string columns; ``encode`` takes distinct chunks and gives each one's ids as uint32 bytes."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
-        self.encode, self.entries, self.known = encode, entries, {}
+        self.encode, self.known = encode, Recent(entries)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, and where each row's begin (one more than rows)."""
         distinct, codes, row_at = chunks(column)
-        if new := [x for x in distinct if x not in self.known]:
-            if len(self.known) + len(new) > self.entries:
-                self.known, new = {}, distinct
+        if new := self.known.missing(distinct):
             self.known.update(zip(new, self.encode(new), strict=True))
         found = [self.known[x] for x in distinct]
         flat = np.frombuffer(b"".join(found), dtype="<u4")
@@ -90,7 +111,7 @@ def library_encoder(path: str) -> Encoder:
         def encode(texts: list[str]) -> list[bytes]:
             out = []
             for at in range(0, len(texts), 4096):
-                out += [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+                out += [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
             return out
 
         _encoders[path] = Encoder(encode)
