@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     if not got.num_rows:
         return None
     order = np.argsort([hash((int(y), len(i), int(i[0]) if len(i) else 0)) & 0xFFFFFFFF for y, i in zip(got["label"].to_pylist(), got["index"].to_pylist(), strict=True)], kind="stable")
-    index, value = [[np.asarray(x) for x in got[c].to_pylist()] for c in ("index", "value")]
+    index, value = [[np.asarray(x, dtype=kind) for x in got[c].to_pylist()] for c, kind in (("index", np.int64), ("value", np.float64))]
     return fit([index[i] for i in order], [value[i] for i in order], got["label"].to_numpy()[order])
 
 
