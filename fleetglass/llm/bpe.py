@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, slices, utf8
-from .tokens import TOKEN_SLICE, chunks
+from .tokens import TOKEN_SLICE, Recent, chunks
 
 #: A word's best pair as one number: rank times _PLACES plus position.
 _PLACES = 1 << 28
@@ -31,35 +31,33 @@ _CONTRACT = f"""
 WITH RECURSIVE step(word, round, pos, id) AS (
   SELECT word, 0, pos, id FROM seed
   UNION ALL
-  SELECT word, round + 1, CASE WHEN pos > best % {_PLACES} THEN pos - 1 ELSE pos END, CASE WHEN pos = best % {_PLACES} THEN best // {_PLACES} ELSE id END
-  FROM (
-    SELECT p.word, p.round, p.pos, p.id, min(m.rank * {_PLACES} + p.pos) OVER (PARTITION BY p.word) AS best
-    FROM (SELECT word, round, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM step) p
-    LEFT JOIN merges m ON m.pair = p.id * 65536 + p.next)
-  WHERE best IS NOT NULL AND pos <> best % {_PLACES} + 1),
+  SELECT s.word, s.round + 1, CASE WHEN s.pos > b.best % {_PLACES} THEN s.pos - 1 ELSE s.pos END, CASE WHEN s.pos = b.best % {_PLACES} THEN (b.best // {_PLACES})::INT ELSE s.id END
+  FROM step s JOIN (
+    SELECT p.word, min(m.rank * {_PLACES} + p.pos) AS best
+    FROM step p JOIN step q ON q.word = p.word AND q.pos = p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 65536 + q.id
+    GROUP BY p.word) b ON s.word = b.word
+  WHERE s.pos <> b.best % {_PLACES} + 1),
 last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
 SELECT s.word, s.pos, s.id FROM step s JOIN last l ON s.word = l.word AND s.round = l.round
 """
-_DECODE = """
-SELECT t.word, string_agg(t.id::VARCHAR, ' ' ORDER BY t.pos) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word ORDER BY t.word
-"""
+#: For each word its ids and their bytes in hex, in turns.
+_DECODE = "SELECT t.word, string_agg(v.piece, ' ' ORDER BY t.pos) AS pieces FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.word"
 
 
 class Bpe:
     """Encodes and decodes distinct words in an in-memory DuckDB with one thread."""
 
-    def __init__(self, path: str, pattern: str, entries: int = 200_000):
+    def __init__(self, path: str, pattern: str, entries: int = 250_000):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         pairs = [(ranks[w[:k]] * 65536 + ranks[w[k:]], rank) for w, rank in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         self._load("merges", {"pair": np.array([p for p, _ in pairs], dtype=np.int64), "rank": np.array([r for _, r in pairs], dtype=np.int64)})
-        self._load("vocabulary", {"id": np.array(list(ranks.values()), dtype=np.int64), "hex": [w.hex() for w in ranks]})
-        self.ranks, self.pattern, self.entries = ranks, regex.compile(pattern), entries
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words: dict[str, tuple[bytes, int, bytes]] = {}
-        self.chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        self._load("vocabulary", {"id": np.array(list(ranks.values()), dtype=np.int64), "piece": [f"{rank} {w.hex()}" for w, rank in ranks.items()]})
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.words: dict[str, tuple[bytes, int, bytes]] = Recent(entries)
+        self.chunks: dict[str, tuple[bytes, int, bytes]] = Recent(entries)
 
     def _load(self, name: str, columns: dict) -> None:
         given = pa.table(columns)  # noqa: F841  DuckDB reads the variable
@@ -72,24 +70,21 @@ class Bpe:
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(new)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             sizes = np.diff(bounds[lo : hi + 1])
-            word = np.repeat(np.arange(lo, hi), sizes)
-            seed = {"word": word, "pos": np.arange(bounds[lo], bounds[hi]) - bounds[word], "id": self.single[data[bounds[lo] : bounds[hi]]]}
+            word = np.repeat(np.arange(lo, hi, dtype=np.int32), sizes)
+            seed = {"word": word, "pos": (np.arange(bounds[lo], bounds[hi]) - bounds[word]).astype(np.int32), "id": self.single[data[bounds[lo] : bounds[hi]]]}
             whole = np.array([self.ranks.get(w.encode(), -1) for w in new[lo:hi]], dtype=np.int64)
             known = whole[word - lo] >= 0
-            self._load("seed", {k: np.concatenate([v[~known], w]) for (k, v), w in zip(seed.items(), (np.flatnonzero(whole >= 0) + lo, np.zeros((whole >= 0).sum(), dtype=np.int64), whole[whole >= 0]), strict=True)})
+            self._load("seed", {k: np.concatenate([v[~known], w]) for (k, v), w in zip(seed.items(), ((np.flatnonzero(whole >= 0) + lo).astype(np.int32), np.zeros((whole >= 0).sum(), dtype=np.int32), whole[whole >= 0].astype(np.int32)), strict=True)})
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {_CONTRACT}")
             got = self.db.sql(_DECODE).to_arrow_table()
-            for w, ids, n, code in zip(*(got[c].to_pylist() for c in ("word", "ids", "n", "hex")), strict=True):
-                self.words[new[w]] = (ids.encode() + b" ", n, bytes.fromhex(code))
+            for w, pieces in zip(got["word"].to_pylist(), got["pieces"].to_pylist(), strict=True):
+                parts = pieces.split(" ")
+                self.words[new[w]] = ((" ".join(parts[::2]) + " ").encode(), len(parts) // 2, bytes.fromhex("".join(parts[1::2])))
 
     def __call__(self, distinct: list[str]) -> list[tuple[bytes, int, bytes]]:
         """For each chunk its decimal ids (a space after each), their number, and the bytes that they decode to."""
-        if len(self.chunks) + len(distinct) > self.entries:
-            self.chunks = {}
-        if len(self.words) > self.entries:
-            self.words = {}
-        found = {x: self.pattern.findall(x) for x in distinct if x not in self.chunks}
-        if new := list({w for parts in found.values() for w in parts if w not in self.words}):
+        found = {x: self.pattern.findall(x) for x in self.chunks.missing(distinct)}
+        if new := self.words.missing(list({w for parts in found.values() for w in parts})):
             self._encode(new)
         for x, parts in found.items():
             got = [self.words[w] for w in parts]
