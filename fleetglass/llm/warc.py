@@ -38,11 +38,13 @@ FACTS = ("record_type", "page_id", "refers_to", "payload_bytes", "payload_digest
 
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a binary column in upper-case base 32."""
-    code, parts = F.sha1(payload), []
-    for at in range(0, 40, 10):
-        number = F.conv(F.substring(code, at + 1, 10), 16, 10).cast("long")
-        parts += [F.substring(F.lit(BASE32), (F.shiftright(number, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for s in range(35, -1, -5)]
-    return F.concat(*parts)
+
+    def letters(code: Column) -> Column:
+        numbers = [F.conv(F.substring(code, at, 10), 16, 10).cast("long") for at in (1, 11, 21, 31)]
+        return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(n, s).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for n in numbers for s in range(35, -1, -5)])
+
+    # bound by the lambda, the SHA-1 is taken once and not for each letter
+    return F.transform(F.array(F.sha1(payload)), letters)[0]
 
 
 def archive_records(pages: DataFrame) -> DataFrame:
