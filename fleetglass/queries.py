@@ -69,17 +69,33 @@ def _vehicle_fences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Road nodes on a grid over the town, edges both ways, and the highest speed; node numbers come from part keys."""
-    ids = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 100").select(F.col("p_partkey").cast("int").alias("node_id"))
-    x, y = F.col("node_id") % 10, F.floor(F.col("node_id") / 10).cast("int")
-    nodes = ids.select("node_id", (12.95 + y * 0.006).alias("lat"), (77.58 + x * 0.006).alias("lon"))
+    """Road nodes on a grid from the town's corner, one for each part, edges both ways, and the highest speed.
+
+    The first hundred part keys fill a square of ten by ten row by row; each later shell of the square, one column and one
+    row, holds the keys from k * k to (k + 1) * (k + 1) - 1. So the grid grows with the table, and no node moves.
+    """
+    ids = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("int").alias("node_id")).distinct()
+    shell = F.floor(F.sqrt("node_id")).cast("int")
+    step = F.col("node_id") - shell * shell
+    x = F.when(F.col("node_id") < 100, F.col("node_id") % 10).otherwise(F.least(shell, 2 * shell - step))
+    y = F.when(F.col("node_id") < 100, F.floor(F.col("node_id") / 10).cast("int")).otherwise(F.least(step, shell))
+    placed = written(ids.select("node_id", x.cast("int").alias("x"), y.cast("int").alias("y")), "nodes")
+    nodes = placed.select("node_id", (12.95 + F.col("y") * 0.006).alias("lat"), (77.58 + F.col("x") * 0.006).alias("lon"))
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    ends = ids.select("node_id", x.alias("x"), y.alias("y"), F.explode(steps).alias("s")).where("x + s.dx BETWEEN 0 AND 9 AND y + s.dy BETWEEN 0 AND 9")
-    edges = ends.select(F.col("node_id").alias("u"), (F.col("node_id") + F.col("s.dx") + 10 * F.col("s.dy")).alias("v")).withColumn("len_m", F.lit(660.0))
-    edges = edges.withColumn("speed_kmh", F.element_at(F.array(F.lit(20.0), F.lit(40.0), F.lit(60.0)), (F.col("u") * 7 + F.col("v") * 3) % 3 + 1))
+    ends = placed.select(F.col("node_id").alias("u"), "x", "y", F.explode(steps).alias("s")).select("u", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    edges = ends.join(placed.withColumnRenamed("node_id", "v"), ["x", "y"]).select("u", "v").withColumn("len_m", F.lit(660.0))
+    edges = edges.withColumn("speed_kmh", F.element_at(F.array(F.lit(20.0), F.lit(40.0), F.lit(60.0)), ((F.col("u").cast("long") * 7 + F.col("v").cast("long") * 3) % 3 + 1).cast("int")))
     return nodes, route.road_edges(edges), route.fastest_mps(edges)
 
 
+def _agents(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
+    """grp (the lender) and dst of each agent, dealt over all nodes."""
+    ranked = numbered(nodes.select("node_id"), "node_id")
+    n = nodes.agg(F.count("*").alias("_n"))
+    dealt = _table(spark, sf, "agent").join(F.broadcast(n)).select(F.col("lender_id").alias("grp"), (F.col("agent_id") * 37 % F.col("_n") + 1).alias("row_no"))  # one row
+    return dealt.join(ranked, "row_no").select("grp", F.col("node_id").alias("dst"))
+
+
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
     """All signals that need no road graph, with the time at which they fire."""
     events = written(_trusted_events(spark, sf), "clean")
@@ -363,8 +379,7 @@ def route_nearest_agent(spark: SparkSession, sf: str) -> DataFrame:
     pairs, nodes, edges, speeds = _vehicle_pairs(spark, sf)
     own = serve.ownership(_table(spark, sf, "loan"))
     sources_ = pairs.join(own, "vehicle_id").select("vehicle_id", F.col("dst").alias("src"), F.col("lender_id").alias("grp"))
-    agents = _table(spark, sf, "agent").select(F.col("lender_id").alias("grp"), (F.col("agent_id") * 37 % 100).cast("int").alias("dst"))
-    found = route.nearest_target(sources_.select("src", "grp").distinct(), agents, nodes, route.reversed_edges(edges), speeds)
+    found = route.nearest_target(sources_.select("src", "grp").distinct(), _agents(spark, sf, nodes), nodes, route.reversed_edges(edges), speeds)
     return sources_.join(found, ["src", "grp"]).select("vehicle_id", F.bround("cost", 3).alias("cost"))
 
 
