@@ -96,13 +96,16 @@ def _agents(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
     return dealt.join(ranked, "row_no").select("grp", F.col("node_id").alias("dst"))
 
 
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    """All signals that need no road graph, with the time at which they fire."""
+def _signals(spark: SparkSession, sf: str, convoys: bool = True) -> DataFrame:
+    """The signals of all seven codes, with the time at which they fire; a replay of the vehicles' own events has no convoys."""
     events = written(_trusted_events(spark, sf), "clean")
     base = jobs.baselines(events)
     windowed = anomaly.with_window(events)
-    own = [fence.exits(events, _vehicle_fences(spark, sf), _fences(spark, sf)), anomaly.tows(windowed), anomaly.night_moves(events, base), anomaly.speed_spikes(windowed, base)]
+    off_route = route.deviations(events, route.expected_paths(events, base, *_graph(spark, sf)))
+    own = [fence.exits(events, _vehicle_fences(spark, sf), _fences(spark, sf)), anomaly.tows(windowed), anomaly.night_moves(events, base), anomaly.speed_spikes(windowed, base), off_route]
     out = anomaly.tampers(events)
+    if convoys:
+        out = out.unionByName(convoy.live_signals(events))
     for part in own:
         out = out.unionByName(part.withColumn("fired_ts", F.col("ts")))
     return out
@@ -487,7 +490,7 @@ def job_baselines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def job_missed_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    decided = risk.decide(_signals(spark, sf), _table(spark, sf, "loan"))
+    decided = risk.decide(_signals(spark, sf, convoys=False), _table(spark, sf, "loan"))
     return jobs.missed_alerts(decided, _table(spark, sf, "alert").select("vehicle_id", "code", F.col("created_ts").alias("ts"))).select("vehicle_id", "code", "ts", "score")
 
 

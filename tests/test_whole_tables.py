@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from fleetglass import queries
-from fleetglass.operators import route
+from fleetglass.operators import convoy, route
+from tests.test_fleet import LAT, NOON, event, frame
+
+SF = "/root/testdata/sf0.001"
 
 
 def given(spark, root, **tables):
@@ -28,3 +31,30 @@ def test_every_part_is_a_node_that_roads_and_agents_reach(spark, tmp_path):
     points = spark.createDataFrame([(i, a + 0.001, b) for i, (a, b) in at.items()], "point_id int, lat double, lon double")
     assert all(r["point_id"] == r["node_id"] for r in route.nearest_nodes(points, nodes).collect())
     assert {r["dst"] for r in queries._agents(spark, sf, nodes).collect()} == set(range(150))
+
+
+# ---------------------------------------------------------------- risk
+def test_convoys_fire_when_a_member_joins(spark):
+    rows = []
+    for run in range(12):
+        at = NOON - NOON % 300 + 300 * run + 10
+        for v, north in enumerate([0, 40, 80, 120, 5000]):
+            if not (v == 1 and run == 6) and not (v == 3 and run < 4):
+                rows.append(event(run, at + v, vehicle=f"VH-00000{v}", lat=LAT + run * 0.003 + north / 111_320, speed_kmh=40.0))
+    got = {(r["vehicle_id"][-1], r["fired_ts"], r["detail"]["size"], round(r["lat"], 6)) for r in convoy.live_signals(frame(spark, rows)).collect()}
+    first, at = NOON - NOON % 300 + 14, lambda run, v: round(LAT + run * 0.003 + v * 40 / 111_320, 6)
+    # 0, 1 and 2 are seen six times in run 5; run 6 forgives that 1 is missing; 3 is seen six times in run 9.
+    assert {x for x in got if x[0] == "4"} == set()
+    assert {(v, t) for v, t, _, _ in got} >= {("3", first + 300 * 9)}
+    joined = [x for x in got if x[1] == first + 300 * 9]
+    assert {x[0] for x in joined} == {"0", "1", "2", "3"}
+    assert {(x[2], x[3]) for x in joined} == {("4", at(9, v)) for v in range(4)}
+    assert len({x[1] for x in got}) == 2
+
+
+def test_risk_takes_deviations_and_convoys(spark):
+    got = queries._signals(spark, SF)
+    codes = {r["code"]: r["count"] for r in got.groupBy("code").count().collect()}
+    assert codes["ROUTE_DEVIATION"] == queries.queries()["route_deviations"](spark, SF).count() > 0
+    assert codes["CONVOY"] > 0
+    assert queries._signals(spark, SF, convoys=False).where("code = 'CONVOY'").count() == 0
