@@ -617,7 +617,7 @@ def serve_updated_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def serve_board_without_done(spark: SparkSession, sf: str) -> DataFrame:
-    cases = _table(spark, sf, "recovery_case").where("case_id % 7 = 0").join(_table(spark, sf, "loan").select("loan_id", "vehicle_id"), "loan_id")
+    cases = _table(spark, sf, "recovery_case").join(_table(spark, sf, "loan").select("loan_id", "vehicle_id"), "loan_id")
     return serve.board_without_done(_scores(spark, sf), cases)
 
 
