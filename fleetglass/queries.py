@@ -335,8 +335,7 @@ def anomaly_night(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def anomaly_speed(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf)
-    calm = jobs.baselines(events.where("seq % 2 = 0")).withColumn("std_speed", F.col("std_speed") / 10)
-    return anomaly.speed_spikes(anomaly.with_window(events), calm).select("vehicle_id", "code", "ts")
+    return anomaly.speed_spikes(anomaly.with_window(events), jobs.baselines(events)).select("vehicle_id", "code", "ts")
 
 
 @query

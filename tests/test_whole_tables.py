@@ -70,3 +70,13 @@ def test_every_settled_case_clears_the_board(spark, tmp_path):
     assert {r["vehicle_id"] for r in queries._scores(spark, sf).collect()} == {f"VH-00000{i}" for i in (1, 2, 3)}
     # Cases 12 (recovered) and 8 (closed) are no multiples of 7; case 5 is open.
     assert [r["vehicle_id"] for r in queries.queries()["serve_board_without_done"](spark, sf).collect()] == ["VH-000002"]
+
+
+# ---------------------------------------------------------------- anomalies
+def test_speed_baseline_takes_all_rows_and_their_deviation(spark, monkeypatch):
+    uneven = [event(i, NOON + 120 * i, speed_kmh=60.0 if i % 2 else 20.0) for i in range(40)]
+    rushed = [event(i, NOON + 120 * i, vehicle="VH-000002", speed_kmh=30.0 if i < 100 else 120.0) for i in range(106)]
+    monkeypatch.setattr(queries, "_events", lambda spark, sf: frame(spark, uneven + rushed))
+    got = sorted((r["vehicle_id"], r["ts"]) for r in queries.queries()["anomaly_speed"](spark, "").collect())
+    # The limit is 35.1 + 3 * 20.9; windows of six rows reach 105 and 120.
+    assert got == [("VH-000002", NOON + 120 * i) for i in (104, 105)]
