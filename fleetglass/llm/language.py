@@ -3,7 +3,8 @@
 A slot of the filter holds one bit for each language, so one lookup tells all languages that contain an n-gram. A text's
 hits are counted for each language, corrected for the filter's false positives in that language, and the largest share
 decides. An n-gram belongs to a language if it makes up at least ``MIN_SHARE`` of that language's n-grams, which bounds
-the filter by the number of languages and not by the corpus; counts cover all training rows.
+the filter by the number of languages and not by the corpus; counts cover all training rows and n-grams. More than
+``MASK_BITS`` languages are dealt over several filters in order, so there is no limit to their number.
 
 A text that is null or has no letter is ``und`` with score 0, as is any text if nothing could be learned. A text with
 letters but no n-gram gets the most frequent language and score 0. Equal scores go to the language first in the alphabet.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, mixed, slices, utf8
 
 MIN_SHARE = 2e-5
-MAX_LANGUAGES = 64
+MASK_BITS = 64
 SLOTS_PER_ENTRY = 16
 UNKNOWN = "und"
 _HOLD = 1 << 20
@@ -94,8 +95,9 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Filter:
-    languages: list[str]
-    common: int
+    """The n-grams of up to MASK_BITS languages, the first of which has the number ``first``."""
+
+    first: int
     slots: np.ndarray
     chance: np.ndarray
 
@@ -103,48 +105,70 @@ class Filter:
         h, mask = mixed(code.astype(np.uint64)), np.uint64(len(self.slots) - 1)
         return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
-    def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of the language and the score of each row."""
-        code, at = ngrams(data, offsets)
+    def shares(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each language the part of each row's n-grams that it holds, less what chance gives."""
         a, b = self.places(code)
         mask = self.slots[a] & self.slots[b]
         n = np.diff(at)
-        share = np.zeros((len(self.languages), len(n)))
+        share = np.zeros((len(self.chance), len(n)))
         for i, chance in enumerate(self.chance):
             hits = np.diff(np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])[at])
             share[i] = (hits / np.maximum(n, 1) - chance) / max(1 - chance, 1e-9)
-        best = np.where(n > 0, share.argmax(axis=0), self.common)
-        return best, np.where(n > 0, np.clip(share.max(axis=0), 0, 1), 0.0)
+        return share
+
 
+@dataclass
+class Model:
+    languages: list[str]
+    common: int
+    filters: list[Filter]
 
-def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Filter | None:
-    """A filter from the rows with doc_id and lang that are not held out; None if there are none."""
+    def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the language and the score of each row."""
+        code, at = ngrams(data, offsets)
+        n = np.diff(at)
+        best, score = np.zeros(len(n), dtype=np.int64), np.full(len(n), -np.inf)
+        for part in self.filters:
+            share = part.shares(code, at)
+            top = share.max(axis=0)
+            best = np.where(top > score, part.first + share.argmax(axis=0), best)
+            score = np.maximum(score, top)
+        return np.where(n > 0, best, self.common), np.where(n > 0, np.clip(score, 0, 1), 0.0)
+
+
+def _filter(first: int, languages: int, of: np.ndarray, gram: np.ndarray) -> Filter:
+    size = 1 << max(10, int(np.ceil(np.log2(max(len(gram), 1) * SLOTS_PER_ENTRY))))
+    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if languages <= bits)
+    found = Filter(first, np.zeros(size, dtype=kind), np.zeros(languages))
+    for place in found.places(gram):
+        for i in range(languages):
+            found.slots[place[of == first + i]] |= kind(1 << i)
+    for i in range(languages):
+        found.chance[i] = float(((found.slots >> kind(i)) & kind(1)).mean()) ** 2
+    return found
+
+
+def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Model | None:
+    """A model from the rows with doc_id and lang that are not held out; None if there are none."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(frequent) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not frequent:
         return None
     languages = sorted(r["lang"] for r in frequent)
     counts = arrow_map(rows.select("lang", "text"), _counter(languages), "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") > 1)
     totals = counts.groupBy("language").agg(F.sum("n").alias("_total"))
     got = counts.join(F.broadcast(totals), "language").where(F.col("n") >= F.col("_total") * min_share).select("language", "gram").toArrow()
     of, gram = got["language"].to_numpy(), got["gram"].to_numpy()
-    size = 1 << max(10, int(np.ceil(np.log2(max(len(gram), 1) * SLOTS_PER_ENTRY))))
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    found = Filter(languages, languages.index(frequent[0]["lang"]), np.zeros(size, dtype=kind), np.zeros(len(languages)))
-    for place in found.places(gram):
-        for i in range(len(languages)):
-            found.slots[place[of == i]] |= kind(1 << i)
-    for i in range(len(languages)):
-        found.chance[i] = float(((found.slots >> kind(i)) & kind(1)).mean()) ** 2
-    return found
+    filters = []
+    for first in range(0, len(languages), MASK_BITS):
+        own = (of >= first) & (of < first + MASK_BITS)
+        filters.append(_filter(first, min(MASK_BITS, len(languages) - first), of[own], gram[own]))
+    return Model(languages, languages.index(frequent[0]["lang"]), filters)
 
 
 def _predictor(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Filter | None = shared.value
+        model: Model | None = shared.value
         for batch in slices(batches, "text"):
             letters = batch["_letters"].to_numpy(zero_copy_only=False)
             if model:
@@ -165,17 +189,15 @@ def identify(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float) -> DataFrame:
-    """The rows, as they are, whose language is known with at least ``min_score``."""
+    """The rows, as they are, whose language is known with at least ``min_score``; all with a letter if nothing was learned."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Filter | None = model.value
+        found: Model | None = model.value
         for batch in slices(batches, "text"):
             good = batch["_letters"].to_numpy(zero_copy_only=False)
             if found:
                 good = good & (found.decide(*utf8(batch["text"]))[1] >= min_score)
-            else:
-                good = np.zeros(batch.num_rows, dtype=bool)
             yield batch.drop_columns(["_letters"]).filter(pa.array(good))
 
     return arrow_map(docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), run, docs.schema)
