@@ -45,12 +45,13 @@ def live_counts(positions: DataFrame, loans: DataFrame, live_s: int = LIVE_S) ->
     return timed.groupBy("lender_id").agg(F.count_if(F.col("device_ts") >= F.col("now") - live_s).alias("live"))
 
 
-def in_box(positions: DataFrame, scores: DataFrame, lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, least_km: float = 0.1) -> DataFrame:
-    """Positions in a box of at least ``least_km`` each way, with their score or 0."""
+def in_box(positions: DataFrame, loans: DataFrame, lender_id: int, scores: DataFrame, lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, least_km: float = 0.1, live_s: int = LIVE_S) -> DataFrame:
+    """A lender's vehicles that reported lately in a box of at least ``least_km`` each way, with their score or 0."""
     pad_lat = max(0.0, least_km / 111.32 - (lat_hi - lat_lo)) / 2
     pad_lon = max(0.0, least_km / 111.32 - (lon_hi - lon_lo)) / 2
     inside = F.col("lat").between(lat_lo - pad_lat, lat_hi + pad_lat) & F.col("lon").between(lon_lo - pad_lon, lon_hi + pad_lon)
-    return positions.where(inside).join(scores.select("vehicle_id", "score"), "vehicle_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    fresh = positions.join(F.broadcast(event_now(positions))).where(F.col("device_ts") >= F.col("now") - live_s).drop("now")  # one row
+    return owned(fresh.where(inside), loans, lender_id).join(scores.select("vehicle_id", "score"), "vehicle_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def thinned(rows: DataFrame, cap: int = MAP_CAP) -> DataFrame:

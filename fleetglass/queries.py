@@ -534,7 +534,7 @@ def serve_on_the_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def serve_in_box(spark: SparkSession, sf: str) -> DataFrame:
-    return serve.in_box(_positions(spark, sf), _scores(spark, sf), 12.97, 13.0, 77.59, 77.61).select("vehicle_id", "lat", "lon", "score")
+    return serve.in_box(_positions(spark, sf), _table(spark, sf, "loan"), 1, _scores(spark, sf), 12.97, 13.0, 77.59, 77.61, live_s=7200).select("vehicle_id", "lat", "lon", "score")
 
 
 @query

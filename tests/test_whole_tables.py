@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from fleetglass import queries
 from fleetglass.operators import convoy, route
-from tests.test_fleet import LAT, NOON, event, frame
+from fleetglass.plans import serve
+from tests.test_fleet import LAT, LOANS, LON, NOON, event, frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,13 @@ def test_speed_baseline_takes_all_rows_and_their_deviation(spark, monkeypatch):
     got = sorted((r["vehicle_id"], r["ts"]) for r in queries.queries()["anomaly_speed"](spark, "").collect())
     # The limit is 35.1 + 3 * 20.9; windows of six rows reach 105 and 120.
     assert got == [("VH-000002", NOON + 120 * i) for i in (104, 105)]
+
+
+# ---------------------------------------------------------------- map
+def test_box_has_fresh_vehicles_of_the_lender(spark):
+    at = [("VH-000001", 1000.0, LAT), ("VH-000002", 820.0, LAT), ("VH-000003", 819.0, LAT), ("VH-000004", 1000.0, LAT), ("VH-000005", 1000.0, LAT + 1), ("VH-000006", 1000.0, LAT)]
+    positions = spark.createDataFrame([(v, t, lat, LON) for v, t, lat in at], "vehicle_id string, device_ts double, lat double, lon double")
+    loans = spark.createDataFrame([(f"VH-00000{i}", i, 2 if i == 4 else 1, 0, "closed" if i == 6 else "current") for i in range(1, 7)], LOANS)
+    scores = spark.createDataFrame([("VH-000002", 7.5)], "vehicle_id string, score double")
+    got = {(r["vehicle_id"], r["score"]) for r in serve.in_box(positions, loans, 1, scores, LAT, LAT, LON, LON).collect()}
+    assert got == {("VH-000001", 0.0), ("VH-000002", 7.5)}
