@@ -13,8 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -27,9 +26,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that setting is missing."""
+    """The folder named by ``spark.checkpoint.dir``. Without that setting a local master gets a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetglass-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -58,9 +59,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of bounded size, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes rather than rows, so that neither long texts nor many short ones hurt a Python worker.
+
+    Spark reads these settings when a frame runs, so they hold for the session from here on, with one value for all operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -148,20 +152,22 @@ def windows_hash(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def no_clash(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else the table carries."""
-    return df.select(*names)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of the table has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of bounded size."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def lower_hex(column: Column) -> Column:
-    return F.lower(F.hex(column))

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, shared_path, slices
@@ -50,12 +50,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, encodi
     out.parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """The files' rows with ``start``, the number of ids of all documents before, in place of part and local_start."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_total"))
+def _with_starts(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``start`` in place of part and local_start; ``totals`` has the number of ids of each part."""
     bases = totals.select("part", (F.sum("_total").over(Window.orderBy("part")) - F.col("_total")).alias("_base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    others = [c for c in rows.columns if c not in ("doc_id", "part", "local_start")]
+    return rows.join(bases, "part").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), *others)
+
+
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    return rows, rows.groupBy("part").agg(F.sum("n_tokens").alias("_total"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``start``, the number of ids of all documents before, in place of part and local_start."""
+    return _with_starts(*_files(spark, path))
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,11 +72,15 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch["ids"]
         values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
         sums = [crc(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["part"], batch["local_start"], pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes the token files, reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the token files, reads them back: doc_id, start, n_tokens, ids_crc32.
+
+    Ids are summed up where they are read; only the numbers meet the totals of the parts.
+    """
     path = shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path, end_id)
-    return arrow_map(read_tokens(docs.sparkSession, path), _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows, totals = _files(docs.sparkSession, path)
+    return _with_starts(arrow_map(rows, _checksums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"), totals)
