@@ -1,9 +1,11 @@
 """Exact deduplication of lines across documents, with DataFrame functions alone.
 
-Each line's key is hashed to 128 bits. The (hash, document) rows are range-partitioned with the document as second key, so
-that a hash held by a third of all documents spreads over many partitions; inside these the occurrences stream in order
-and are counted before anything is shuffled by hash alone. What returns is no text but one bitmap of dropped lines for each
-document, as a sparse map from a block of 64 lines to its bits.
+Each text is split once; its lines' keys, hashed to 128 bits, go to a table of (hash, document, position). A hash with more
+than a ten-thousandth of all rows is heavy. There can be ten thousand of these at most, so their verdicts are broadcast and
+their rows need no shuffle by hash. The other rows are range-partitioned by hash with document and position as secondary
+sort, latest document first; the first occurrence in that stream stays and the ones behind it go if enough documents hold
+the hash. What returns is no text but one keep bitmap for each document that loses a line: a map from a block of 64 lines
+to the bits of those that stay; blocks that are not in it stay whole.
 
 Null or empty texts are one empty line. Rows without a doc_id take no part and come back unchanged. Rows that repeat a
 doc_id count as one document in the count of holders; each keeps or loses its own lines. An empty table gives no rows.
@@ -12,9 +14,12 @@ Other columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
+HEAVY = 10_000
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,33 +41,46 @@ def held_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), "key", F.length("key")).alias("h2"), "doc_id", "version", "at")
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """For each document (doc_id, version) that loses lines, ``bits``: block of 64 lines -> mask of the lines to drop."""
-    rows = held_lines(docs, min_chars)
-    spread = rows.select("h1", "h2", "doc_id").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
-    holders = spread.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    common = holders.groupBy("h1", "h2").agg(F.count("doc_id").alias("holders"), F.max("doc_id").alias("last")).where(F.col("holders") >= min_docs)
-    lost = rows.join(common, ["h1", "h2"]).where(F.col("doc_id") < F.col("last"))
-    blocks = lost.groupBy("doc_id", "version", F.shiftright("at", 6).alias("block")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("mask")
-    )
+def lost_lines(rows: DataFrame, min_docs: int) -> DataFrame:
+    """Of a table of held lines those (doc_id, version, at) that a later document holds too, if enough documents do."""
+    counts = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    heavy = written(counts.where(F.col("n") > rows.count() // HEAVY).select("h1", "h2"), "heavy")
+    hot = rows.join(F.broadcast(heavy), ["h1", "h2"])
+    holders = hot.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("holders"), F.max("doc_id").alias("last"))
+    verdicts = holders.where(F.col("holders") >= min_docs).select("h1", "h2", "last")
+    lost_hot = rows.join(F.broadcast(verdicts), ["h1", "h2"]).where(F.col("doc_id") < F.col("last"))
+    rest = rows.join(F.broadcast(heavy), ["h1", "h2"], "left_anti")
+    stream = rest.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "at")
+    along = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"), "at")
+    seen = stream.withColumn("first", F.first("doc_id").over(along)).withColumn("nth", F.dense_rank().over(along))
+    seen = seen.withColumn("holders", F.last("nth").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    lost = seen.where((F.col("doc_id") < F.col("first")) & (F.col("holders") >= min_docs))
+    return lost.select("doc_id", "version", "at").unionByName(lost_hot.select("doc_id", "version", "at"))
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """For each document (doc_id, version) that loses lines, ``bits``: block of 64 lines -> mask of the lines that stay."""
+    lost = lost_lines(written(held_lines(docs, min_chars), "lines"), min_docs)
+    gone = F.bit_or(F.expr("shiftleft(1L, at & 63)"))
+    blocks = lost.groupBy("doc_id", "version", F.shiftright("at", 6).alias("block")).agg(F.bitwise_not(gone).alias("mask"))
     return blocks.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("block", "mask"))).alias("bits"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The documents with ``text`` replaced by what stays, n_lines before dropping and n_dropped."""
-    bits = drop_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("bits").alias("_bits"))
-    joined = docs.join(bits, (docs["doc_id"] == bits["_id"]) & (F.xxhash64(docs["text"]) == bits["_version"]), "left")
+    own, version, map_ = fresh(docs, "own", "version", "bits")
+    bits = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias(own), F.col("version").alias(version), F.col("bits").alias(map_))
+    joined = docs.join(bits, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(version)), "left")
 
     def stays(_: Column, at: Column) -> Column:
-        mask = F.element_at("_bits", F.shiftright(at, 6))
-        return F.coalesce(F.getbit(mask, at.bitwiseAND(63)) == 0, F.lit(True))
+        mask = F.element_at(map_, F.shiftright(at, 6))
+        return F.coalesce(F.getbit(mask, at.bitwiseAND(63)) == 1, F.lit(True))
 
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("_bits").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    dropped = F.coalesce(F.aggregate(F.map_values("_bits"), F.lit(0), lambda n, m: n + F.bit_count(m)), F.lit(0))
+    kept = F.when(F.col(map_).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    dropped = F.coalesce(F.aggregate(F.map_values(map_), F.lit(0), lambda n, m: n + 64 - F.bit_count(m)), F.lit(0))
     return joined.select(
-        *[F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
     )
 
