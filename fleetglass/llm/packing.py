@@ -3,7 +3,8 @@
 Documents longer than a sequence are cut so that only the first piece is short; whole pieces fill sequences alone. The
 others are dealt at random into shards of bounded size, and each shard is packed longest first: a piece goes where the sum
 of the squared numbers of open sequences at each residual gap becomes smallest (Csirik et al., "On the sum-of-squares
-algorithm for bin packing"). A sequence is opened only if no open one has room, as the fewest sequences are wanted.
+algorithm for bin packing"), the smallest gap among equals. A full sequence counts nowhere. A sequence is opened only if no
+open one has room, as the fewest sequences are wanted.
 
 Null texts count as empty and hold the end id alone. Rows of equal or null doc_id are packed each for itself. An empty
 table gives no rows. Other columns of the input play no part.
@@ -60,12 +61,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, places = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     opened = 0
     for i, size in enumerate(lengths.tolist()):
-        gap = capacity
-        if counts[size]:
-            gap = size
-        elif (open_gaps := np.flatnonzero(counts[size + 1 :])).size:
-            open_gaps += size + 1
-            gap = int(open_gaps[np.argmin(counts[open_gaps - size] - counts[open_gaps])])
+        gap, open_gaps = capacity, np.flatnonzero(counts[size:])
+        if open_gaps.size:
+            # what the sum of squares gains: a sequence less at the gap, and one more at what is left of it
+            change = 1 - 2 * counts[open_gaps + size] + np.where(open_gaps > 0, 2 * counts[open_gaps] + 1, 0)
+            gap = size + int(open_gaps[np.argmin(change)])
         if gap < capacity:
             to = stacks[gap].pop()
             counts[gap] -= 1
@@ -92,11 +92,20 @@ def _packer(capacity: int) -> Callable[[pa.Table], pa.Table]:
 def pack(cut: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length and any other columns); read twice, so pass a table."""
     shards = -(-max(cut.count(), 1) // shard_pieces)
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    # rows without an id may be alike in all else; their place in the table tells them apart
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", row), F.lit(shards)))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     return dealt.groupBy("shard").applyInArrow(_packer(capacity), f"{kept}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
+    """Documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ``ids`` if asked for.
+
+    Only numbers are packed; ids meet their places again by a key.
+    """
+    cut = pieces(docs, tokenizer, end_id, capacity, keep_ids)
+    if not keep_ids:
+        return pack(written(cut, "pieces"), capacity)
+    table = written(cut.withColumn("key", F.monotonically_increasing_id()), "pieces")
+    return pack(table.drop("ids"), capacity).join(table.select("key", "ids"), "key").drop("key")
