@@ -6,8 +6,9 @@ merged by rank tuples (Kaerkkaeinen, Sanders and Burkhardt, "Linear work suffix
 due to Dementiev et al.). Only a bounded prefix counts, so the recursion stops when the names cover it.
 
 A shard beyond the memory bound is sorted run by run. Each run goes to disk as tuples of window, document, start and the
-prefix shared with the tuple before; a priority queue over the runs merges them, and a tuple that shares the whole window
-with the last one is of its class. The files have no names and vanish with the task.
+prefix shared with the tuple before; a priority queue over the runs merges them, ``FAN`` at a time over as many levels as
+it takes, and a tuple that shares the whole window with the last one is of its class. The files have no names and vanish
+with the task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 RUN_BYTES = 2_000_000
+FAN = 64
 
 
 def _named(keys: np.ndarray) -> np.ndarray:
@@ -99,24 +101,51 @@ class _Segments:
         return own, shared, self.starts[own]
 
 
-def _written(segments: _Segments, length: int):
-    """One sorted run on disk."""
-    file = tempfile.TemporaryFile()
-    own, shared, order = segments.ordered(length)
-    data = segments.data.tobytes()
-    for k, common, p in zip(own.tolist(), shared.tolist(), order.tolist(), strict=True):
-        file.write(struct.pack("<qqH", segments.doc[k], segments.at[k], common) + data[p + common : p + length])
+def _stored(tuples: Iterable[tuple[bytes, int, int]], length: int):
+    """One sorted run on disk: document, start and the prefix shared with the tuple before, then the rest of the window."""
+    file, last = tempfile.TemporaryFile(), b""
+    for window, doc, at in tuples:
+        common = length if window == last else next((k for k, (x, y) in enumerate(zip(window, last)) if x != y), 0)
+        file.write(struct.pack("<qqH", doc, at, common) + window[common:])
+        last = window
     file.seek(0)
     return file
 
 
+def _run(segments: _Segments, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """The windows of a run in memory by content, document and start."""
+    own, _, order = segments.ordered(length)
+    data = segments.data.tobytes()
+    for k, p in zip(own.tolist(), order.tolist(), strict=True):
+        yield data[p : p + length], int(segments.doc[k]), int(segments.at[k])
+
+
 def _tuples(file, length: int) -> Iterator[tuple[bytes, int, int]]:
-    """The tuples of a run; a window is rebuilt from the prefix that it shares with the one before."""
+    """The tuples of a run on disk; a window is rebuilt from the prefix that it shares with the one before."""
     last = b""
     while head := file.read(18):
         doc, at, common = struct.unpack("<qqH", head)
         last = last[:common] + file.read(length - common)
         yield last, doc, at
+    file.close()
+
+
+class _Runs:
+    """Sorted runs on disk, never more than ``FAN`` of one level: when these are there, a queue merges them into one of the next."""
+
+    def __init__(self, length: int):
+        self.length, self.levels = length, []
+
+    def add(self, tuples: Iterable[tuple[bytes, int, int]], level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(_stored(tuples, self.length))
+        if len(self.levels[level]) == FAN:
+            files, self.levels[level] = self.levels[level], []
+            self.add(heapq.merge(*(_tuples(f, self.length) for f in files)), level + 1)
+
+    def merged(self) -> Iterator[tuple[bytes, int, int]]:
+        return heapq.merge(*(_tuples(f, self.length) for level in self.levels for f in level))
 
 
 def repeated_windows(pieces: Iterable[tuple[bytes, int, int, int]], length: int, run_bytes: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,14 +153,15 @@ def repeated_windows(pieces: Iterable[tuple[bytes, int, int, int]], length: int,
 
     A piece is (bytes, document, start of its first window, number of windows).
     """
-    run, held, files = [], 0, []
+    run, held, stored = [], 0, None
     for piece in pieces:
         run.append(piece)
         held += len(piece[0])
         if held >= run_bytes:
-            files.append(_written(_Segments(run), length))
+            stored = stored or _Runs(length)
+            stored.add(_run(_Segments(run), length))
             run, held = [], 0
-    if not files:
+    if not stored:
         if run:
             s = _Segments(run)
             own, shared, _ = s.ordered(length)
@@ -142,9 +172,9 @@ def repeated_windows(pieces: Iterable[tuple[bytes, int, int, int]], length: int,
             yield doc[late], at[late]
         return
     if run:
-        files.append(_written(_Segments(run), length))
+        stored.add(_run(_Segments(run), length))
     last, first, docs, starts = None, None, [], []
-    for window, doc, at in heapq.merge(*(_tuples(f, length) for f in files)):
+    for window, doc, at in stored.merged():
         if window != last:
             last, first = window, (doc, at)
         elif (doc, at) != first:
@@ -154,5 +184,3 @@ def repeated_windows(pieces: Iterable[tuple[bytes, int, int, int]], length: int,
                 yield np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64)
                 docs, starts = [], []
     yield np.array(docs, dtype=np.int64), np.array(starts, dtype=np.int64)
-    for f in files:
-        f.close()

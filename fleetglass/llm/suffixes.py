@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, prefix_hash, slices, span_hash, utf8, written
+from .common import arrow_map, fresh, prefix_hash, slices, span_hash, utf8, written
 from .induced import repeated_windows
 
 LENGTH = 100
 GRAM = 24
 PART = 16
-_PLACE = 28  # bits for a place inside a slice; a single text may be that long
+#: Longer slices, which are single long texts, are searched a segment at a time, for memory and for the bits of a place.
+SEGMENT = 1 << 22
+_PLACE = 24
 
 
 def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -52,6 +55,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return {"row": none, "lo": none, "windows": none, "anchor": none, "g": none, "content": none}
+    if len(data) > SEGMENT + length:
+        # a run that a segment's end cuts has other contents than its like, which sends all of them on to the sort
+        found = []
+        for row in np.flatnonzero(np.diff(offsets) >= length):
+            for at in range(offsets[row], offsets[row + 1] - length + 1, SEGMENT):
+                part = data[at : min(at + SEGMENT + length - 1, offsets[row + 1])]
+                got = runs(part, np.array([0, len(part)]), length, gram)
+                found.append(got | {"row": got["row"] + row, "lo": got["lo"] + at - offsets[row]})
+        return {k: np.concatenate([f[k] for f in found]) for k in found[0]} if found else runs(data[:0], offsets[:1], length, gram)
     sums = prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = span_hash(sums, at, at + gram)
@@ -103,31 +115,35 @@ def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
 
 
 def _parts(length: int, part: int):
-    """Cuts the runs of a text into parts and takes their bytes."""
+    """Cuts the runs of a text into parts and takes their bytes.
+
+    Places may come from another row with the same doc_id; what lies beyond this text is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch["text"])
-            whole, sums = data.tobytes(), prefix_hash(data)
+            whole = data.tobytes()
             core, piece, doc, lo, n = [], [], [], [], []
-            for d, base, places in zip(batch["doc_id"].to_pylist(), offsets.tolist(), batch["places"].to_pylist(), strict=False):
+            for d, base, stop, places in zip(batch["doc_id"].to_pylist(), offsets.tolist(), offsets[1:].tolist(), batch["places"].to_pylist(), strict=False):
+                most = stop - base - length
                 for place in places:
                     first, windows, anchor = place >> 20, (place >> 10) & 1023, place & 1023
                     # offsets of the anchor in the windows: from ``anchor`` down to ``anchor - windows + 1``
                     high = anchor
                     while high > anchor - windows:
                         low = max(high // part * part, anchor - windows + 1)
-                        start, end = first + anchor - high, first + anchor - low
-                        centre = base + first + anchor
-                        a, b = centre - high // part * part, centre - high // part * part - part + 1 + length
-                        core.append((a, b))
-                        piece.append(whole[base + start : base + end + length])
-                        doc.append(d)
-                        lo.append(start)
-                        n.append(end - start + 1)
+                        start, end = first + anchor - high, min(first + anchor - low, most)
+                        if start <= end:
+                            a = base + first + anchor - high // part * part
+                            core.append(xxhash.xxh3_64_intdigest(whole[a : a - part + 1 + length]))
+                            piece.append(whole[base + start : base + end + length])
+                            doc.append(d)
+                            lo.append(start)
+                            n.append(end - start + 1)
                         high = low - 1
-            spans = np.array(core, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(sums, spans[:, 0], spans[:, 1]).view(np.int64)), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(piece, pa.binary())], ["core", "doc_id", "lo", "windows", "piece"])
+            hashes = np.array(core, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(piece, pa.binary())], ["core", "doc_id", "lo", "windows", "piece"])
 
     return run
 
@@ -135,7 +151,7 @@ def _parts(length: int, part: int):
 SHARD_BYTES = 1_500_000
 
 
-def _shards(length: int):
+def _shards(length: int, shard_bytes: int):
     """Whole groups of equal core, gathered up to a bound; a larger group streams through the sorter alone."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[bytes, int, int, int]]]:
@@ -145,7 +161,7 @@ def _shards(length: int):
                 yield core, tuple(piece)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        for doc, start in repeated_windows(held, length):
+        for doc, start in repeated_windows(held, length, shard_bytes):
             yield _spans(doc, start, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +169,7 @@ def _shards(length: int):
         ahead = next(rows, None)
         while ahead is not None:
             core, group, own = ahead[0], [], 0
-            while ahead is not None and ahead[0] == core and own < SHARD_BYTES:
+            while ahead is not None and ahead[0] == core and own < shard_bytes:
                 group.append(ahead[1])
                 own += len(ahead[1][0])
                 ahead = next(rows, None)
@@ -168,7 +184,7 @@ def _shards(length: int):
 
                 yield from flush(rest())
             elif len(group) > 1:  # a core that stands alone repeats nothing
-                if size + own > SHARD_BYTES:
+                if size + own > shard_bytes:
                     yield from flush(held)
                     held, size = [], 0
                 held += group
@@ -178,7 +194,7 @@ def _shards(length: int):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, lo and hi of byte spans to remove; spans may touch or overlap."""
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     found = arrow_map(texts, _runs(length, gram), "g long, content long, doc_id long, place long, known boolean")
@@ -196,16 +212,16 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part:
     places = kept.where("NOT _repeat").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     cut = arrow_map(texts.join(places, "doc_id"), _parts(length, part), "core long, doc_id long, lo long, windows long, piece binary")
     sorted_parts = cut.repartition("core").sortWithinPartitions("core")
-    return whole.unionByName(arrow_map(sorted_parts, _shards(length), "doc_id long, lo long, hi long"))
+    return whole.unionByName(arrow_map(sorted_parts, _shards(length, shard_bytes), "doc_id long, lo long, hi long"))
 
 
-def _kept(texts: bool):
+def _kept(texts: bool, cut: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch["text"])
             data = data.tobytes()
             out: list[tuple] = []
-            for base, end, spans in zip(offsets.tolist(), offsets[1:].tolist(), batch["spans"].to_pylist(), strict=False):
+            for base, end, spans in zip(offsets.tolist(), offsets[1:].tolist(), batch[cut].to_pylist(), strict=False):
                 merged: list[list[int]] = []
                 for s in sorted((x["lo"], min(x["hi"], end - base)) for x in spans or ()):
                     if s[0] >= s[1]:
@@ -218,27 +234,29 @@ def _kept(texts: bool):
                 rest = b"".join(data[base + a : base + b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((end - base, sum(b - a for a, b in merged), len(merged), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if texts else None))
             sizes = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
-            rest = batch.drop_columns(["text", "spans"])
+            rest = batch.drop_columns(["text", cut])
             made = [*sizes, pa.array([x[3] for x in out], pa.string()), *[pa.array([x[4] for x in out], pa.string())] * texts]
             yield pa.RecordBatch.from_arrays([*rest.columns, *made], [*rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * texts])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans and kept_sha256, and ``text`` as what is left of it.
 
-    Where a removed span ends inside a character, the rest of that character goes from ``text`` too.
+    Where a removed span ends inside a character, the rest of that character goes from ``text`` too. Input columns with the
+    names of the new ones are replaced. ``shard_bytes`` bounds what one sort holds in memory.
     """
-    added = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"}
+    added = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "text"}
     others = [c for c in docs.columns if c not in added]
-    spans = removed_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = docs.select(*others, "text").join(spans, "doc_id", "left")
+    (cut,) = fresh(docs, "spans_to_cut")
+    spans = removed_spans(docs, length, shard_bytes=shard_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(cut))
+    joined = docs.select(*[f"`{c}`" for c in others], "text").join(spans, "doc_id", "left")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     schema = f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts
-    return arrow_map(joined.select(*others, "text", "spans"), _kept(texts), schema)
+    return arrow_map(joined.select(*[f"`{c}`" for c in others], "text", cut), _kept(texts, cut), schema)
 
 
-def substring_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def substring_digests(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    return dedup_substrings(docs.select("doc_id", "text"), length, texts=False)
+    return dedup_substrings(docs.select("doc_id", "text"), length, texts=False, shard_bytes=shard_bytes)
