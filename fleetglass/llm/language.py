@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mixed, slices, utf8
+from .common import arrow_map, fresh, mixed, slices, utf8
 
 MIN_SHARE = 2e-5
 MASK_BITS = 64
@@ -191,13 +191,14 @@ def identify(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float) -> DataFrame:
     """The rows, as they are, whose language is known with at least ``min_score``; all with a letter if nothing was learned."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    (letters,) = fresh(docs, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Model | None = model.value
         for batch in slices(batches, "text"):
-            good = batch["_letters"].to_numpy(zero_copy_only=False)
+            good = batch[letters].to_numpy(zero_copy_only=False)
             if found:
                 good = good & (found.decide(*utf8(batch["text"]))[1] >= min_score)
-            yield batch.drop_columns(["_letters"]).filter(pa.array(good))
+            yield batch.drop_columns([letters]).filter(pa.array(good))
 
-    return arrow_map(docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), run, docs.schema)
+    return arrow_map(docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), run, docs.schema)

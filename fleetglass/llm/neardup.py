@@ -265,9 +265,10 @@ def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
         joined = components(links.unionByName(written(more, "links")))
     component = reps.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     by_class = filled.groupBy(*alike).agg(F.min("doc_id").alias("_rep")).join(component.select(F.col("doc_id").alias("_rep"), F.coalesce("component", "doc_id").alias("_component")), "_rep")
-    whole = facts.select("doc_id", *alike).join(by_class.drop("_rep"), alike, "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
-    return whole.select("doc_id", "n_shingles", own.alias("component_id"))
+    linked_rows = filled.select("doc_id", *alike).join(by_class.drop("_rep"), alike).select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
+    # rows without a set or an id are components of their own and need no join, however many there are
+    alone = facts.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked_rows.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     """A model from at most ``max_rows`` labelled documents."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_label", "text")
+    # rows that repeat a doc_id are bounded with the others
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "_label").limit(max_rows).select("_label", "text")
     got = arrow_map(texts, _frequencies, "label int, index array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return None

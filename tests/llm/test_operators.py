@@ -9,9 +9,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fleetglass.llm import bpe, induced, language, lines, media, neardup, packing, quality, suffixes, tokenfiles, warc
+from fleetglass.llm import bpe, induced, language, lines, media, neardup, packing, quality, suffixes, tokenfiles, tokens, warc
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, g long"
@@ -82,6 +84,46 @@ def test_repeated_windows_in_runs_on_disk():
             assert sorted((int(a), int(b)) for x, y in induced.repeated_windows(pieces, length, run_bytes) for a, b in zip(x, y)) == want
 
 
+def test_repeated_windows_merge_over_levels(monkeypatch):
+    monkeypatch.setattr(induced, "FAN", 3)
+    rng = random.Random(8)
+    pieces = [(bytes(rng.choice(b"ab") for _ in range(40)), doc, 0, 31) for doc in range(40)]
+    want = {p for x, y in induced.repeated_windows(pieces, 10, 10**9) for p in zip(x.tolist(), y.tolist())}
+    runs = induced._Runs(10)
+    for piece in pieces:
+        runs.add(induced._run(induced._Segments([piece]), 10))
+        assert all(len(level) < 3 for level in runs.levels)
+    assert len(list(runs.merged())) == 40 * 31
+    assert {p for x, y in induced.repeated_windows(pieces, 10, 40) for p in zip(x.tolist(), y.tolist())} == want
+
+
+def test_substrings_in_shards_beyond_memory(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcd ") for _ in range(400))
+    rows = [(i, shared[a : a + rng.randint(100, 300)] + f" {i} " + shared[:90]) for i in range(150) for a in (rng.randrange(250),)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(suffixes.substring_digests(frame, shard_bytes=500), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(rows)
+
+
+def test_substrings_of_texts_in_segments(monkeypatch):
+    rng = random.Random(7)
+    text = bytes(rng.choice(b"abc") for _ in range(900)) * 2
+    data, offsets = np.frombuffer(text, dtype=np.uint8), np.array([0, 700, 700, len(text)])
+    covered = lambda found: sorted((r, lo + k) for r, lo, n in zip(found["row"], found["lo"], found["windows"]) for k in range(n))
+    whole = covered(suffixes.runs(data, offsets, 100, 24))
+    monkeypatch.setattr(suffixes, "SEGMENT", 150)
+    assert covered(suffixes.runs(data, offsets, 100, 24)) == whole
+
+
+def test_substrings_of_one_id_with_several_texts(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, long), (1, "short"), (2, long[:500]), (3, long[200:] + "x"), (3, long[100:350])]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.substring_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {(1, 900, 0), (1, 5, 0), (2, 500, 500)} <= set(got)
+    assert len(got) == 5
+
+
 def test_lines(docs, rows):
     assert by_id(lines.line_digests(docs), "n_lines", "n_dropped", "kept_sha256") == brute.lines(rows)
 
@@ -93,6 +135,36 @@ def test_lines_ignore_rows_without_id(spark, rows):
     assert got == brute.lines(rows)
 
 
+def test_lines_of_heavy_hashes(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", 5)
+    rows = [(i, f"a line that every document holds\nown line of document {i}\nshared by groups of four {i // 4}") for i in range(40)]
+    assert by_id(lines.line_digests(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_dropped", "kept_sha256") == brute.lines(rows)
+
+
+def test_columns_with_clashing_names(spark, rows):
+    names = ["own", "version", "bits", "spans", "spans_to_cut", "n_bytes", "_letters", "a b"]
+    frame = spark.createDataFrame([(d, t, *[1] * len(names)) for d, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    assert set(names) <= set(lines.dedup_lines(frame).columns)
+    assert lines.dedup_lines(frame).count() == len(rows)
+    assert set(names) <= set(suffixes.dedup_substrings(frame).columns)
+    assert suffixes.dedup_substrings(frame).count() == len(rows)
+    assert set(names) <= set(neardup.keep_first(frame).columns)
+    assert language.keep_known(frame.withColumn("lang", F.lit("en")), 0.2).columns == [*frame.columns, "lang"]
+
+
+def test_near_duplicates_recall_on_planted_copies(spark):
+    rng, rows, want = random.Random(12), [], {}
+    for k in range(60):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(40, 300))]
+        for c in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 60)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+            rows.append((10 * k + c, " ".join(copy)))
+    want = brute.components(rows)
+    assert by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id") == want
+
+
 def test_near_duplicates(docs, rows):
     got = by_id(neardup.near_duplicates(docs), "n_shingles", "component_id", "kept")
     assert got == {d: (n, c, d == c) for d, (n, c) in brute.components(rows).items()}
@@ -134,13 +206,53 @@ def test_token_files(docs, rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    got, start = by_id(tokenfiles.token_digests(docs, path, 2), "start", "n_tokens", "ids_crc32"), 0
+    library, start = Tokenizer.from_file(path), 0
+    got = by_id(tokenfiles.token_digests(docs, path, 2), "start", "n_tokens", "ids_crc32")
     for doc, text in sorted(rows):
-        ids = np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4") if doc < 12 else None
-        if ids is not None:
-            assert got[doc] == (start, len(ids), zlib.crc32(ids.tobytes()))
-        assert got[doc][0] == start
-        start += got[doc][1]
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[doc] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    rng, library = random.Random(9), Tokenizer.from_file(public_tokenizers.path(name))
+    library.encode_special_tokens = True
+    parts = ["a", "Z", "é", "ß", "×", "'s", "'S", "'ll", "'", " ", "  ", "\n", "\n\n", "\t", "7", "12", ".", ",", "|", "J\u030c", "\u0130", "\u00b5", "中文", "\x1c", "\u00a0", "\0", "\r\n", " the", "Word", "\u212a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    ids, bounds = tokens.library_encoder(public_tokenizers.path(name))(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sum_of_squares_rule():
+    rng = np.random.default_rng(5)
+    sizes, gaps = np.sort(rng.integers(1, 60, 300))[::-1], []
+    bins, places = packing.sum_of_squares(sizes, 64)
+    for size, to, place in zip(sizes.tolist(), bins.tolist(), places.tolist(), strict=True):
+        counts = np.bincount([g for g in gaps if g], minlength=65)
+
+        def after(gap, counts=counts, size=size):
+            c = counts.copy()
+            c[gap] -= 1
+            c[gap - size] += gap > size
+            return int((c**2).sum())
+
+        possible = sorted({g for g in gaps if g >= size}, key=lambda g: (after(g), g))
+        if to == len(gaps):
+            assert not possible
+            gaps.append(64)
+        else:
+            assert gaps[to] == possible[0]
+        assert place == 64 - gaps[to]
+        gaps[to] -= size
+
+
+def test_packing_with_ids(docs, rows):
+    out = packing.pack_documents(docs, JSON, capacity=512, keep_ids=True).collect()
+    assert all(zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in out)
 
 
 def test_token_files_in_delta_encoding(docs, spark, tmp_path):
@@ -164,6 +276,19 @@ def test_bpe(docs, rows):
         assert whole[doc] == (ids, (text or "").encode())
 
 
+def test_bpe_of_very_long_words(spark):
+    import tiktoken
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(4)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a" * 50_001, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50_000)), "".join(rng.choice("acgt") for _ in range(50_000)), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(3000))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(bpe.encode_decode(frame, path, public_tokenizers.PATTERN), "ids", "decoded")
+    for doc, text in enumerate(texts):
+        assert got[doc] == (library.encode_ordinary(text), text.encode())
+
+
 def test_media(docs, rows):
     got = by_id(media.document_media(docs), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "position", "caption")
     for doc, text in rows:
