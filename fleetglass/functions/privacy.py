@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 64
 
 
-def _xor_hex(code: Column, with_byte: int) -> Column:
-    """Every byte of a hex string of 64 bytes, xor one byte, as binary."""
-    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK - 1)), lambda i: F.conv(F.substr(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(with_byte))
-    return F.unhex(F.array_join(F.transform(bytes_, lambda b: F.lpad(F.hex(b.cast("long")), 2, "0")), ""))
-
-
-def hmac_sha256(key: Column, message: Column) -> Column:
-    """HMAC-SHA256 in hex of a binary message under a binary key."""
-    short = F.when(F.octet_length(key) > _BLOCK, F.sha2(key, 256)).otherwise(F.lower(F.hex(key)))
-    code = F.rpad(short, 2 * _BLOCK, "0")
-    inner = F.sha2(F.concat(_xor_hex(code, 0x36), message), 256)
-    return F.sha2(F.concat(_xor_hex(code, 0x5C), F.unhex(inner)), 256)
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hex of a binary message. The key is one for a whole query, so its padded forms are literals."""
+    padded = (hashlib.sha256(key).digest() if len(key) > _BLOCK else key).ljust(_BLOCK, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in padded)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
-def partner_key(secret: Column, partner: Column) -> Column:
-    """One binary key for each partner from a master secret."""
-    return F.unhex(hmac_sha256(secret.cast("binary"), F.concat(F.lit("partner:"), partner).cast("binary")))
+def partner_key(secret: str, partner: str) -> bytes:
+    """One key for each partner from a master secret."""
+    return hmac.digest(secret.encode(), f"partner:{partner}".encode(), "sha256")
 
 
-def pseudonym(key: Column, vehicle_id: Column) -> Column:
+def pseudonym(key: bytes, vehicle_id: Column) -> Column:
     """A vehicle's name for one partner: 16 hex digits."""
     return F.substring(hmac_sha256(key, vehicle_id.cast("binary")), 1, 16)
 

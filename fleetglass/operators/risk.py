@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CASE_SCORE, COOLDOWN_S, DECAY_S, MAX_DPD, ORDINALS, SIGNAL, WEIGHTS
-from .folds import fold_sorted
+from .folds import fold_tables, key_codes
 
 
 def weight(code: Column) -> Column:
@@ -29,39 +31,75 @@ def fade(age_s: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - age_s / DECAY_S)
 
 
-def _round2(x: float) -> float:
-    return round(x, 2)
+def standing(strength: list[float], ts: list[float], before: tuple[float, float] | None) -> list[tuple[float, float]]:
+    """For one code's signals in order the one that counts after each: a newer one takes over unless it is weaker than what is left of the old."""
+    out = []
+    for new in zip(strength, ts, strict=True):
+        left = before[0] * max(0.0, 1 - (new[1] - before[1]) / DECAY_S) if before else 0.0
+        before = new if before is None or new[0] >= left else before
+        out.append(before)
+    return out
 
 
-class Risk:
-    """One vehicle's active signals, last alerts and case; rows carry days_past_due and case_open."""
+def spaced(ts: list[float], last: float) -> tuple[list[bool], float]:
+    """Which moments are at least COOLDOWN_S after the last one chosen."""
+    out = []
+    for t in ts:
+        out.append(t - last >= COOLDOWN_S)
+        last = t if out[-1] else last
+    return out, last
+
+
+class Lanes:
+    """A vehicle's signals in lanes, one for each code: what counts there and which alerts are due follows lane by lane.
+
+    The score at a row takes from every lane what counted last, all rows of a vehicle at once. Between tables only the ends
+    of the lanes are kept.
+    """
 
     def __init__(self) -> None:
-        self.active: dict[str, tuple[float, float]] = {}
-        self.alerted: dict[str, float] = {}
-        self.case = False
-
-    def score(self, now: float, days: float) -> float:
-        total = sum(WEIGHTS.get(c, 0) * s * max(0.0, 1 - (now - t) / DECAY_S) for c, (s, t) in self.active.items())
-        return _round2(min(100.0, total * (1 + min(days or 0, MAX_DPD) / MAX_DPD)))
-
-    def row(self, row: dict) -> list[dict]:
-        code, ts = row["code"], row["ts"]
-        self.case = self.case or bool(row["case_open"])
-        old = self.active.get(code)
-        if old is None or row["strength"] >= old[0] * max(0.0, 1 - (ts - old[1]) / DECAY_S):
-            self.active[code] = (row["strength"], ts)
-        score = self.score(ts, row["days_past_due"])
-        alert = ts - self.alerted.get(code, float("-inf")) >= COOLDOWN_S
-        if alert:
-            self.alerted[code] = ts
-        opens = score > CASE_SCORE and not self.case
-        self.case = self.case or opens
-        strength, since = self.active[code]
-        return [row | {"score": score, "write_alert": alert, "open_case": opens, "active_strength": strength, "active_ts": since}]
-
-    def end(self) -> list[dict]:
-        return []
+        self.vehicle = None
+
+    def _vehicle(self, rows: pa.Table) -> tuple[np.ndarray, ...]:
+        n = rows.num_rows
+        ts, strength = (rows[c].to_numpy() for c in ("ts", "strength"))
+        coded = rows["code"].combine_chunks().dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        days = np.minimum(np.nan_to_num(rows["days_past_due"].to_numpy().astype(float)), MAX_DPD)
+        total, alert, active = np.zeros(n), np.zeros(n, dtype=bool), np.zeros((n, 2))
+        for code in dict.fromkeys([*self.ends, *names]):
+            at = np.flatnonzero(which == names.index(code)) if code in names else np.zeros(0, dtype=np.int64)
+            own = np.array([self.ends.get(code, (0.0, -np.inf)), *standing(strength[at].tolist(), ts[at].tolist(), self.ends.get(code))])
+            active[at] = own[1:]
+            if len(at):
+                self.ends[code] = tuple(own[-1].tolist())
+                alert[at], self.alerted[code] = spaced(ts[at].tolist(), self.alerted.get(code, -np.inf))
+            counts = own[np.searchsorted(at, np.arange(n), "right")]
+            total += WEIGHTS.get(code, 0) * counts[:, 0] * np.maximum(0.0, 1 - (ts - counts[:, 1]) / DECAY_S)
+        score = np.array([round(x, 2) for x in np.minimum(100.0, total * (1 + days / MAX_DPD)).tolist()])
+        known = self.case | np.maximum.accumulate(rows["case_open"].to_numpy(zero_copy_only=False).astype(bool))
+        opens = (score > CASE_SCORE) & ~known
+        opens[np.flatnonzero(opens)[1:]] = False
+        self.case = bool(known[-1] or opens.any())
+        return score, alert, opens, active
+
+    def take(self, table: pa.Table) -> pa.Table | None:
+        names, starts = key_codes(table)
+        parts = []
+        for vehicle, a, b in zip(names, starts.tolist(), starts[1:].tolist(), strict=False):
+            if vehicle != self.vehicle:
+                self.vehicle, self.ends, self.alerted, self.case = vehicle, {}, {}, False
+            parts.append(self._vehicle(table.slice(a, b - a)))
+        if not parts:
+            return None
+        score, alert, opens, active = (np.concatenate(x) for x in zip(*parts, strict=True))
+        made = {"score": score, "write_alert": alert, "open_case": opens, "active_strength": active[:, 0], "active_ts": active[:, 1]}
+        for name, column in made.items():
+            table = table.append_column(name, pa.array(column))
+        return table
+
+    def end(self) -> None:
+        return None
 
 
 DECIDED = SIGNAL.replace("detail map<string,string>", "detail string") + ", fired_ts double, days_past_due int, case_open boolean, score double, write_alert boolean, open_case boolean, active_strength double, active_ts double"
@@ -81,7 +119,7 @@ def decide(signals: DataFrame, loans: DataFrame, open_cases: DataFrame | None =
         case = F.coalesce("_case", F.lit(False))
     ready = due.select("vehicle_id", "code", "ts", "lat", "lon", "strength", F.to_json("detail").alias("detail"), F.coalesce("fired_ts", "ts").alias("fired_ts"), F.coalesce("days_past_due", F.lit(0)).alias("days_past_due"), case.alias("case_open"), ordinal(F.col("code")).alias("_ordinal"), F.col("detail").cast("string").alias("_tie"))
     kept = [x.split(" ")[0] for x in DECIDED.split(", ")]
-    return fold_sorted(ready, ["vehicle_id"], ["fired_ts", "_ordinal", "_tie"], Risk, DECIDED).select(*kept)
+    return fold_tables(ready, ["vehicle_id"], ["fired_ts", "_ordinal", "_tie"], Lanes, DECIDED).select(*kept)
 
 
 def active_signals(decided: DataFrame) -> DataFrame:

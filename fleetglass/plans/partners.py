@@ -23,13 +23,13 @@ def cell_insights(vehicles: DataFrame, k: int = K_ANONYMITY, precision: int = CE
     return grouped.where(F.col("vehicles") >= k)
 
 
-def anonymous_events(events: DataFrame, counts: DataFrame, key: Column, k: int = K_ANONYMITY, precision: int = CELL_PRECISION) -> DataFrame:
+def anonymous_events(events: DataFrame, counts: DataFrame, key: bytes, k: int = K_ANONYMITY, precision: int = CELL_PRECISION) -> DataFrame:
     """Events (vehicle_id, code, ts, geohash) under pseudonyms, by hour and cell; rare cells are left out."""
     placed = events.withColumn("cell", coarse_cell(F.col("geohash"), precision)).join(counts.where(F.col("vehicles") >= k), "cell")
     return placed.select(pseudonym(key, F.col("vehicle_id")).alias("vehicle"), F.col("code").alias("event"), hour_of(F.col("ts")).alias("hour"), "cell")
 
 
-def share(positions: DataFrame, scores: DataFrame, alerts: DataFrame, key: Column, now: float) -> tuple[DataFrame, DataFrame]:
+def share(positions: DataFrame, scores: DataFrame, alerts: DataFrame, key: bytes, now: float) -> tuple[DataFrame, DataFrame]:
     """Cell figures of the live fleet, and the last day's exits and tows as anonymous events."""
     from ..functions.geo import geohash
 

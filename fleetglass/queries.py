@@ -675,8 +675,8 @@ def serve_masked_samples(spark: SparkSession, sf: str) -> DataFrame:
 SECRET, PARTNER = "master secret", "partner 1"
 
 
-def _key() -> Column:
-    return privacy.partner_key(F.lit(SECRET), F.lit(PARTNER))
+def _key() -> bytes:
+    return privacy.partner_key(SECRET, PARTNER)
 
 
 @query
