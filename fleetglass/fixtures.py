@@ -69,13 +69,13 @@ SELECT CAST(o_orderkey AS BIGINT) AS case_id, CAST(o_custkey + 1 AS BIGINT) AS l
 FROM orders
 """,
     "alert": """
-SELECT l_orderkey * 10 + l_linenumber AS alert_id, 'VH-' || lpad(CAST(l_partkey % 150 + 1 AS STRING), 6, '0') AS vehicle_id,
+SELECT l_orderkey * 10 + l_linenumber AS alert_id, 'VH-' || lpad(CAST(l_partkey % (SELECT max(user_id) + 1 FROM events) + 1 AS STRING), 6, '0') AS vehicle_id,
   CASE l_suppkey % 4 WHEN 0 THEN 'TOW_SUSPECTED' WHEN 1 THEN 'GEOFENCE_EXIT' WHEN 2 THEN 'TAMPER_SUSPECTED' ELSE 'SPEED_SPIKE' END AS code, CAST(1704067200 + (l_orderkey * 104729 + l_linenumber * 7919) % 259200 AS DOUBLE) AS created_ts,
   CAST(CAST((l_orderkey * 37 + l_linenumber * 11) % 10001 AS DOUBLE) / CAST(100 AS DOUBLE) AS DOUBLE) AS risk_score, l_orderkey AS case_id
 FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) AS lines
 """,
 }
-BASES = {"readings": ("events",), "telemetry": ("events",), "payloads": ("events",), "loan": ("customer",), "agent": ("supplier",), "recovery_case": ("orders",), "alert": ("lineitem",)}
+BASES = {"readings": ("events",), "telemetry": ("events",), "payloads": ("events",), "loan": ("customer",), "agent": ("supplier",), "recovery_case": ("orders",), "alert": ("lineitem", "events")}
 NEEDS = {"telemetry": ("readings",), "payloads": ("readings",)}
 
 

@@ -156,12 +156,13 @@ WHERE moved > 500 AND {' AND '.join(f"{_haversine('slat', 'slon', f'{p}.lat', f'
 _put("anomaly_night", ("telemetry",), """SELECT vehicle_id, 'NIGHT_MOVEMENT' AS code, device_ts AS ts, floor(x)::BIGINT::VARCHAR AS local_hour FROM (SELECT *, ((device_ts + 19800) % 86400) / 3600 AS x FROM hashed) LEFT JOIN drive USING (vehicle_id)
 WHERE x < 5 AND ignition AND speed_kmh >= 5 AND NOT coalesce(x >= h0 AND x < h1 + 1, false)""", _HASHED, _BASE)
 _put("anomaly_speed", ("telemetry",), """SELECT vehicle_id, 'SPEED_SPIKE' AS code, device_ts AS ts FROM (SELECT vehicle_id, device_ts, avg(speed_kmh) FILTER (speed_kmh >= 5) OVER w AS mean, count(*) FILTER (speed_kmh >= 5) OVER w AS n FROM telemetry
-  WINDOW w AS (PARTITION BY vehicle_id ORDER BY device_ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)) JOIN (SELECT vehicle_id, avg(speed_kmh) AS m, coalesce(stddev_samp(speed_kmh), 0) / 10 AS s FROM telemetry WHERE seq % 2 = 0 AND speed_kmh >= 5 GROUP BY 1) USING (vehicle_id)
+  WINDOW w AS (PARTITION BY vehicle_id ORDER BY device_ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)) JOIN (SELECT vehicle_id, avg(speed_kmh) AS m, coalesce(stddev_samp(speed_kmh), 0) AS s FROM telemetry WHERE speed_kmh >= 5 GROUP BY 1) USING (vehicle_id)
 WHERE n >= 5 AND mean > m + 3 * s""")
 
 # routes and convoys
 _put("route_nearest_nodes", ("telemetry",), """SELECT source_id AS point_id, arg_min(node_id, {'d': d, 'n': node_id}) AS node_id FROM (SELECT source_id, node_id, sqrt(pow((n.lon - t.lon) * cos(radians(t.lat)), 2) + pow(n.lat - t.lat, 2)) AS d
-  FROM telemetry t, (SELECT p_partkey::INT AS node_id, 12.95::DOUBLE + floor(p_partkey / 10) * 0.006::DOUBLE AS lat, 77.58::DOUBLE + p_partkey % 10 * 0.006::DOUBLE AS lon FROM part WHERE p_partkey < 100) n) GROUP BY 1""")
+  FROM telemetry t, (SELECT k AS node_id, 12.95::DOUBLE + CASE WHEN k < 100 THEN k // 10 ELSE least(k - e * e, e) END * 0.006::DOUBLE AS lat, 77.58::DOUBLE + CASE WHEN k < 100 THEN k % 10 ELSE least(e, 2 * e - (k - e * e)) END * 0.006::DOUBLE AS lon
+  FROM (SELECT DISTINCT p_partkey::INT AS k, floor(sqrt(p_partkey))::INT AS e FROM part)) n) GROUP BY 1""")
 _put("route_trips", ("telemetry",), """SELECT vehicle_id, seq, starts, sum(starts::INT) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq)::BIGINT AS trip FROM (SELECT *, ignition AND NOT coalesce(lag(ignition) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq), false) AS starts FROM noisy WHERE NOT suspect)""", _HASHED, _NOISE, recursive=True)
 _put("convoy_snapshots", ("telemetry",), "SELECT slot, vehicle_id, lat, lon, speed_kmh FROM states", _HASHED, _STATES)
 _put("convoy_live", ("telemetry",), "SELECT vehicle_id, device_ts, seq FROM positions WHERE (SELECT max(device_ts) FROM positions) - device_ts <= 120", _HASHED, _POSITIONS)
@@ -194,7 +195,7 @@ _put("job_report_at_risk", ("alert", "loan"), "SELECT lender_id, r - 1 AS at, ve
 # serving
 _put("serve_live_counts", ("telemetry", "loan"), "SELECT lender_id, count(*) FILTER (device_ts >= (SELECT max(device_ts) FROM positions) - 7200) AS live FROM positions JOIN own USING (vehicle_id) GROUP BY 1", _HASHED, _POSITIONS, _OWN)
 _put("serve_on_the_map", ("telemetry",), "SELECT vehicle_id, device_ts FROM positions WHERE device_ts > (SELECT max(device_ts) FROM positions) - 40000", _HASHED, _POSITIONS)
-_put("serve_in_box", ("telemetry", "alert", "loan"), "SELECT vehicle_id, lat, lon, coalesce(score, 0) AS score FROM positions LEFT JOIN board USING (vehicle_id) WHERE lat BETWEEN 12.97 AND 13.0 AND lon BETWEEN 77.59 AND 77.61", _HASHED, _POSITIONS, _BOARD)
+_put("serve_in_box", ("telemetry", "alert", "loan"), "SELECT vehicle_id, lat, lon, coalesce(score, 0) AS score FROM positions LEFT JOIN board USING (vehicle_id) WHERE lat BETWEEN 12.97 AND 13.0 AND lon BETWEEN 77.59 AND 77.61 AND device_ts >= (SELECT max(device_ts) FROM positions) - 7200 AND vehicle_id IN (SELECT vehicle_id FROM own WHERE lender_id = 1)", _HASHED, _POSITIONS, _BOARD, _OWN)
 _put("serve_owned", ("telemetry", "loan"), "SELECT vehicle_id, device_ts FROM positions WHERE vehicle_id IN (SELECT vehicle_id FROM own WHERE lender_id = 1)", _HASHED, _POSITIONS, _OWN)
 _put("serve_vehicle_detail", ("telemetry", "loan"), "SELECT vehicle_id, loan_id, status, oem FROM (SELECT vehicle_id, min(oem) AS oem FROM telemetry GROUP BY 1) LEFT JOIN (SELECT * FROM loan WHERE status <> 'closed') USING (vehicle_id)")
 _put("serve_latest_alerts", ("alert",), "SELECT * FROM (SELECT vehicle_id, created_ts, code, row_number() OVER (PARTITION BY vehicle_id ORDER BY created_ts DESC, code) AS rank FROM (SELECT DISTINCT vehicle_id, created_ts, code FROM alert)) WHERE rank <= 50")
@@ -209,7 +210,7 @@ _put("serve_case_detail", ("alert", "recovery_case"), "SELECT case_id, status, c
 _put("serve_updated_cases", ("loan", "agent", "recovery_case"), """SELECT case_id, CASE WHEN asked AND fits THEN coalesce(new_status, CASE WHEN new_agent_id IS NOT NULL THEN 'in_progress' END, status) ELSE status END AS status, CASE WHEN asked AND fits THEN coalesce(new_agent_id, agent_id) ELSE agent_id END AS agent_id
 FROM (SELECT c.*, case_id % 3 = 0 AND l.loan_id IS NOT NULL AS asked, CASE WHEN case_id % 2 = 0 THEN 'closed' END AS new_status, CASE WHEN case_id % 5 < 3 THEN case_id % 90 END AS new_agent_id, case_id % 5 >= 3 OR coalesce(a.lender_id = l.lender_id, false) AS fits
   FROM recovery_case c LEFT JOIN loan l USING (loan_id) LEFT JOIN agent a ON a.agent_id = c.case_id % 90)""")
-_put("serve_board_without_done", ("alert", "loan", "recovery_case"), "SELECT * FROM board WHERE vehicle_id NOT IN (SELECT vehicle_id FROM recovery_case c JOIN loan USING (loan_id) WHERE case_id % 7 = 0 AND c.status IN ('recovered', 'closed'))", _BOARD)
+_put("serve_board_without_done", ("alert", "loan", "recovery_case"), "SELECT * FROM board WHERE vehicle_id NOT IN (SELECT vehicle_id FROM recovery_case c JOIN loan USING (loan_id) WHERE c.status IN ('recovered', 'closed'))", _BOARD)
 _put("serve_agents", ("agent",), "SELECT agent_id, name, CASE WHEN agent_id % 2 = 0 THEN round_even(12.9::DOUBLE + agent_id / 1000::DOUBLE, 6) END AS lat FROM agent WHERE lender_id = 1")
 _put("serve_risk_history", ("alert",), f"SELECT vehicle_id, max(risk_score) AS peak_score FROM alert WHERE created_ts >= {NOW - 2 * 86_400} AND created_ts < {NOW} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 _put("serve_grouped_alerts", ("alert",), "SELECT vehicle_id, code, max(created_ts) AS created_ts, count(*) AS repeats FROM alert GROUP BY 1, 2")
@@ -240,3 +241,99 @@ _put("monitor_purge", ("telemetry", "alert", "recovery_case"), """SELECT 'alerts
      "truth AS (SELECT DISTINCT vehicle_id, persona FROM telemetry), kept AS (SELECT a.* FROM alert a LEFT JOIN truth USING (vehicle_id) WHERE NOT (code = 'TOW_SUSPECTED' AND coalesce(persona, -1) <> 0) AND NOT (code = 'TAMPER_SUSPECTED' AND coalesce(persona, -1) <> 1))")
 _put("monitor_loan_status", ("loan",), "SELECT CASE WHEN days_past_due = 0 THEN 'current' WHEN days_past_due < 90 THEN 'overdue' ELSE 'default' END AS status, count(*) AS n FROM loan GROUP BY 1")
 _put("monitor_numbered", ("alert",), "SELECT alert_id, row_number() OVER (ORDER BY alert_id) AS row_no FROM alert")
+
+
+# rules that look back on their own results, step by step
+def _leaving(waiting: str, newest: str, number: str, now: str) -> str:
+    """How many of the waiting rows may leave: up to the first that is neither behind the watermark, next in number nor held too long."""
+    return f"""(coalesce(list_position(list_transform({waiting}, lambda x, i: x.ts <= {newest} - 120 OR x.seq = coalesce({waiting}[i - 1].seq, {number}) + 1 OR x.came <= {now} - 130), false), len({waiting}) + 1) - 1)"""
+
+
+def _sequence(arrivals: str) -> str:
+    """``released`` (vehicle_id, seq, outcome, position) and ``stepped`` (vehicle_id, n, session) of arrivals from a table with vehicle_id, seq, ts, came and n."""
+    return f"""
+arrived AS ({arrivals}),
+stepped(vehicle_id, n, waiting, newest, last_ts, number, top, session, gone) AS (
+  SELECT DISTINCT vehicle_id, 0::BIGINT, []::STRUCT(ts DOUBLE, seq BIGINT, came DOUBLE)[], -1e18::DOUBLE, -1e18::DOUBLE, 0::BIGINT, -1::BIGINT, 0::BIGINT, []::STRUCT(seq BIGINT, late BOOLEAN)[] FROM arrived
+  UNION ALL
+  SELECT a.vehicle_id, a.n, w3[k2 + 1:], newest3, CASE WHEN k2 > 0 THEN w3[k2].ts ELSE last2 END, CASE WHEN k2 > 0 THEN w3[k2].seq ELSE number2 END, top3, session2,
+    list_concat(list_transform(list_concat(s.waiting[:k1], CASE WHEN again THEN w1 ELSE [] END), lambda x: {{'seq': x.seq, 'late': false}}), CASE WHEN late THEN [{{'seq': a.seq, 'late': true}}] ELSE list_transform(w3[:k2], lambda x: {{'seq': x.seq, 'late': false}}) END)
+  FROM stepped s JOIN arrived a ON a.vehicle_id = s.vehicle_id AND a.n = s.n + 1,
+    LATERAL (SELECT {_leaving('s.waiting', 's.newest', 's.number', 'a.came')} AS k1, a.seq <= 5 AND s.top - a.seq >= 50 AS again) AS l1,
+    LATERAL (SELECT s.waiting[k1 + 1:] AS w1, CASE WHEN k1 > 0 THEN s.waiting[k1].ts ELSE s.last_ts END AS last1, CASE WHEN k1 > 0 THEN s.waiting[k1].seq ELSE s.number END AS number1) AS l2,
+    LATERAL (SELECT CASE WHEN again THEN [] ELSE w1 END AS w2, CASE WHEN again THEN -1e18 ELSE s.newest END AS newest2, CASE WHEN again THEN -1e18 ELSE last1 END AS last2, CASE WHEN again THEN 0 ELSE number1 END AS number2,
+      CASE WHEN again THEN -1 ELSE s.top END AS top2, s.session + again::BIGINT AS session2) AS l3,
+    LATERAL (SELECT a.ts < last2 OR a.ts < newest2 - 120 AS late) AS l4,
+    LATERAL (SELECT CASE WHEN late THEN w2 ELSE list_sort(list_append(w2, {{'ts': a.ts, 'seq': a.seq, 'came': a.came}})) END AS w3, CASE WHEN late THEN newest2 ELSE greatest(newest2, a.ts) END AS newest3, CASE WHEN late THEN top2 ELSE greatest(top2, a.seq) END AS top3) AS l5,
+    LATERAL (SELECT CASE WHEN late THEN 0 ELSE {_leaving('w3', 'newest3', 'number2', 'a.came')} END AS k2) AS l6),
+let_go AS (
+  SELECT vehicle_id, n, gone FROM stepped
+  UNION ALL SELECT vehicle_id, n + 1, list_transform(waiting, lambda x: {{'seq': x.seq, 'late': false}}) FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY n DESC) AS r FROM stepped) WHERE r = 1),
+released AS (SELECT vehicle_id, r.seq AS seq, CASE WHEN r.late THEN 'late' ELSE 'normal' END AS outcome, row_number() OVER (PARTITION BY vehicle_id ORDER BY n, i) AS position
+  FROM (SELECT vehicle_id, n, unnest(gone) AS r, generate_subscripts(gone, 1) AS i FROM let_go))"""
+
+
+_ARRIVAL = "SELECT vehicle_id, seq, device_s::DOUBLE AS ts, ingest_ts AS came, row_number() OVER (PARTITION BY vehicle_id ORDER BY ingest_ts, arrival) AS n"
+_put("clean_reorder", ("payloads",), "SELECT vehicle_id, seq, outcome, position FROM released", _PARSED, _sequence(f"{_ARRIVAL} FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingest_ts, arrival) AS r FROM judged WHERE NOT bad) WHERE r = 1"), recursive=True)
+_put("clean_sessions", ("payloads",), 'SELECT a.vehicle_id, a.seq, a.arrival AS "offset", s.session FROM stepped s JOIN arrived a USING (vehicle_id, n)', _PARSED, _sequence(f"{_ARRIVAL}, arrival FROM judged WHERE NOT bad"), recursive=True)
+_put("clean_reorder_stats", ("payloads",), "SELECT sum(s)::BIGINT AS sessions_restarted, count(*) AS vehicles_tracked FROM (SELECT vehicle_id, max(session) AS s FROM stepped GROUP BY 1)", _PARSED, _sequence(f"{_ARRIVAL} FROM judged WHERE NOT bad"), recursive=True)
+_DEDUPED = """deduped AS (SELECT * FROM (SELECT *, lag(floor(ingest_ts / 600)) OVER (PARTITION BY event_id ORDER BY ingest_ts, arrival) AS last FROM judged WHERE NOT bad) WHERE last IS NULL OR last < floor(ingest_ts / 600) - 1)"""
+_TRUSTED = f"""
+turn AS (SELECT d.vehicle_id, d.seq, d.arrival, d.oem, device_s::DOUBLE AS ts, lat_e6::DOUBLE / 1000000::DOUBLE AS lat, lon_e6::DOUBLE / 1000000::DOUBLE AS lon, speed * CASE d.oem WHEN 'A' THEN 1 WHEN 'B' THEN 1.609344::DOUBLE ELSE 3.6::DOUBLE END AS kmh,
+  outcome, row_number() OVER (PARTITION BY d.vehicle_id, outcome ORDER BY position) AS p FROM deduped d JOIN released USING (vehicle_id, seq)),
+fix(vehicle_id, seq, p, suspect, flat, flon, fts) AS (
+  SELECT vehicle_id, seq, p, false, lat, lon, ts FROM turn WHERE p = 1 AND outcome = 'normal'
+  UNION ALL
+  SELECT vehicle_id, seq, p, jump, CASE WHEN jump OR snap THEN flat ELSE lat END, CASE WHEN jump OR snap THEN flon ELSE lon END, CASE WHEN jump THEN fts ELSE ts END
+  FROM (SELECT t.*, f.flat, f.flon, f.fts, t.ts > f.fts AND moved / (t.ts - f.fts) * 3.6 > 250 AS jump, t.kmh < 1 AND moved < 15 AND NOT (t.ts > f.fts AND moved / (t.ts - f.fts) * 3.6 > 250) AS snap
+    FROM fix f JOIN turn t ON t.vehicle_id = f.vehicle_id AND t.p = f.p + 1 AND t.outcome = 'normal', LATERAL (SELECT {_haversine('f.flat', 'f.flon', 't.lat', 't.lon')} AS moved) AS m) AS judged_fix),
+fate AS (SELECT t.arrival, t.oem, t.outcome, coalesce(f.suspect, false) AS suspect FROM turn t LEFT JOIN fix f ON t.outcome = 'normal' AND f.vehicle_id = t.vehicle_id AND f.seq = t.seq)"""
+_CLEANED = (_PARSED, _DEDUPED, _sequence(f"{_ARRIVAL} FROM deduped"), _TRUSTED)
+_put("clean_outcome_counts", ("payloads",), """SELECT name, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN outcome = 'normal' THEN 'normalized' ELSE 'late' END, CASE WHEN outcome = 'normal' THEN 'normalized.' || oem END, CASE WHEN suspect THEN 'suspect_gps' END], lambda x: x IS NOT NULL)) AS name FROM fate) GROUP BY 1""", *_CLEANED, recursive=True)
+_put("norm_pipeline_counters", ("payloads",), """SELECT name, count(*) AS n FROM (
+  SELECT unnest(list_filter(['in', 'in.' || format, CASE WHEN bad THEN 'dead_letter' END, CASE WHEN bad THEN 'dead_letter.' || reason END, CASE WHEN bad THEN 'dead_letter.oem.' || format END, CASE WHEN NOT bad THEN 'parsed' END, CASE WHEN NOT bad THEN 'parsed.' || format END], lambda x: x IS NOT NULL)) AS name FROM judged
+  UNION ALL SELECT unnest(['duplicates_dropped', 'duplicates_dropped.' || oem]) FROM judged WHERE NOT bad AND arrival NOT IN (SELECT arrival FROM deduped)
+  UNION ALL SELECT unnest(list_filter([CASE WHEN outcome = 'normal' THEN 'normalized' ELSE 'late' END, CASE WHEN outcome = 'normal' THEN 'normalized.' || oem END, CASE WHEN suspect THEN 'suspect_gps' END], lambda x: x IS NOT NULL)) FROM fate) GROUP BY 1""", *_CLEANED, recursive=True)
+_put("norm_sample_outcomes", ("payloads",), """SELECT j.arrival AS "offset", j.format AS oem, CASE WHEN j.bad THEN 'dead_letter' WHEN f.arrival IS NULL THEN 'duplicate' WHEN f.outcome = 'late' THEN 'late' WHEN f.suspect THEN 'flagged' ELSE 'clean' END AS outcome
+FROM (SELECT *, row_number() OVER (ORDER BY arrival) AS r FROM judged) j LEFT JOIN fate f USING (arrival) WHERE r % 7 = 0""", *_CLEANED, recursive=True)
+_put("anomaly_tampers", ("telemetry",), """SELECT vehicle_id, 'TAMPER_SUSPECTED' AS code, ts, silent_s FROM (SELECT vehicle_id, fired AS ts, silent_s FROM watch WHERE fired IS NOT NULL
+  UNION ALL SELECT w.vehicle_id, w.point, round_even(clock - w.last, 0)::BIGINT::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY seq DESC) AS r FROM watch) w, (SELECT max(device_ts) AS clock FROM noisy) WHERE r = 1 AND w.point IS NOT NULL AND clock - w.last >= 900)""",
+     _HASHED, _NOISE, """
+odd AS (SELECT *, suspect OR battery_v < 3.6 OR max(battery_v) OVER (PARTITION BY vehicle_id ORDER BY device_ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) - battery_v >= 0.2::DOUBLE AS is_odd FROM noisy),
+watch(vehicle_id, seq, last, point, fired, silent_s) AS (
+  SELECT vehicle_id, seq, device_ts, CASE WHEN is_odd THEN device_ts END, NULL::DOUBLE, NULL::VARCHAR FROM odd WHERE seq = 1
+  UNION ALL
+  SELECT o.vehicle_id, o.seq, o.device_ts, CASE WHEN kept IS NOT NULL THEN kept WHEN o.is_odd THEN o.device_ts END, CASE WHEN fires THEN w.point END, CASE WHEN fires THEN round_even(o.device_ts - w.last, 0)::BIGINT::VARCHAR END
+  FROM watch w JOIN odd o ON o.vehicle_id = w.vehicle_id AND o.seq = w.seq + 1, LATERAL (SELECT w.point IS NOT NULL AND o.device_ts - w.last >= 900 AS fires) AS a, LATERAL (SELECT CASE WHEN NOT fires AND o.device_ts - w.point <= 900 THEN w.point END AS kept) AS b)""", recursive=True)
+
+# cells
+_BOX = """boxed AS (SELECT source_id, lat, lon, geohash, least(floor((lon + 180) / 360 * 262144), 262143)::BIGINT AS x, least(floor((lat + 90) / 180 * 131072), 131071)::BIGINT AS y FROM hashed)"""
+_put("geo_cells", ("telemetry",), f"""SELECT source_id, geohash, round_even(y / 131072::DOUBLE * 180 - 90, 9) AS lat_lo, round_even((y + 1) / 131072::DOUBLE * 180 - 90, 9) AS lat_hi, round_even(x / 262144::DOUBLE * 360 - 180, 9) AS lon_lo, round_even((x + 1) / 262144::DOUBLE * 360 - 180, 9) AS lon_hi,
+  concat_ws(',', {', '.join(_geohash(f"((y + {i + 0.5}) / 131072::DOUBLE * 180 - 90)", f"((x + {j + 0.5}) / 262144::DOUBLE * 360 - 180)", 7) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)}) AS neighbours FROM boxed""", _HASHED, _BOX)
+
+
+def _in(lat: str, lon: str) -> str:
+    return f"(SELECT count(*) % 2 = 1 FROM side WHERE (la1 > {lat}) <> (la2 > {lat}) AND {lon} < lo1 + ({lat} - la1) * (lo2 - lo1) / (la2 - la1))"
+
+
+#: Cells of 15 bits each way that the ring's bounding box meets.
+_COVER = f"""
+cells AS (SELECT y / 32768::DOUBLE * 180 - 90 AS s, (y + 1) / 32768::DOUBLE * 180 - 90 AS n, x / 32768::DOUBLE * 360 - 180 AS w, (x + 1) / 32768::DOUBLE * 360 - 180 AS e
+  FROM (SELECT unnest(range(floor((min(lat) + 90) / 180 * 32768)::BIGINT, floor((max(lat) + 90) / 180 * 32768)::BIGINT + 1)) AS y FROM corner), (SELECT unnest(range(floor((min(lon) + 180) / 360 * 32768)::BIGINT, floor((max(lon) + 180) / 360 * 32768)::BIGINT + 1)) AS x FROM corner)),
+placed AS (SELECT {_geohash('((s + n) / 2)', '((w + e) / 2)', 6)} AS cell, {' + '.join(f"{_in(a, b)}::INT" for a in 'sn' for b in 'we')} AS corners, {_in('((s + n) / 2)', '((w + e) / 2)')} AS centre, EXISTS (SELECT 1 FROM corner WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e) AS vertex FROM cells),
+cover AS (SELECT cell, CASE WHEN corners = 4 AND NOT vertex THEN 'inside' ELSE 'border' END AS state FROM placed WHERE corners > 0 OR centre OR vertex)"""
+_put("fence_cover", ("loan",), "SELECT lender_id AS geofence_id, cell, state FROM (SELECT DISTINCT lender_id FROM loan), cover", _EDGES, _COVER)
+_put("fence_exact_checks", ("telemetry", "loan"), "SELECT count(*) AS exact_checks FROM hashed JOIN own USING (vehicle_id) JOIN cover ON cell = substr(geohash, 1, 6) WHERE state = 'border'", _HASHED, _EDGES, _COVER, _OWN)
+
+# baselines, reports, lookups
+_put("snk_upsert_baselines", ("telemetry",), """SELECT p.vehicle_id, h.geohash AS home_cell, h0::INT AS active_from, (h1 + 1)::INT AS active_to FROM picked p
+LEFT JOIN cell h ON h.vehicle_id = p.vehicle_id AND h.late = p.late AND h.r = 1 LEFT JOIN driven d ON d.vehicle_id = p.vehicle_id AND d.late = p.late""", _HASHED, f"""
+halves AS (SELECT *, seq > 20 AS late, hour({_LOCAL}) AS h FROM hashed), picked AS (SELECT vehicle_id, bool_or(late) AS late FROM halves GROUP BY 1),
+cell AS (SELECT vehicle_id, late, geohash, row_number() OVER (PARTITION BY vehicle_id, late ORDER BY count(*) DESC, geohash) AS r FROM halves WHERE speed_kmh < {MOVING_KMH} AND (h < 6 OR h >= 22) GROUP BY 1, 2, 3),
+driven AS (SELECT vehicle_id, late, quantile_disc(h, 0.05) AS h0, quantile_disc(h, 0.95) AS h1 FROM halves WHERE speed_kmh >= {MOVING_KMH} GROUP BY 1, 2)""")
+_put("snk_reports", ("alert", "loan"), f"SELECT lender_id, '{DAY}' AS date, vehicles, coalesce(alerts, 0) AS alerts FROM (SELECT lender_id, count(*) FILTER (status <> 'closed') AS vehicles FROM loan GROUP BY 1) LEFT JOIN (SELECT lender_id, count(*) AS alerts FROM today GROUP BY 1) USING (lender_id)", _TODAY)
+_put("snk_report_of_day", ("loan", "recovery_case"), f"""SELECT lender_id, '{DAY}' AS date, count(*) AS opened FROM recovery_case JOIN loan USING (loan_id) WHERE strftime(to_timestamp(opened_ts) AT TIME ZONE 'UTC' + INTERVAL 330 MINUTE, '%Y-%m-%d') = '{DAY}' GROUP BY 1""")
+_put("job_replay_rows", ("telemetry",), f"SELECT vehicle_id, count(*) AS n, min(seq) AS first_seq, 0::BIGINT AS late_marks FROM hashed WHERE strftime({_LOCAL}, '%Y-%m-%d') = '{DAY}' GROUP BY 1", _HASHED)
+_put("serve_geofences", ("loan",), "SELECT 1::BIGINT AS geofence_id, k::BIGINT AS at, round_even(lat, 6) AS lat, round_even(lon, 6) AS lon FROM corner WHERE EXISTS (SELECT 1 FROM loan WHERE lender_id = 1)", _EDGES)
+_put("serve_baselines", ("telemetry", "loan"), """SELECT l.vehicle_id, home.geohash AS home_cell, coalesce(h0, -1)::INT AS active_from, coalesce(h1 + 1, -1)::INT AS active_to FROM (SELECT vehicle_id FROM own) l
+LEFT JOIN home ON home.vehicle_id = l.vehicle_id AND home.r = 1 LEFT JOIN drive ON drive.vehicle_id = l.vehicle_id""", _HASHED, _BASE, _OWN)

@@ -145,6 +145,16 @@ def write_reports(reports: DataFrame, date: str, root: str) -> None:
     reports.withColumn("date", F.lit(date)).repartition("lender_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lender_id", "date").json(root)
 
 
+def read_reports(spark, root: str) -> DataFrame:
+    """The written reports with their lender_id and date."""
+    return spark.read.option("basePath", root).json(root).withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumn("lender_id", F.col("lender_id").cast("long"))
+
+
+def report_of(reports: DataFrame, date: str | None = None) -> DataFrame:
+    """Each lender's report of a day, or the newest one if no day is given."""
+    return reports.where(F.col("date") == date) if date else latest_report(reports)
+
+
 def latest_report(reports: DataFrame) -> DataFrame:
     """The newest report of each lender from rows with lender_id, date and other columns."""
     rest = [c for c in reports.columns if c != "lender_id"]

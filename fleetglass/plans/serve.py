@@ -66,6 +66,11 @@ def vehicle_detail(vehicles: DataFrame, loans: DataFrame, devices: DataFrame) ->
     return vehicles.join(loans.where("status <> 'closed'"), "vehicle_id", "left").join(devices, "vehicle_id", "left")
 
 
+def with_baseline(vehicles: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Vehicles with their usual cells, the bounds of their driving hours and speeds; null where nothing was learned."""
+    return vehicles.join(baselines.select("vehicle_id", "home_cell", "work_cell", "active_from", "active_to", "avg_speed", "std_speed"), "vehicle_id", "left")
+
+
 def latest_alerts(alerts: DataFrame, per_vehicle: int = 50) -> DataFrame:
     """The newest alerts of each vehicle."""
     rank = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(F.desc("created_ts"), "code"))

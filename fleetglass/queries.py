@@ -191,9 +191,24 @@ def snk_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def snk_latest_report(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.latest_report(_opened_by_day(spark, sf))
+
+
+def _opened_by_day(spark: SparkSession, sf: str) -> DataFrame:
     daily = _table(spark, sf, "recovery_case").join(_table(spark, sf, "loan").select("loan_id", "lender_id"), "loan_id")
-    daily = daily.groupBy("lender_id", F.date_format(jobs.local_date(F.col("opened_ts")), "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("opened"))
-    return jobs.latest_report(daily)
+    return daily.groupBy("lender_id", F.date_format(jobs.local_date(F.col("opened_ts")), "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("opened"))
+
+
+@query
+def snk_report_of_day(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.report_of(_opened_by_day(spark, sf), DAY)
+
+
+@query
+def snk_reports(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "reports")
+    jobs.write_reports(_report(spark, sf), DAY, path)
+    return jobs.read_reports(spark, path).select("lender_id", "date", "vehicles", "alerts")
 
 
 # ---------------------------------------------------------------- normalisation
@@ -225,6 +240,20 @@ def norm_samples(spark: SparkSession, sf: str) -> DataFrame:
     return normalise.samples(_normalised(spark, sf), every=100)
 
 
+@query
+def norm_pipeline_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written(_normalised(spark, sf), "normalised")
+    parsed = normalise.events(rows)
+    cleaned = written(clean.clean(parsed), "cleaned")
+    return normalise.counters(rows).unionByName(clean.duplicate_counts(parsed, cleaned)).unionByName(clean.outcome_counts(cleaned))
+
+
+@query
+def norm_sample_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written(_normalised(spark, sf), "normalised")
+    return normalise.sample_outcomes(rows, clean.clean(normalise.events(rows)), every=7).select("offset", "oem", "outcome")
+
+
 # ---------------------------------------------------------------- cleaning
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return normalise.events(_normalised(spark, sf))
@@ -255,6 +284,11 @@ def clean_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return clean.sessions(_parsed(spark, sf))
 
 
+@query
+def clean_reorder_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.reorder_stats(clean.sessions(_parsed(spark, sf)))
+
+
 @query
 def clean_noise(spark: SparkSession, sf: str) -> DataFrame:
     out = _trusted_events(spark, sf)
@@ -474,6 +508,13 @@ def job_export_rows(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.export_rows(_events(spark, sf)).groupBy("date", "cell").agg(F.count("*").alias("n"))
 
 
+@query
+def job_replay_rows(spark: SparkSession, sf: str) -> DataFrame:
+    marked = clean.behind_watermark(_events(spark, sf)).withColumn("flags", F.when(F.col("late"), F.array(F.lit("late"))).otherwise(F.col("flags"))).drop("late")
+    rows = jobs.replay_rows(jobs.export_rows(marked), DAY)
+    return rows.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.sum(F.size("flags").cast("long")).alias("late_marks"))
+
+
 @query
 def job_missing_days(spark: SparkSession, sf: str) -> DataFrame:
     history = jobs.export_rows(_events(spark, sf))
@@ -555,6 +596,20 @@ def serve_vehicle_detail(spark: SparkSession, sf: str) -> DataFrame:
     return serve.vehicle_detail(t.select("vehicle_id").distinct(), _table(spark, sf, "loan"), devices).select("vehicle_id", "loan_id", "status", "oem")
 
 
+@query
+def serve_geofences(spark: SparkSession, sf: str) -> DataFrame:
+    areas = serve.lender_geofences(_fences(spark, sf), 1)
+    points = areas.select("geofence_id", F.posexplode(geo.ring_from_geojson(F.col("area"))).alias("at", "p"))
+    return points.select("geofence_id", F.col("at").cast("long").alias("at"), F.bround("p.lat", 6).alias("lat"), F.bround("p.lon", 6).alias("lon"))
+
+
+@query
+def serve_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    owned = serve.ownership(_table(spark, sf, "loan")).select("vehicle_id")
+    found = serve.with_baseline(owned, jobs.baselines(_events(spark, sf)))
+    return found.select("vehicle_id", "home_cell", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("active_from", "active_to")])
+
+
 @query
 def serve_latest_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return serve.latest_alerts(_table(spark, sf, "alert").dropDuplicates(["vehicle_id", "created_ts", "code"]), 50).select("vehicle_id", "created_ts", "code", F.col("rank").cast("long").alias("rank"))
