@@ -40,7 +40,7 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable
         if state is not None and (rest := state.end()):
             yield pd.DataFrame(rest, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return _by_key(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -58,6 +58,11 @@ def key_codes(table: pa.Table, column: str = "vehicle_id") -> tuple[list[str], n
     return [names[codes[k]] for k in starts], np.append(starts, len(codes))
 
 
+def _by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partitioned by key, in as many parts as shuffles have: a fold costs more than its bytes tell, so small parts stay apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold_tables(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
     """Runs one ``step()`` for each task over its sorted rows.
 
@@ -77,7 +82,7 @@ def fold_tables(df: DataFrame, keys: list[str], order: list[str], step: Callable
             yield from shaped(state.take(pa.Table.from_batches([batch])))
         yield from shaped(state.end())
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return _by_key(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _top_level(schema: str) -> list[str]:

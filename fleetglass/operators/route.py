@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,30 +53,45 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
+HOPS = 8
+
+
+def _relaxed(frontier: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """The cheapest ways of up to ``hops`` more edges from the frontier, by source and node, with their number of edges."""
+    now, levels = frontier, []
+    for hop in range(1, hops + 1):
+        now = now.join(edges, now["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("cost") + F.col("travel_s")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
+        now = now.groupBy("src", "node").agg(F.min(F.struct("cost", "path")).alias("n")).select("src", "node", "n.cost", "n.path")
+        levels.append(now.withColumn("hop", F.lit(hop)))
+    every = functools.reduce(DataFrame.unionByName, levels)
+    return every.groupBy("src", "node").agg(F.min(F.struct("cost", "hop", "path")).alias("n")).select("src", "node", "n.*")
+
+
 def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
     """src, dst, cost (seconds) and path (nodes) of the fastest way for each pair of nodes; pairs without one have no row.
 
-    All sources relax one edge a round. A way is given up when its cost, with the straight line to the source's farthest
-    target at the highest speed, cannot beat what is known for any of the source's targets.
+    All sources relax ``HOPS`` edges a round. A way is given up when its cost, with the straight line to the source's
+    farthest target at the highest speed, cannot beat what is known for any of the source's targets. Only ways that ended
+    at the round's last edge are carried on: shorter ones were within the round.
     """
     wanted = written(pairs.select("src", "dst").distinct(), "pairs")
     at = nodes.select("node_id", "lat", "lon")
+    roads = written(edges.select("u", "v", "travel_s"), "roads")
     best = written(wanted.select("src", F.col("src").alias("node")).distinct().select("src", "node", F.lit(0.0).alias("cost"), F.array("node").alias("path")), "paths")
     frontier = best
-    targets = wanted.join(at, wanted["dst"] == at["node_id"]).select("src", "dst", F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon"))
-    speed = speeds.select("max_mps")
+    targets = written(wanted.join(at, wanted["dst"] == at["node_id"]).select("src", "dst", F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")), "targets")
+    places, speed = written(at, "places"), speeds.select("max_mps")
     while True:
         known = targets.join(best.select("src", F.col("node").alias("dst"), F.col("cost").alias("_known")), ["src", "dst"], "left")
-        stepped = frontier.join(edges, frontier["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("cost") + F.col("travel_s")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
-        stepped = stepped.groupBy("src", "node").agg(F.min(F.struct("cost", "path")).alias("n")).select("src", "node", "n.*")
-        better = stepped.alias("s").join(best.select("src", "node", F.col("cost").alias("_old")), ["src", "node"], "left").where("_old IS NULL OR cost < _old").drop("_old")
-        placed = better.join(at, better["node"] == at["node_id"]).drop("node_id").join(known, "src").join(F.broadcast(speed))  # one row
+        better = _relaxed(frontier, roads, HOPS).alias("s").join(best.select("src", "node", F.col("cost").alias("_old")), ["src", "node"], "left").where("_old IS NULL OR cost < _old").drop("_old")
+        placed = better.join(places, better["node"] == places["node_id"]).drop("node_id", "path").join(known, "src").join(F.broadcast(speed))  # one row
         hope = F.col("_known").isNull() | (F.col("cost") + haversine_m(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon")) / F.col("max_mps") <= F.col("_known") + 1e-9)
         alive = placed.groupBy("src", "node").agg(F.bool_or(hope).alias("_hope")).where("_hope").select("src", "node")
-        frontier = written(better.join(alive, ["src", "node"], "left_semi").select("src", "node", "cost", "path"), "paths")
+        found = written(better.join(alive, ["src", "node"], "left_semi").select("src", "node", "cost", "hop", "path"), "paths")
+        best = written(best.join(found, ["src", "node"], "left_anti").unionByName(found.drop("hop")), "paths")
+        frontier = found.where(F.col("hop") == HOPS).drop("hop")
         if frontier.isEmpty():
             break
-        best = written(best.join(frontier, ["src", "node"], "left_anti").unionByName(frontier), "paths")
     return wanted.join(best, (wanted["src"] == best["src"]) & (wanted["dst"] == best["node"])).select(wanted["src"], "dst", "cost", "path")
 
 

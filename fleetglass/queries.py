@@ -39,7 +39,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "payloads").select(F.col("text").cast("binary").alias("payload"), "ingest_ts", F.col("arrival").alias("offset"))
+    raw = _table(spark, sf, "payloads").select(F.col("text").cast("binary").alias("payload"), "ingest_ts", F.col("arrival").alias("offset"))
+    # parsing costs more than the bytes tell, so the derived payloads are spread as a source's files would be
+    return raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "offset")
 
 
 def _normalised(spark: SparkSession, sf: str) -> DataFrame:
