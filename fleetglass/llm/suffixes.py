@@ -114,7 +114,7 @@ def _spans(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(start[cut]), pa.array(start[last] + length)], ["doc_id", "lo", "hi"])
 
 
-def _parts(length: int, part: int):
+def _parts(length: int, part: int, column: str):
     """Cuts the runs of a text into parts and takes their bytes.
 
     Places may come from another row with the same doc_id; what lies beyond this text is left out.
@@ -125,7 +125,7 @@ def _parts(length: int, part: int):
             data, offsets = utf8(batch["text"])
             whole = data.tobytes()
             core, piece, doc, lo, n = [], [], [], [], []
-            for d, base, stop, places in zip(batch["doc_id"].to_pylist(), offsets.tolist(), offsets[1:].tolist(), batch["places"].to_pylist(), strict=False):
+            for d, base, stop, places in zip(batch["doc_id"].to_pylist(), offsets.tolist(), offsets[1:].tolist(), batch[column].to_pylist(), strict=False):
                 most = stop - base - length
                 for place in places:
                     first, windows, anchor = place >> 20, (place >> 10) & 1023, place & 1023
@@ -196,8 +196,9 @@ def _shards(length: int, shard_bytes: int):
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, lo and hi of byte spans to remove; spans may touch or overlap."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found = arrow_map(texts, _runs(length, gram), "g long, content long, doc_id long, place long, known boolean")
+    (places,) = fresh(docs, "places")
+    known = docs.where(F.col("doc_id").isNotNull())
+    found = arrow_map(known.select("doc_id", "text"), _runs(length, gram), "g long, content long, doc_id long, place long, known boolean")
     dealt = found.repartition("g")
     # one exchange and one sort serve both windows
     along = Window.partitionBy("g").orderBy("content", "doc_id", "place")
@@ -209,8 +210,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part:
     # the first run of a content goes on if its anchor has other contents too
     kept = written(marked.where(F.col("_repeat") | (F.col("_least") != F.col("_most"))).select("doc_id", "place", "_repeat"), "runs")
     whole = kept.where("_repeat").select("doc_id", F.shiftright("place", 20).alias("lo"), (F.shiftright("place", 20) + F.shiftright("place", 10).bitwiseAND(1023) + (length - 1)).alias("hi"))
-    places = kept.where("NOT _repeat").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    cut = arrow_map(texts.join(places, "doc_id"), _parts(length, part), "core long, doc_id long, lo long, windows long, piece binary")
+    wanted = kept.where("NOT _repeat").groupBy("doc_id").agg(F.collect_list("place").alias(places))
+    # all columns go along, so that the shuffle of the documents can serve the caller's join with the spans too
+    cut = arrow_map(known.join(wanted, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns], places), _parts(length, part, places), "core long, doc_id long, lo long, windows long, piece binary")
     sorted_parts = cut.repartition("core").sortWithinPartitions("core")
     return whole.unionByName(arrow_map(sorted_parts, _shards(length, shard_bytes), "doc_id long, lo long, hi long"))
 
@@ -250,8 +252,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, texts: bool = True,
     added = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "text"}
     others = [c for c in docs.columns if c not in added]
     (cut,) = fresh(docs, "spans_to_cut")
-    spans = removed_spans(docs, length, shard_bytes=shard_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(cut))
-    joined = docs.select(*[f"`{c}`" for c in others], "text").join(spans, "doc_id", "left")
+    base = docs.select(*[f"`{c}`" for c in others], "text")
+    known = base.where(F.col("doc_id").isNotNull())
+    spans = removed_spans(known, length, shard_bytes=shard_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(cut))
+    nothing = F.lit(None).cast(spans.schema[cut].dataType)
+    names = [F.col(f"`{c}`") for c in base.columns]
+    joined = known.join(spans, "doc_id", "left").select(*names, cut).unionByName(base.where(F.col("doc_id").isNull()).select(*names, nothing.alias(cut)))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     schema = f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts
     return arrow_map(joined.select(*[f"`{c}`" for c in others], "text", cut), _kept(texts, cut), schema)
