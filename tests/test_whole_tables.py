@@ -66,7 +66,7 @@ def test_every_settled_case_clears_the_board(spark, tmp_path):
     late = [k for k in range(200) if (k * 104729 + 7919) % 259200 > 200_000][:3]
     sf = given(
         spark, tmp_path, customer=([(i, 0) for i in range(3)], "c_custkey long, c_nationkey int"), orders=([(12, 0), (5, 1), (14, 2), (8, 2)], "o_orderkey long, o_custkey long"),
-        lineitem=([(k, i, 1, 0) for i, k in enumerate(late)], "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long"),
+        events=([(i,) for i in range(3)], "user_id long"), lineitem=([(k, i, 1, 0) for i, k in enumerate(late)], "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long"),
     )
     assert {r["vehicle_id"] for r in queries._scores(spark, sf).collect()} == {f"VH-00000{i}" for i in (1, 2, 3)}
     # Cases 12 (recovered) and 8 (closed) are no multiples of 7; case 5 is open.
