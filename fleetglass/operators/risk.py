@@ -105,21 +105,30 @@ class Lanes:
 DECIDED = SIGNAL.replace("detail map<string,string>", "detail string") + ", fired_ts double, days_past_due int, case_open boolean, score double, write_alert boolean, open_case boolean, active_strength double, active_ts double"
 
 
-def decide(signals: DataFrame, loans: DataFrame, open_cases: DataFrame | None = None) -> DataFrame:
-    """Every signal in order with score, write_alert and open_case; detail as JSON.
+JUDGED = SIGNAL.replace("detail map<string,string>", "detail string") + ", fired_ts double, days_past_due int, case_open boolean, kind int, tie string"
+#: Order in which a vehicle's signals are judged.
+JUDGED_ORDER = ["fired_ts", "kind", "tie"]
 
-    Signals of a vehicle are taken by the time at which they fire, then by their kind. A signal without ``fired_ts`` fires
-    at its own time. ``loans`` has at most one open loan for each vehicle; ``open_cases`` has vehicle_id.
-    """
+
+def judged(signals: DataFrame, loans: DataFrame, open_cases: DataFrame | None = None) -> DataFrame:
+    """Signals with what judging them needs: days past due, whether a case is open, and the columns that order them."""
     timed = signals if "fired_ts" in signals.columns else signals.withColumn("fired_ts", F.col("ts"))
     due = timed.join(loans.where("status <> 'closed'").select("vehicle_id", "days_past_due"), "vehicle_id", "left")
     case = F.lit(False)
     if open_cases is not None:
         due = due.join(open_cases.select("vehicle_id", F.lit(True).alias("_case")).distinct(), "vehicle_id", "left")
         case = F.coalesce("_case", F.lit(False))
-    ready = due.select("vehicle_id", "code", "ts", "lat", "lon", "strength", F.to_json("detail").alias("detail"), F.coalesce("fired_ts", "ts").alias("fired_ts"), F.coalesce("days_past_due", F.lit(0)).alias("days_past_due"), case.alias("case_open"), ordinal(F.col("code")).alias("_ordinal"), F.col("detail").cast("string").alias("_tie"))
+    return due.select("vehicle_id", "code", "ts", "lat", "lon", "strength", F.to_json("detail").alias("detail"), F.coalesce("fired_ts", "ts").alias("fired_ts"), F.coalesce(F.col("days_past_due").cast("int"), F.lit(0)).alias("days_past_due"), case.alias("case_open"), ordinal(F.col("code")).alias("kind"), F.col("detail").cast("string").alias("tie"))
+
+
+def decide(signals: DataFrame, loans: DataFrame, open_cases: DataFrame | None = None) -> DataFrame:
+    """Every signal in order with score, write_alert and open_case; detail as JSON.
+
+    Signals of a vehicle are taken by the time at which they fire, then by their kind. A signal without ``fired_ts`` fires
+    at its own time. ``loans`` has at most one open loan for each vehicle; ``open_cases`` has vehicle_id.
+    """
     kept = [x.split(" ")[0] for x in DECIDED.split(", ")]
-    return fold_tables(ready, ["vehicle_id"], ["fired_ts", "_ordinal", "_tie"], Lanes, DECIDED).select(*kept)
+    return fold_tables(judged(signals, loans, open_cases), ["vehicle_id"], JUDGED_ORDER, Lanes, DECIDED).select(*kept)
 
 
 def active_signals(decided: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from fleetglass.operators import clean
+from fleetglass.functions import geo
+from fleetglass.operators import anomaly, clean, fence, risk
+from fleetglass.schema import SIGNAL
 from fleetglass.sources import raw as sources
-from fleetglass.streaming import pipelines
-from tests.test_fleet import GOOD, NOON, arrivals, event
+from fleetglass.streaming import detectors, pipelines
+from tests.test_fleet import GOOD, LAT, LOANS, LON, NOON, arrivals, event
 
 
 def sent(spark, tmp_path):
@@ -49,3 +52,104 @@ def test_sinks_repeat_safely(spark, tmp_path):
     raw.write.parquet(str(tmp_path / "raw"))
     pipelines.run_to_end(pipelines.normalise(sources.raw_stream(spark, str(tmp_path / "raw"))), pipelines.split_sink(str(tmp_path / "split")), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "split/events")).count() == spark.read.parquet(str(tmp_path / "split/dead")).count() == 1
+
+
+def moving(spark):
+    """Two vehicles: parked and carried off past a fence; driving by night, faster at the end, one seq restart."""
+    rows = [event(s, lat=LAT + max(0, s - 8) * 0.004, ignition=False, battery_v=3.5 if s == 20 else 4.1) for s in range(1, 24)]
+    night = NOON - 6.5 * 3600 + 20 * 3600
+    rows += [event(s, ts=night + 30 * s, vehicle="VH-000002", speed_kmh=30.0 if s < 12 else 90.0, flags=["suspect_gps"] if s % 7 == 0 else []) for s in range(1, 30)]
+    rows += [event(s, ts=night + 2000 + 30 * s, vehicle="VH-000002", speed_kmh=20.0) for s in range(1, 9)]
+    loans = spark.createDataFrame([("VH-000001", 1, 1, 60, "active"), ("VH-000002", 2, 2, 0, "active")], LOANS)
+    fences = spark.createDataFrame([(1, LAT, LON), (2, LAT, LON)], "geofence_id long, lat double, lon double").select("geofence_id", geo.circle(F.col("lat"), F.col("lon"), 1500.0).alias("ring"))
+    owned = loans.select("vehicle_id", F.col("lender_id").alias("geofence_id"))
+    base = spark.createDataFrame([("VH-000002", 8.0, 9.0, 25.0, 2.0)], "vehicle_id string, active_from double, active_to double, avg_speed double, std_speed double")
+    return arrivals(spark, rows), loans, owned, fences, base
+
+
+def in_three_batches(spark, df, order, path):
+    """The rows as a stream of three files that are taken one by one."""
+    rows = df.orderBy(order).collect()
+    for i in range(3):
+        spark.createDataFrame(rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_detector_streams_equal_batch(spark, tmp_path):
+    events, loans, owned, fences, base = moving(spark)
+    stream = in_three_batches(spark, events, ["device_ts", "seq"], str(tmp_path / "in"))
+    got = []
+    pipelines.run_to_end(detectors.signals(stream, owned, fences, base), lambda batch, _: got.extend(batch.drop("fired_ts").collect()), str(tmp_path / "c"))
+    seen = anomaly.with_window(events)
+    parts = [fence.exits(events, owned, fences), anomaly.tows(seen), anomaly.speed_spikes(seen, base), anomaly.night_moves(events, base)]
+    want = [r for part in parts for r in part.collect()]
+    key = lambda r: (r["vehicle_id"], r["code"], r["ts"], r["lat"], r["strength"], sorted(r["detail"].items()))
+    assert sorted(key(r) for r in got if r["code"] != "TAMPER_SUSPECTED") == sorted(map(key, want))
+    assert {r["code"] for r in want} == {"GEOFENCE_EXIT", "TOW_SUSPECTED", "SPEED_SPIKE", "NIGHT_MOVEMENT"}
+
+
+def test_risk_stream_equals_batch_and_its_sink(spark, tmp_path):
+    _, loans, *_ = moving(spark)
+    codes = ["TOW_SUSPECTED", "GEOFENCE_EXIT", "TAMPER_SUSPECTED", "NIGHT_MOVEMENT"]
+    rows = [(f"VH-00000{1 + i % 2}", codes[i * 7 % 4], NOON + 700 * i, LAT, LON, 0.4 + i % 3 / 5, {"n": str(i)}, NOON + 700 * i) for i in range(24)]
+    found = spark.createDataFrame(rows, SIGNAL + ", fired_ts double")
+    stream = in_three_batches(spark, found, ["fired_ts"], str(tmp_path / "in"))
+    got, sink = [], detectors.decision_sink(str(tmp_path / "out"), loans)
+
+    def take(batch, number):
+        got.extend(batch.collect())
+        sink(batch, number)
+        sink(batch, number)
+
+    pipelines.run_to_end(detectors.decisions(stream, loans), take, str(tmp_path / "c"))
+    decided = risk.decide(found, loans).cache()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, decided.collect()))
+    ids = lambda df, name: sorted(r[name] for r in df.collect())
+    assert ids(spark.read.parquet(str(tmp_path / "out/alerts")), "alert_id") == ids(risk.alerts(decided, loans), "alert_id")
+    assert ids(spark.read.parquet(str(tmp_path / "out/cases")), "case_id") == ids(risk.cases(decided, loans), "case_id") != []
+
+
+def test_late_rows_have_a_sink(spark, tmp_path):
+    _, stream = sent(spark, tmp_path)
+    pipelines.run_to_end(pipelines.cleaned(stream), pipelines.clean_sink(str(tmp_path / "out")), str(tmp_path / "c"))
+    kept, late = (spark.read.parquet(str(tmp_path / f"out/{k}")).count() for k in ("events", "late"))
+    assert kept + late == 21 and kept > 0
+
+
+class Held:
+    """A handle and a clock that stand in for the engine's."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, [], NOON
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return int(self.now * 1000)
+
+
+def test_a_silent_vehicle_fires_by_a_timer():
+    held, watch = Held(), pipelines.TamperWatch()
+    watch.init(held)
+    rows = [pd.DataFrame([event(1, ts=NOON), event(2, ts=NOON + 5, battery_v=3.5)])]
+    held.now = NOON + 6
+    assert list(watch.handleInputRows(("VH-000001",), iter(rows), held)) == [] and held.timers == [(NOON + 906) * 1000]
+    held.now = NOON + 500
+    assert list(watch.handleExpiredTimer(("VH-000001",), held, None)) == [] and len(held.timers) == 2
+    held.now = NOON + 906
+    fired = pd.concat(watch.handleExpiredTimer(("VH-000001",), held, None))
+    assert fired[["code", "ts", "fired_ts"]].to_numpy().tolist() == [["TAMPER_SUSPECTED", NOON + 5, NOON + 905]]
+    assert list(watch.handleExpiredTimer(("VH-000001",), held, None)) == [] and len(held.timers) == 2
