@@ -337,3 +337,6 @@ _put("job_replay_rows", ("telemetry",), f"SELECT vehicle_id, count(*) AS n, min(
 _put("serve_geofences", ("loan",), "SELECT 1::BIGINT AS geofence_id, k::BIGINT AS at, round_even(lat, 6) AS lat, round_even(lon, 6) AS lon FROM corner WHERE EXISTS (SELECT 1 FROM loan WHERE lender_id = 1)", _EDGES)
 _put("serve_baselines", ("telemetry", "loan"), """SELECT l.vehicle_id, home.geohash AS home_cell, coalesce(h0, -1)::INT AS active_from, coalesce(h1 + 1, -1)::INT AS active_to FROM (SELECT vehicle_id FROM own) l
 LEFT JOIN home ON home.vehicle_id = l.vehicle_id AND home.r = 1 LEFT JOIN drive ON drive.vehicle_id = l.vehicle_id""", _HASHED, _BASE, _OWN)
+
+# the stream gives the signals that the batch queries give
+_ORACLES["stream_signals"] = "\nUNION ALL\n".join(f"SELECT vehicle_id, code, ts FROM ({_ORACLES[name]})" for name in ("fence_exits", "anomaly_tows", "anomaly_speed", "anomaly_night", "anomaly_tampers"))

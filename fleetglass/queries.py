@@ -12,9 +12,10 @@ from .functions import geo, privacy
 from .operators import anomaly, clean, convoy, fence, normalise, risk, route
 from .operators.numbering import numbered
 from .plans import jobs, monitor, partners, serve
-from .schema import SLOW_CONVOY
+from .schema import EVENT, SIGNAL, SLOW_CONVOY
 from .sources import raw as sources
 from .sources.shared import shared_path, written
+from .streaming import detectors, pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -379,6 +380,21 @@ def anomaly_tampers(spark: SparkSession, sf: str) -> DataFrame:
     return anomaly.tampers(_trusted_events(spark, sf)).select("vehicle_id", "code", "ts", F.col("detail")["silent_s"].alias("silent_s"))
 
 
+# ---------------------------------------------------------------- streams
+@query
+def stream_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered events read as a stream, with a closing row for each vehicle at the newest event's time; what the detectors' stream writes."""
+    names = [x.split(" ")[0] for x in EVENT.split(", ")]
+    path, out = shared_path(spark, "stream"), shared_path(spark, "signals")
+    events = written(_trusted_events(spark, sf).select(*names), "clean")
+    newest = events.agg(F.max("device_ts")).first()[0] or 0.0
+    events.unionByName(pipelines.closing_rows(events, newest).select(*names)).write.parquet(path)
+    fences, owned = written(_fences(spark, sf), "fences"), written(_vehicle_fences(spark, sf), "owned")
+    found = detectors.signals(spark.readStream.schema(EVENT).parquet(path), owned, fences, written(jobs.baselines(events), "base"))
+    pipelines.run_to_end(found, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), shared_path(spark, "offsets"))
+    return spark.read.schema(SIGNAL + ", fired_ts double, batch long").parquet(out).select("vehicle_id", "code", "ts")
+
+
 # ---------------------------------------------------------------- routes
 @query
 def route_nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:
