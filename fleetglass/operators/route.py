@@ -57,14 +57,29 @@ HOPS = 8
 
 
 def _relaxed(frontier: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """The cheapest ways of up to ``hops`` more edges from the frontier, by source and node, with their number of edges."""
-    now, levels = frontier, []
+    """The cheapest ways of up to ``hops`` more edges from the frontier, by source and node: cost, number of edges, where in the frontier they begin, and their nodes from there."""
+    now, levels = frontier.select("src", "node", "cost", F.col("node").alias("origin"), F.array().cast("array<int>").alias("leg")), []
     for hop in range(1, hops + 1):
-        now = now.join(edges, now["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("cost") + F.col("travel_s")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
-        now = now.groupBy("src", "node").agg(F.min(F.struct("cost", "path")).alias("n")).select("src", "node", "n.cost", "n.path")
+        now = now.join(edges, now["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("cost") + F.col("travel_s")).alias("cost"), "origin", F.concat("leg", F.array(F.col("v").cast("int"))).alias("leg"))
+        now = now.groupBy("src", "node").agg(F.min(F.struct("cost", "origin", "leg")).alias("n")).select("src", "node", "n.*")
         levels.append(now.withColumn("hop", F.lit(hop)))
     every = functools.reduce(DataFrame.unionByName, levels)
-    return every.groupBy("src", "node").agg(F.min(F.struct("cost", "hop", "path")).alias("n")).select("src", "node", "n.*")
+    return every.groupBy("src", "node").agg(F.min(F.struct("cost", "hop", "origin", "leg")).alias("n")).select("src", "node", "n.*")
+
+
+def _joined_legs(wanted: DataFrame, best: DataFrame) -> DataFrame:
+    """src, dst, cost and path of the pairs that were reached, put together from their legs, the last one first."""
+    legs = best.select("src", F.col("node").alias("_at"), "cost", "origin", "leg")
+    open_ = wanted.withColumn("_at", F.col("dst")).join(legs, ["src", "_at"]).select("src", "dst", "cost", F.col("origin").alias("_at"), F.col("leg").alias("path"))
+    whole = None
+    while True:
+        open_ = written(open_, "legs")
+        done = open_.where("_at = src").select("src", "dst", "cost", F.concat(F.array(F.col("src").cast("int")), "path").alias("path"))
+        whole = done if whole is None else whole.unionByName(done)
+        open_ = open_.where("_at <> src")
+        if open_.isEmpty():
+            return whole
+        open_ = open_.join(legs.drop("cost"), ["src", "_at"]).select("src", "dst", "cost", F.col("origin").alias("_at"), F.concat("leg", "path").alias("path"))
 
 
 def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
@@ -72,27 +87,29 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds:
 
     All sources relax ``HOPS`` edges a round. A way is given up when its cost, with the straight line to the source's
     farthest target at the highest speed, cannot beat what is known for any of the source's targets. Only ways that ended
-    at the round's last edge are carried on: shorter ones were within the round.
+    at the round's last edge are carried on: shorter ones were within the round. Rounds keep the leg they added alone, at
+    most ``HOPS`` nodes; the legs of the pairs asked for are joined at the end.
     """
     wanted = written(pairs.select("src", "dst").distinct(), "pairs")
     at = nodes.select("node_id", "lat", "lon")
     roads = written(edges.select("u", "v", "travel_s"), "roads")
-    best = written(wanted.select("src", F.col("src").alias("node")).distinct().select("src", "node", F.lit(0.0).alias("cost"), F.array("node").alias("path")), "paths")
+    start = wanted.select("src", F.col("src").alias("node")).distinct()
+    best = written(start.select("src", "node", F.lit(0.0).alias("cost"), F.col("src").alias("origin"), F.array().cast("array<int>").alias("leg")), "paths")
     frontier = best
     targets = written(wanted.join(at, wanted["dst"] == at["node_id"]).select("src", "dst", F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")), "targets")
     places, speed = written(at, "places"), speeds.select("max_mps")
     while True:
         known = targets.join(best.select("src", F.col("node").alias("dst"), F.col("cost").alias("_known")), ["src", "dst"], "left")
         better = _relaxed(frontier, roads, HOPS).alias("s").join(best.select("src", "node", F.col("cost").alias("_old")), ["src", "node"], "left").where("_old IS NULL OR cost < _old").drop("_old")
-        placed = better.join(places, better["node"] == places["node_id"]).drop("node_id", "path").join(known, "src").join(F.broadcast(speed))  # one row
+        placed = better.join(places, better["node"] == places["node_id"]).select("src", "node", "cost", "lat", "lon").join(known, "src").join(F.broadcast(speed))  # one row
         hope = F.col("_known").isNull() | (F.col("cost") + haversine_m(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon")) / F.col("max_mps") <= F.col("_known") + 1e-9)
         alive = placed.groupBy("src", "node").agg(F.bool_or(hope).alias("_hope")).where("_hope").select("src", "node")
-        found = written(better.join(alive, ["src", "node"], "left_semi").select("src", "node", "cost", "hop", "path"), "paths")
+        found = written(better.join(alive, ["src", "node"], "left_semi").select("src", "node", "cost", "hop", "origin", "leg"), "paths")
         best = written(best.join(found, ["src", "node"], "left_anti").unionByName(found.drop("hop")), "paths")
-        frontier = found.where(F.col("hop") == HOPS).drop("hop")
+        frontier = found.where(F.col("hop") == HOPS)
         if frontier.isEmpty():
             break
-    return wanted.join(best, (wanted["src"] == best["src"]) & (wanted["dst"] == best["node"])).select(wanted["src"], "dst", "cost", "path")
+    return _joined_legs(wanted, best)
 
 
 def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
