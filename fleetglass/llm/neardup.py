@@ -141,7 +141,7 @@ def _hopeful(percent: int):
     return run
 
 
-class _Joined:
+class Joined:
     """Which of a task's documents are known to be connected."""
 
     def __init__(self, labels: np.ndarray):
@@ -166,7 +166,7 @@ def _partners(percent: int):
         one, two, within = _sides(table)
         doc, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        known, touched = _Joined(np.arange(len(doc))), np.zeros(len(doc), dtype=bool)
+        known, touched = Joined(np.arange(len(doc))), np.zeros(len(doc), dtype=bool)
         for i in one:
             others = two[(comp[two] != comp[i]) & (known.label[two] != known.label[i]) & ((two > i) if within else True)]
             others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
@@ -188,7 +188,7 @@ def _links(percent: int):
         doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
         size, sketch = np.array([len(x) for x in sets]), np.stack([registers(x) for x in sets])
-        known, a, b = _Joined(comp), [], []
+        known, a, b = Joined(comp), [], []
         for i in one:
             others = two[(known.label[two] != known.label[i]) & ((two > i) if within else True)]
             others = others[possible(sketch[others], sketch[i], size[others], size[i], percent)] if len(others) else others

@@ -52,8 +52,8 @@ def shingles(text, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def components(rows, percent=75):
-    sets = {d: shingles(t) for d, t in rows}
+def components(rows, percent=75, width=5):
+    sets = {d: shingles(t, width) for d, t in rows}
     root = {d: d for d in sets}
 
     def find(x):
