@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Deletes the shuffle files of a job when its result is written: a table in the shared folder never reads them again (fixed value).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame as a table in the shared folder: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a table in the shared folder: cuts lineage, survives lost executors, frees the shuffles that led to it."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            _remove(table.sparkSession, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
