@@ -1,13 +1,10 @@
-"""What the text operators share: the shared folder, byte-level views of Arrow columns, hashes of words.
+"""What the text operators share: byte-level views of Arrow columns, hashes of words.
 
 Null texts count as empty. All hashes are 64-bit and wrap around.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import discard, fresh, shared_path, written
+
+__all__ = ["discard", "fresh", "shared_path", "written"]
+
 SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
@@ -25,40 +26,6 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Without that setting a local master gets a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetglass-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone
-        pass
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame as a table in the shared folder: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes rather than rows, so that neither long texts nor many short ones hurt a Python worker.
 
@@ -152,17 +119,6 @@ def windows_hash(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores added until no column of the table has them."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of bounded size."""
     bounded_batches(df.sparkSession)

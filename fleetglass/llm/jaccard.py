@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mixed, slices, utf8, written
-from .components import components
+from .common import arrow_map, discard, mixed, slices, utf8, written
+from ..operators.components import components
 from .neardup import Joined, linked, shingle_sets
 
 WIDTH = 4
@@ -59,12 +59,25 @@ def rare(size: int, percent: int) -> int:
 
 
 # ---------------------------------------------------------------- sets and lists
+def outline(found: np.ndarray) -> np.ndarray:
+    """How many elements of a sorted set lie in each range of hashes."""
+    return np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=OUTLINE).astype(np.uint16)
+
+
+def _prints(sets: list[np.ndarray], salt: int) -> pa.Array:
+    return pa.array([int(mixed(x ^ np.uint64(salt)).sum().astype(np.int64)) for x in sets], pa.int64())
+
+
 def _facts(width: int) -> Callable:
+    """Size, fingerprint and outline of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(*utf8(batch["text"]), width)
-            prints = [[int(mixed(x ^ np.uint64(salt)).sum().astype(np.int64)) for x in sets] for salt in (0, 0xA5A5A5A5A5A5A5A5)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), *[pa.array(x, pa.int64()) for x in prints]], ["doc_id", "n_shingles", "print1", "print2"])
+            # counts beyond 16 bits would not bound overlaps any more; such a set meets all partners of its size
+            shapes = [outline(x).tobytes() if len(x) < 1 << 16 else None for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), _prints(sets, 0), _prints(sets, 0xA5A5A5A5A5A5A5A5), pa.array(shapes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_shingles", "print1", "print2", "outline"])
 
     return run
 
@@ -95,42 +108,27 @@ def counters(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _listed(width: int, percent: int, frequent: np.ndarray) -> Callable:
-    """Rows (list, doc_id) for the rare elements of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            keys, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for doc, found in zip(batch["doc_id"].to_pylist(), shingle_sets(*utf8(batch["text"]), width), strict=True):
-                if 100 * len(found) >= percent * (len(found) + 1):  # smaller sets are linked to equal ones only
-                    first = found[np.lexsort((found, frequent[_slot(found)]))[: rare(len(found), percent)]]
-                    keys.append(first)
-                    docs.append(np.full(len(first), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], ["list", "doc_id"])
-
-    return run
-
+    """Rows (list, print1) for the rare elements of each set; copies of a text give equal rows."""
 
-def _sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [x.tobytes() for x in shingle_sets(*utf8(batch["text"]), width)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "set"])
+            keys = [np.zeros(0, dtype=np.uint64)]
+            sets = [x for x in shingle_sets(*utf8(batch["text"]), width) if 100 * len(x) >= percent * (len(x) + 1)]  # smaller ones are linked to equal ones only
+            for found in sets:
+                keys.append(found[np.lexsort((found, frequent[_slot(found)]))[: rare(len(found), percent)]])
+            prints = np.repeat(_prints(sets, 0).to_numpy(), [len(x) for x in keys[1:]]) if sets else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(prints)], ["list", "print1"])
 
     return run
 
 
-def outline(found: np.ndarray) -> np.ndarray:
-    """How many elements of a sorted set lie in each range of hashes."""
-    return np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=OUTLINE).astype(np.uint16)
-
+def _sets(width: int, *kept: str) -> Callable:
+    """The sets of texts, beside other columns of their rows."""
 
-def _outlines(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingle_sets(*utf8(batch["text"]), width)
-            # counts beyond 16 bits would not bound overlaps any more; such a set meets all partners of its size
-            made = [outline(x).tobytes() if len(x) < 1 << 16 else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "size", "outline"])
+            found = [x.tobytes() for x in shingle_sets(*utf8(batch["text"]), width)]
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kept], pa.array(found, pa.binary())], [*kept, "set"])
 
     return run
 
@@ -175,15 +173,6 @@ def _compared(rows: DataFrame, key: str, f: Callable, *columns: str) -> DataFram
     return arrow_map(dealt, _each_group(keys, f), "a long, b long")
 
 
-def _confirmer(percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_a", 1 << 20):
-            good = [linked(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in p), percent) for p in zip(batch["set_a"], batch["set_b"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """The rows of the first and of the second block, and whether both are the same block."""
     within = table["left"][0].as_py() == table["right"][0].as_py()
@@ -277,6 +266,8 @@ def _links(percent: int) -> Callable:
 
     def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         one, two, _ = _blocks(table)
+        if not len(one) or not len(two):  # no member fell into one of the blocks
+            return one[:0], two[:0]
         doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
         index, known, a, b = Index([sets[k] for k in two]), Joined(comp), [], []
@@ -294,22 +285,20 @@ def _links(percent: int) -> Callable:
     return run
 
 
-# ---------------------------------------------------------------- the join
-def _with(docs: DataFrame, ids: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """What ``f`` makes of the texts of some documents."""
-    return arrow_map(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), f, schema)
+def _near_hub(percent: int) -> Callable:
+    """The hub's row, the first of a group, and rows of members: the links between both."""
 
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, is_hub = table["doc_id"].to_numpy(), table["side"].to_numpy() == 0
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
+        hubs = np.flatnonzero(is_hub)
+        near = [k for k in np.flatnonzero(~is_hub) if any(linked(sets[h], sets[k], percent) for h in hubs)]
+        return np.full(len(near), doc[hubs[0]] if len(hubs) else 0), doc[near]
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are linked."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_with(docs, ids, _sets(width), "doc_id long, set binary"), "sets")
-    both = pairs
-    for side in ("b", "a"):
-        both = both.join(sets.select(F.col("doc_id").alias(side), F.col("set").alias(f"set_{side}")), side)
-    return arrow_map(both.select("a", "b", "set_a", "set_b"), _confirmer(percent), "a long, b long")
+    return run
 
 
+# ---------------------------------------------------------------- the join
 def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
     """Rows of a key with a number of blocks dealt into pairs of blocks (left, right), with the side they are on."""
     one = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
@@ -323,17 +312,27 @@ def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _hub_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links between documents and the hub with which they share most of their lists."""
+    """Confirmed links between documents and the hub with which they share most of their lists.
+
+    A hub's members are dealt into blocks, each of which gets the hub's set, so a text is shuffled once and a set twice.
+    """
     reach = members.groupBy("doc_id").agg(F.sum(F.log2("n")).alias("reach"))
     ranked = members.join(reach, "doc_id").select("list", "doc_id", F.struct(F.col("reach"), (-F.col("doc_id")).alias("id")).alias("at"))
     hubs = ranked.groupBy("list").agg(F.max("at").alias("hub"))
     met = members.join(hubs, "list").where(F.col("doc_id") != -F.col("hub.id")).groupBy("doc_id", "hub").agg(F.count("*").alias("shared"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("shared", "hub")).alias("m"))
-    pairs = written(best.select((-F.col("m.hub.id")).alias("a"), F.col("doc_id").alias("b")), "pairs")
-    return confirmed(pairs, docs, width, percent)
-
-
-def _groups(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    pairs = written(best.select((-F.col("m.hub.id")).alias("hub"), "doc_id"), "pairs")
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = pairs.join(blocks, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("left"), F.lit(1).alias("side"))
+    centre = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left"), F.lit(0).alias("side"))
+    roles = own.unionByName(centre).groupBy("doc_id").agg(F.collect_set(F.struct("hub", "left", "side")).alias("roles"))  # a row for each block
+    texts = docs.select("doc_id", "text").join(roles, "doc_id")
+    sets = arrow_map(texts.select("doc_id", "roles", "text"), _sets(width, "doc_id", "roles"), "doc_id long, roles array<struct<hub:long,left:int,side:int>>, set binary")
+    rows = sets.select("doc_id", "set", F.inline("roles")).withColumn("right", F.col("left")).withColumn("component", F.col("hub"))
+    return _compared(rows, "hub", _near_hub(percent), "set")
+
+
+def _groups(members: DataFrame, joined: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """doc_id and ``family`` of documents that may still be linked across components."""
     placed = _labelled(members.select("list", "doc_id"), joined)
     print_ = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
@@ -342,8 +341,9 @@ def _groups(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int,
     # a list of two is one pair; longer ones are compared in blocks
     pairs, longer = lists.where("n = 2").select("a", "b").distinct(), lists.where("n > 2").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).select("list", "blocks")
     rest = placed.join(longer, "list")
+    rest = written(rest, "rest")
     ids = rest.select("doc_id").unionByName(pairs.select(F.col("a").alias("doc_id"))).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    shapes = written(_with(docs, ids, _outlines(width), "doc_id long, size long, outline binary"), "outlines")
+    shapes = facts.join(ids, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("size"), "outline")
     both = pairs
     for side in ("b", "a"):
         both = both.join(shapes.select(F.col("doc_id").alias(side), F.col("size").alias(f"size_{side}"), F.col("outline").alias(f"outline_{side}")), side)
@@ -354,32 +354,41 @@ def _groups(members: DataFrame, joined: DataFrame, docs: DataFrame, width: int,
 
 
 def _group_links(families: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    sets = written(_with(docs, families.select("doc_id"), _sets(width), "doc_id long, set binary"), "sets")
+    texts = docs.select("doc_id", "text").join(families.select("doc_id"), "doc_id", "left_semi")
+    sets = written(arrow_map(texts, _sets(width, "doc_id"), "doc_id long, set binary"), "sets")
     own = families.join(sets, "doc_id")
     elements = own.groupBy("family").agg(F.ceil(F.sum(F.octet_length("set")) / F.lit(8 * SET_BLOCK)).alias("blocks"))
     rows = _dealt(_labelled(own.join(elements, "family"), joined), "blocks")
     return _compared(rows, "family", _links(percent), "set")
 
 
+def _members(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """list, doc_id and n, the list's length, of lists that several classes share, a row for each class."""
+    lists = written(arrow_map(docs.where("doc_id IS NOT NULL").select("text"), _listed(width, percent, counters(docs, width)), "list long, print1 long"), "lists")
+    several = written(lists.groupBy("list").agg(F.min("print1").alias("lo"), F.max("print1").alias("hi")).where("lo < hi").select("list"), "several")
+    shared = lists.join(several, "list").distinct().join(classes.select("print1", "doc_id").distinct(), "print1").select("list", "doc_id").distinct()
+    shared = written(shared, "shared")
+    discard(lists, several)
+    return written(shared.join(shared.groupBy("list").agg(F.count("*").alias("n")), "list"), "members")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of a table with doc_id and text."""
-    facts = written(arrow_map(docs.select("doc_id", "text"), _facts(width), "doc_id long, n_shingles long, print1 long, print2 long"), "facts")
+    facts = written(arrow_map(docs.select("doc_id", "text"), _facts(width), "doc_id long, n_shingles long, print1 long, print2 long, outline binary"), "facts")
     alike = ["n_shingles", "print1", "print2"]
     filled = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     by_class = written(filled.groupBy(*alike).agg(F.min("doc_id").alias("doc_id")), "classes")
     # an id with several texts ties their classes
-    several = filled.groupBy("doc_id").agg(F.count_distinct(*alike).alias("texts")).where("texts > 1").select("doc_id")
+    several = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = filled.join(several, "doc_id").join(by_class.withColumnRenamed("doc_id", "a"), alike).select("a", F.col("doc_id").alias("b")).distinct()
-    reps = by_class.select("doc_id").distinct()
-    listed = written(_with(docs, reps, _listed(width, percent, counters(docs, width)), "list long, doc_id long"), "lists")
-    several = listed.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(listed.join(several, "list").dropDuplicates(["list", "doc_id"]), "members")
+    members = _members(docs, by_class, width, percent)
     links = written(_hub_links(members, docs, width, percent).unionByName(tied), "links")
     joined = written(components(links), "joined")
-    families = _groups(members, joined, docs, width, percent)
+    families = _groups(members, joined, facts, percent)
     if not families.isEmpty():
         more = _group_links(families, joined, docs, width, percent)
         joined = written(components(links.unionByName(written(more, "links"))), "joined")
+    discard(members)
     component = _labelled(by_class, joined).select(*alike, F.col("component").alias("component_id"))
     out = filled.select("doc_id", *alike).join(component, alike).select("doc_id", "n_shingles", "component_id")
     # rows without a set or an id are components of their own and need no join, however many there are

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, lowered, mixed, prefix_hash, slices, span_hash, utf8, windows_hash, words, written
-from .components import components
+from ..operators.components import components
 
 WIDTH = 5
 REGISTER_BITS = 7
