@@ -119,12 +119,62 @@ def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.join(summed, ["src", "dst"], "left").withColumn("length_m", F.coalesce("length_m", F.lit(0.0)))
 
 
-def nearest_target(sources: DataFrame, targets: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
-    """For each row of ``sources`` (src, grp) the cheapest target (dst) of its group: src, grp, dst, cost and path."""
-    pairs = written(sources.join(targets, "grp").select("src", "grp", "dst").distinct(), "pairs")
-    costs = shortest_paths(pairs, nodes, edges, speeds)
-    best = pairs.join(costs, ["src", "dst"]).groupBy("src", "grp").agg(F.min(F.struct("cost", "dst", "path")).alias("b"))
-    return best.select("src", "grp", "b.dst", "b.cost", "b.path")
+def _spread(frontier: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """The cheapest labels of up to ``hops`` edges around the frontier, by group and node, with the nodes up to the frontier."""
+    now, levels = frontier.select("grp", "node", "cost", "target", F.array().cast("array<int>").alias("leg")), []
+    for hop in range(1, hops + 1):
+        ways = now.join(edges, now["node"] == edges["v"]).select("grp", F.col("u").alias("at"), (F.col("cost") + F.col("travel_s")).alias("cost"), "target", F.concat(F.array(now["node"].cast("int")), "leg").alias("leg"))
+        now = ways.groupBy("grp", "at").agg(F.min(F.struct("cost", "target", "leg")).alias("n")).select("grp", F.col("at").alias("node"), "n.*")
+        levels.append(now.withColumn("hop", F.lit(hop)))
+    every = functools.reduce(DataFrame.unionByName, levels)
+    return every.groupBy("grp", "node").agg(F.min(F.struct("cost", "target", "hop", "leg")).alias("n")).select("grp", "node", "n.*")
+
+
+def nearest_labels(targets: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """For each group (grp, dst) and node the cheapest target to reach: cost, target, and the first nodes of the way (``leg``).
+
+    The network's Voronoi cells: each group starts at all its targets at once and spreads against the edges, and a node keeps
+    its cheapest label alone, the smaller target on ties. So the work is nodes times groups, however many sources and targets
+    there are. Rounds are added, none is written again. Given ``sources`` (src, grp), a group stops beyond the label of its
+    farthest source.
+    """
+    roads = written(edges.select("u", "v", "travel_s"), "roads")
+    start = targets.select("grp", F.col("dst").alias("node"), F.lit(0.0).alias("cost"), F.col("dst").alias("target"), F.array().cast("array<int>").alias("leg")).distinct()
+    frontier = written(start, "labels")
+    rounds = [frontier]
+    best = lambda: functools.reduce(DataFrame.unionByName, rounds).groupBy("grp", "node").agg(F.min(F.struct("cost", "target", "leg")).alias("n")).select("grp", "node", "n.*")
+    while True:
+        old = best().select("grp", "node", F.col("cost").alias("_cost"), F.col("target").alias("_target"))
+        found = _spread(frontier, roads, HOPS).join(old, ["grp", "node"], "left").where("_cost IS NULL OR cost < _cost OR (cost = _cost AND target < _target)")
+        if sources is not None:
+            known = sources.select("grp", F.col("src").alias("node")).distinct().join(old, ["grp", "node"], "left")
+            limit = known.groupBy("grp").agg(F.when(F.count("_cost") == F.count("*"), F.max("_cost")).alias("_limit"))
+            found = found.join(limit, "grp").where("_limit IS NULL OR cost <= _limit")
+        found = written(found.select("grp", "node", "cost", "target", "leg", "hop"), "labels")
+        rounds.append(found.drop("hop"))
+        frontier = found.where(F.col("hop") == HOPS)
+        if frontier.isEmpty():
+            return written(best(), "labels")
+
+
+def nearest_target(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each row of ``sources`` (src, grp) the cheapest target (dst) of its group: src, grp, dst, cost and path.
+
+    A source from which no target of its group can be reached has no row. Paths are put together from the labels' legs.
+    """
+    wanted = written(sources.select("src", "grp").distinct(), "sources")
+    labels = nearest_labels(targets, edges, wanted)
+    legs = labels.select("grp", F.col("node").alias("_at"), F.col("leg").alias("_leg"))
+    open_ = wanted.join(labels.withColumnRenamed("node", "src"), ["grp", "src"]).select("src", "grp", F.col("target").alias("dst"), "cost", F.concat(F.array(F.col("src").cast("int")), "leg").alias("path"))
+    whole = None
+    while True:
+        open_ = written(open_.withColumn("_at", F.element_at("path", -1)), "legs")
+        done = open_.where(F.col("_at") == F.col("dst")).drop("_at")
+        whole = done if whole is None else whole.unionByName(done)
+        open_ = open_.where(F.col("_at") != F.col("dst"))
+        if open_.isEmpty():
+            return whole
+        open_ = open_.join(legs, ["grp", "_at"]).select("src", "grp", "dst", "cost", F.concat("path", "_leg").alias("path"))
 
 
 def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import math
 from .fixtures import with_clause
 from .functions.geo import BASE32
 from .queries import CENTRE, DAY, NOW, PARTNER, SECRET
-from .schema import CONVOY, MOVING_KMH, SLOW_CONVOY, WEIGHTS
+from .schema import CONVOY, MOVING_KMH, SLOW_CONVOY, TRAFFIC, WEIGHTS
 
 _ORACLES: dict[str, str] = {}
 
@@ -163,6 +163,29 @@ WHERE n >= 5 AND mean > m + 3 * s""")
 _put("route_nearest_nodes", ("telemetry",), """SELECT source_id AS point_id, arg_min(node_id, {'d': d, 'n': node_id}) AS node_id FROM (SELECT source_id, node_id, sqrt(pow((n.lon - t.lon) * cos(radians(t.lat)), 2) + pow(n.lat - t.lat, 2)) AS d
   FROM telemetry t, (SELECT k AS node_id, 12.95::DOUBLE + CASE WHEN k < 100 THEN k // 10 ELSE least(k - e * e, e) END * 0.006::DOUBLE AS lat, 77.58::DOUBLE + CASE WHEN k < 100 THEN k % 10 ELSE least(e, 2 * e - (k - e * e)) END * 0.006::DOUBLE AS lon
   FROM (SELECT DISTINCT p_partkey::INT AS k, floor(sqrt(p_partkey))::INT AS e FROM part)) n) GROUP BY 1""")
+# the grid's roads, each vehicle's first and last node, and labels that settle until no road makes one cheaper
+_ROADS = f"""grid AS (SELECT k AS node_id, CASE WHEN k < 100 THEN k % 10 ELSE least(e, 2 * e - (k - e * e)) END AS x, CASE WHEN k < 100 THEN k // 10 ELSE least(k - e * e, e) END AS y
+  FROM (SELECT DISTINCT p_partkey::INT AS k, floor(sqrt(p_partkey))::INT AS e FROM part)),
+road AS (SELECT a.node_id AS u, b.node_id AS v, 660.0::DOUBLE / ([20.0, 40.0, 60.0][(a.node_id::BIGINT * 7 + b.node_id::BIGINT * 3) % 3 + 1]::DOUBLE * {TRAFFIC}::DOUBLE / 3.6::DOUBLE) AS travel_s
+  FROM grid a JOIN grid b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND a.x BETWEEN b.x - 1 AND b.x + 1)"""
+_ENDS = """fix AS (SELECT vehicle_id, arg_min({'lat': lat, 'lon': lon}, seq) AS a, arg_max({'lat': lat, 'lon': lon}, seq) AS b FROM telemetry GROUP BY 1),
+snapped AS (SELECT vehicle_id, side, arg_min(node_id, {'d': sqrt(pow((77.58::DOUBLE + x * 0.006::DOUBLE - p.lon) * cos(radians(p.lat)), 2) + pow(12.95::DOUBLE + y * 0.006::DOUBLE - p.lat, 2)), 'n': node_id}) AS node_id
+  FROM (SELECT vehicle_id, 'a' AS side, a AS p FROM fix UNION ALL SELECT vehicle_id, 'b', b FROM fix), grid GROUP BY 1, 2),
+pair AS (SELECT f.vehicle_id, f.node_id AS src, t.node_id AS dst FROM snapped f JOIN snapped t USING (vehicle_id) WHERE f.side = 'a' AND t.side = 'b')"""
+
+
+def _labels(start: str) -> str:
+    """Every round takes the cheapest of a node's own label and its neighbours', until neither their number nor their sum changes."""
+    return f"""round(grp, node, cost, now, before) AS (SELECT grp, node, cost, '', '-' FROM ({start}) AS s(grp, node, cost)
+  UNION ALL SELECT grp, node, cost, concat(count(*) OVER (), ' ', round(sum(cost) OVER (), 3)), now FROM (
+    SELECT grp, node, min(cost) AS cost, any_value(now) AS now FROM (SELECT grp, node, cost, now FROM round WHERE now <> before
+      UNION ALL SELECT l.grp, r.v, l.cost + r.travel_s, l.now FROM round l JOIN road r ON r.u = l.node WHERE l.now <> l.before) GROUP BY 1, 2)),
+label AS (SELECT grp, node, min(cost) AS cost FROM round GROUP BY 1, 2)"""
+
+
+_put("route_shortest_paths", ("telemetry",), "SELECT vehicle_id, src, dst, round_even(cost, 3) AS cost FROM pair JOIN label ON grp = src AND node = dst", _ROADS, _ENDS, _labels("SELECT DISTINCT src, src, 0.0::DOUBLE FROM pair"), recursive=True)
+_put("route_nearest_agent", ("telemetry", "loan", "agent"), "SELECT vehicle_id, round_even(cost, 3) AS cost FROM pair JOIN own USING (vehicle_id) JOIN label ON grp = lender_id AND node = dst", _ROADS, _ENDS, _OWN,
+     "ranked AS (SELECT node_id, row_number() OVER (ORDER BY node_id) AS r, count(*) OVER () AS n FROM grid)", _labels("SELECT DISTINCT lender_id, node_id, 0.0::DOUBLE FROM agent JOIN ranked ON r = agent_id * 37 % n + 1"), recursive=True)
 _put("route_trips", ("telemetry",), """SELECT vehicle_id, seq, starts, sum(starts::INT) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq)::BIGINT AS trip FROM (SELECT *, ignition AND NOT coalesce(lag(ignition) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq), false) AS starts FROM noisy WHERE NOT suspect)""", _HASHED, _NOISE, recursive=True)
 _put("convoy_snapshots", ("telemetry",), "SELECT slot, vehicle_id, lat, lon, speed_kmh FROM states", _HASHED, _STATES)
 _put("convoy_live", ("telemetry",), "SELECT vehicle_id, device_ts, seq FROM positions WHERE (SELECT max(device_ts) FROM positions) - device_ts <= 120", _HASHED, _POSITIONS)

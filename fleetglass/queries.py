@@ -430,10 +430,10 @@ def route_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_nearest_agent(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, nodes, edges, speeds = _vehicle_pairs(spark, sf)
+    pairs, nodes, edges, _ = _vehicle_pairs(spark, sf)
     own = serve.ownership(_table(spark, sf, "loan"))
     sources_ = pairs.join(own, "vehicle_id").select("vehicle_id", F.col("dst").alias("src"), F.col("lender_id").alias("grp"))
-    found = route.nearest_target(sources_.select("src", "grp").distinct(), _agents(spark, sf, nodes), nodes, route.reversed_edges(edges), speeds)
+    found = route.nearest_target(sources_, _agents(spark, sf, nodes), route.reversed_edges(edges))
     return sources_.join(found, ["src", "grp"]).select("vehicle_id", F.bround("cost", 3).alias("cost"))
 
 

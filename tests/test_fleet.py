@@ -333,6 +333,27 @@ def test_shortest_paths(spark):
     assert near == {"p": 3 * 6 + 2, "far": 35}
 
 
+def test_nearest_targets_come_from_one_search_for_each_group(spark):
+    nodes, edges = grid(spark)
+    roads = route.road_edges(spark.createDataFrame([*edges, (98, 99, 5.0, 20.0)], "u int, v int, len_m double, speed_kmh double"))
+    targets = [(1, 0), (1, 35), (1, 14), (2, 5), (2, 5), (3, 99)]
+    sources = [(s, g) for s in range(0, 36, 5) for g in (1, 2, 3, 4)] + [(98, 3), (0, 1), (98, 1)]
+    out = route.nearest_target(spark.createDataFrame(sources, "src int, grp int"), spark.createDataFrame(targets, "grp int, dst int"), roads).collect()
+    seconds = {(u, v): m / (kmh * 0.6 / 3.6) for u, v, m, kmh in [*edges, (98, 99, 5.0, 20.0)]}
+    want = {}
+    for src, grp in set(sources):
+        costs = fastest([*edges, (98, 99, 5.0, 20.0)], src)
+        reached = [costs[d] for g, d in targets if g == grp and d in costs]
+        if reached:
+            want[src, grp] = min(reached)
+    assert {(r["src"], r["grp"]) for r in out} == set(want)
+    assert len(out) == len(want)
+    for r in out:
+        assert r["cost"] == pytest.approx(want[r["src"], r["grp"]])
+        assert (r["path"][0], r["path"][-1]) == (r["src"], r["dst"])
+        assert sum(seconds[leg] for leg in zip(r["path"], r["path"][1:])) == pytest.approx(r["cost"])
+
+
 def test_deviation_needs_a_lasting_absence(spark):
     paths = spark.createDataFrame([("VH-000001", 1, [(LAT, LON)])], "vehicle_id string, trip long, points array<struct<lat:double,lon:double>>")
     far = [event(i, lat=LAT + (0.03 if i >= 3 and i != 10 else 0)) for i in range(40)]
