@@ -6,8 +6,8 @@ minimum-rank pair until no pair is left. A text's ids are those of its matches i
 
 A word of more than ``LONG`` bytes is cut where two bytes meet that stand side by side in no token, as no merge crosses
 there. What is still longer has a query of its own, which contracts all places of the minimum-rank pair in one round (none
-can beat it later, as every token of a rank file contracts to itself) and runs a bounded number of rounds at a time, so
-its rows stay within ``ROWS``.
+can beat it later, as every token of a rank file contracts to itself). Either query takes a bounded number of bytes and runs
+a bounded number of rounds at a time, as a recursive query keeps the rows of all its rounds: they stay within ``ROWS``.
 
 Null texts count as empty. Texts and words of any length are encoded whole; any bytes that the ids stand for decode to
 themselves. An empty table gives no rows; other columns play no part.
@@ -30,7 +30,7 @@ from .tokens import TOKEN_SLICE, Recent, chunks
 
 #: A word's best pair as one number: rank times _PLACES plus position.
 _PLACES = 1 << 28
-ROUND_BYTES = 1 << 20
+ROUND_BYTES = 1 << 18
 LONG = 64
 ROWS = 1 << 20
 
@@ -42,7 +42,7 @@ WITH RECURSIVE step(word, round, pos, id) AS (
   FROM step s JOIN (
     SELECT p.word, min(m.rank * {_PLACES} + p.pos) AS best
     FROM step p JOIN step q ON q.word = p.word AND q.pos = p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 65536 + q.id
-    GROUP BY p.word) b ON s.word = b.word
+    WHERE p.round < $rounds GROUP BY p.word) b ON s.word = b.word
   WHERE s.pos <> b.best % {_PLACES} + 1),
 last AS (SELECT word, max(round) AS round FROM step GROUP BY word)
 SELECT s.word, s.pos, s.id FROM step s JOIN last l ON s.word = l.word AND s.round = l.round
@@ -97,10 +97,8 @@ class Bpe:
         self._load("seed", {"word": word, "pos": pos, "id": ids})
         size = len(word)
         while True:
-            query = _CONTRACT_LONG.replace("$rounds", str(max(4, ROWS // max(size, 1)))) if long else _CONTRACT
+            query = (_CONTRACT_LONG if long else _CONTRACT).replace("$rounds", str(max(4, ROWS // max(size, 1))))
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {query}")
-            if not long:
-                break
             (left,) = self.db.execute("SELECT count(*) FROM tokens").fetchall()[0]
             if left == size:
                 break

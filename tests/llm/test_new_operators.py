@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import math
@@ -10,9 +11,10 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from fleetglass.llm import jaccard, merkle, search
+from fleetglass.llm import bpe, jaccard, merkle, search
 from tests.llm import brute
 from tests.llm.test_operators import by_id, corpus
 
@@ -228,3 +230,19 @@ def test_outlines_bound_overlaps():
     for _ in range(100):
         a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200), dtype=np.uint64) * np.uint64(2**55)) for _ in range(2))
         assert np.minimum(jaccard.outline(a), jaccard.outline(b)).sum() >= len(np.intersect1d(a, b))
+
+
+# ---------------------------------------------------------------- dense texts
+def test_bpe_of_many_dense_words():
+    """20,000 distinct words of 62 letters in one text stay within DuckDB's 400 MB and equal the library."""
+    import tiktoken
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(17)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=61)) for _ in range(20_000))
+    coder = bpe.Bpe(path, public_tokenizers.PATTERN)
+    words = coder.pattern.findall(text)
+    found = coder(words)
+    assert b"".join(x[0] for x in found).split() == [str(i).encode() for i in library.encode_ordinary(text)]
+    assert b"".join(x[2] for x in found) == text.encode()
