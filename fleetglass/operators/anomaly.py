@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..schema import (
     DROP_V, LOCAL_OFFSET_S, LOW_V, MOVING_KMH, NIGHT_FROM, NIGHT_TO, SIGNAL, SILENCE_S, SPIKE_POINTS, SPIKE_STD, SUSPECT, TOW_FULL_M, TOW_M, TOW_POINTS, WINDOW_S,
 )
 from .fence import signal_columns
-from .folds import fold_sorted
+from .folds import fold_tables, key_codes
 
 
 def with_session(events: DataFrame) -> DataFrame:
@@ -70,46 +70,121 @@ def speed_spikes(windowed: DataFrame, baselines: DataFrame) -> DataFrame:
     return joined.select(*signal_columns(F.lit("SPEED_SPIKE"), F.lit(1.0), detail))
 
 
-class Tamper:
-    """One vehicle's suspicious point, which becomes a signal if silence of SILENCE_S follows."""
+def _peaks(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of values[lo:hi] for every pair, from maxima over stretches of 1, 2, 4, ... values."""
+    level = np.log2(hi - lo).astype(np.int64)
+    out, best = np.empty(len(lo)), values
+    for k in range(int(level.max(initial=0)) + 1):
+        at = level == k
+        out[at] = np.maximum(best[lo[at]], best[hi[at] - (1 << k)])
+        best = np.maximum(best[: max(0, len(best) - (1 << k))], best[1 << k :])
+    return out
 
-    def __init__(self) -> None:
-        self.recent: deque[tuple[float, float]] = deque()
-        self.point: dict | None = None
-        self.last: dict | None = None
 
-    def silence(self, until: float) -> list[dict]:
-        if not self.point or until - self.last["device_ts"] < SILENCE_S:
+class Silence:
+    """What a vehicle's silence would tell: the odd moment that a signal would name, by columns of rows in order.
+
+    A row is odd if its fix is suspect, its voltage low, or well below the session's best of the last minutes. Rows without a
+    long gap or a new session between them form a burst; in a burst the first odd row stands until it is too old, then the
+    next odd one beyond that. A long gap after a burst turns what stands into a signal.
+    """
+
+    def __init__(self) -> None:
+        self.ts, self.volts = np.zeros(0), np.zeros(0)  # the session's last minutes
+        self.seq: int | None = None
+        self.point: tuple[float, float, float] | None = None
+
+    @property
+    def due(self) -> float | None:
+        """When silence would be long enough for a signal."""
+        return None if self.point is None else float(self.ts[-1]) + SILENCE_S
+
+    def until(self, now: float) -> list[tuple]:
+        """The signal (ts, lat, lon, silent seconds, fired_ts) if nothing came until now."""
+        if self.due is None or now < self.due:
             return []
-        p, self.point = self.point, None
-        detail = {"silent_s": str(round(until - self.last["device_ts"]))}
-        return [{"vehicle_id": p["vehicle_id"], "code": "TAMPER_SUSPECTED", "ts": p["device_ts"], "lat": p["lat"], "lon": p["lon"], "strength": 1.0, "detail": detail, "fired_ts": self.last["device_ts"] + SILENCE_S}]
-
-    def row(self, row: dict) -> list[dict]:
-        out = self.silence(row["device_ts"]) if self.last else []
-        if self.last and row["seq"] < self.last["seq"]:
-            self.recent.clear()
-            self.point = None
-        self.last = row
-        self.recent.append((row["device_ts"], row["battery_v"]))
-        while self.recent[0][0] < row["device_ts"] - WINDOW_S:
-            self.recent.popleft()
-        if self.point and row["device_ts"] - self.point["device_ts"] > SILENCE_S:
-            self.point = None
-        dropped = max(v for _, v in self.recent) - row["battery_v"] >= DROP_V
-        if not self.point and (SUSPECT in row["flags"] or dropped or row["battery_v"] < LOW_V):
-            self.point = row
+        (ts, lat, lon), due, self.point = self.point, self.due, None
+        return [(ts, lat, lon, round(now - due + SILENCE_S), due)]
+
+    def take(self, ts: np.ndarray, seq: np.ndarray, lat: np.ndarray, lon: np.ndarray, volts: np.ndarray, suspect: np.ndarray) -> list[tuple]:
+        n, kept = len(ts), len(self.ts)
+        before = np.concatenate([self.ts[-1:] if kept else ts[:1], ts[:-1]])
+        fell = seq < np.concatenate([[seq[0] if self.seq is None else self.seq], seq[:-1]])
+        every, all_volts = np.concatenate([self.ts, ts]), np.concatenate([self.volts, volts])
+        begun = np.maximum.accumulate(np.where(fell, np.arange(n) + kept, 0))
+        lo = np.minimum(np.maximum(begun, np.searchsorted(np.maximum.accumulate(every), ts - WINDOW_S)), np.arange(n) + kept)
+        odd = suspect | (volts < LOW_V) | (_peaks(all_volts, lo, np.arange(n) + kept + 1) - volts >= DROP_V)
+        out, cuts = [], np.flatnonzero(fell | (ts - before >= SILENCE_S))
+        for a, z in zip(np.unique([0, *cuts]).tolist(), [*np.unique([0, *cuts]).tolist()[1:], n], strict=True):
+            out += self.until(float(ts[a])) if kept or a else []
+            self.point = None if fell[a] else self.point
+            self._stand(a + np.flatnonzero(odd[a:z]), ts, lat, lon, float(ts[z - 1]))
+            self.ts = ts[z - 1 : z]
+        self.ts, self.volts, self.seq = every[lo[-1] :], all_volts[lo[-1] :], int(seq[-1])
         return out
 
-    def end(self) -> list[dict]:
-        return self.silence(self.last["clock"])
+    def _stand(self, odd: np.ndarray, ts: np.ndarray, lat: np.ndarray, lon: np.ndarray, end: float) -> None:
+        times = ts[odd]
+        at = 0 if self.point is None else int(np.searchsorted(times, self.point[0] + SILENCE_S, "right"))
+        while at < len(odd):
+            self.point = tuple(float(x[odd[at]]) for x in (ts, lat, lon))
+            at = int(np.searchsorted(times, self.point[0] + SILENCE_S, "right"))
+        if self.point and end - self.point[0] > SILENCE_S:
+            self.point = None
+
+
+TAMPER = SIGNAL.replace("detail map<string,string>", "silent_s long") + ", fired_ts double"
+_READ = ("device_ts", "seq", "lat", "lon", "battery_v", "suspect")
+
+
+def silent_table(vehicle: list[str], found: list[tuple]) -> pa.Table:
+    columns = list(zip(*found, strict=True)) if found else [()] * 5
+    code, strength = ["TAMPER_SUSPECTED"] * len(found), [1.0] * len(found)
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+    made = (vehicle, code, columns[0], columns[1], columns[2], strength, columns[3], columns[4])
+    return pa.table([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], ["vehicle_id", "code", "ts", "lat", "lon", "strength", "silent_s", "fired_ts"])
+
+
+class _Silences:
+    """``Silence`` vehicle by vehicle over a task's sorted rows, each one's end judged by the fleet's clock."""
+
+    def __init__(self) -> None:
+        self.vehicle, self.state, self.clock = None, Silence(), 0.0
+
+    def take(self, table: pa.Table) -> pa.Table | None:
+        names, starts = key_codes(table)
+        columns = [table[c].to_numpy() for c in _READ]
+        of, found = [], []
+        for vehicle, a, b in zip(names, starts.tolist(), starts[1:].tolist(), strict=False):
+            if vehicle != self.vehicle:
+                rest = self.state.until(self.clock)
+                of, found = of + [self.vehicle] * len(rest), found + rest
+                self.vehicle, self.state = vehicle, Silence()
+            now = self.state.take(*(c[a:b] for c in columns))
+            of, found = of + [vehicle] * len(now), found + now
+            self.clock = table["clock"][a].as_py()
+        return silent_table(of, found)
+
+    def end(self) -> pa.Table | None:
+        rest = self.state.until(self.clock)
+        return silent_table([self.vehicle] * len(rest), rest)
+
+
+def tamper_signals(silent: DataFrame) -> DataFrame:
+    """Signals from rows of ``TAMPER``."""
+    detail = F.create_map(F.lit("silent_s"), F.col("silent_s").cast("string"))
+    return silent.select("vehicle_id", "code", "ts", "lat", "lon", "strength", detail.alias("detail"), "fired_ts")
+
+
+def tamper_rows(events: DataFrame) -> DataFrame:
+    return events.select("vehicle_id", "device_ts", "seq", "lat", "lon", "battery_v", F.array_contains("flags", SUSPECT).alias("suspect"))
 
 
 def tampers(events: DataFrame) -> DataFrame:
-    """TAMPER_SUSPECTED: a suspicious point, then silence until the next event or the newest event of the fleet.
+    """TAMPER_SUSPECTED: an odd moment, then silence until the next event or the newest event of the fleet.
 
-    ``fired_ts`` is when the silence was long enough; the signal itself has the time of the suspicious point.
+    ``fired_ts`` is when the silence was long enough; the signal itself has the time of the odd moment.
     """
     clock = events.agg(F.max("device_ts").alias("clock"))
-    timed = events.select("vehicle_id", "device_ts", "seq", "lat", "lon", "battery_v", "flags").join(F.broadcast(clock))  # one row
-    return fold_sorted(timed, ["vehicle_id"], ["device_ts", "seq"], Tamper, SIGNAL + ", fired_ts double")
+    timed = tamper_rows(events).join(F.broadcast(clock))  # one row
+    return tamper_signals(fold_tables(timed, ["vehicle_id"], ["device_ts", "seq"], _Silences, TAMPER))

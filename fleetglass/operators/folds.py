@@ -2,7 +2,7 @@
 
 Rows are partitioned by key and sorted inside the partitions, so a fold holds one state at a time however long a key's
 history is. The same step classes serve the streaming processors. ``fold_tables`` hands whole Arrow batches to rules that
-work on columns; ``fold_sorted`` is for rare rows that are judged one by one.
+work on columns.
 """
 
 from __future__ import annotations
@@ -10,39 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
-    """Runs ``step()`` anew for each key over its rows in order.
-
-    The object's ``row(dict)`` and finally ``end()`` give lists of output rows as dicts. Key values are not null.
-    """
-    names = [x.strip().split(" ")[0] for x in _top_level(schema)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for frame in frames:
-            out: list[dict] = []
-            for row in frame.to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                if key != current:
-                    if state is not None:
-                        out += state.end()
-                    current, state = key, step()
-                out += state.row(row)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if state is not None and (rest := state.end()):
-            yield pd.DataFrame(rest, columns=names)
-
-    return _by_key(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 

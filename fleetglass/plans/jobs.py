@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.fence import trusted
-from ..operators.folds import fold_sorted
+from ..operators.folds import fold_tables
 from ..schema import COOLDOWN_S, LATE, LOCAL_OFFSET_S, MOVING_KMH
 
 
@@ -79,31 +82,46 @@ def replay_rows(history: DataFrame, day: str) -> DataFrame:
     return history.where(F.col("date") == day).withColumn("flags", F.filter("flags", lambda f: (f != LATE) & (f != "")))
 
 
-class _Missed:
-    """Greedy choice per vehicle and code: an alert is new if no stored or newly added one is near in time."""
+class _Apart:
+    """Takes, key by key and in the order of rows, those whose time is far enough from the times taken before.
+
+    Times taken are kept sorted, so that the neighbours on both sides tell.
+    """
 
     def __init__(self) -> None:
-        self.times: list[float] = []
+        self.key, self.times = None, []
 
-    def row(self, row: dict) -> list[dict]:
-        if row["stored"]:
-            self.times.append(row["ts"])
-            return []
-        if any(abs(row["ts"] - t) < COOLDOWN_S for t in self.times):
-            return []
-        self.times.append(row["ts"])
-        return [row]
+    def take(self, table: pa.Table) -> pa.Table:
+        keys, good = zip(table["vehicle_id"].to_pylist(), table["code"].to_pylist(), strict=True), []
+        for key, ts in zip(keys, table["ts"].to_pylist(), strict=True):
+            if key != self.key:
+                self.key, self.times = key, []
+            at = bisect.bisect(self.times, ts)
+            far = ts - self.times[at - 1] >= COOLDOWN_S if at else True
+            far = far and (self.times[at] - ts >= COOLDOWN_S if at < len(self.times) else True)
+            if far:
+                self.times.insert(at, ts)
+            good.append(far)
+        return table.filter(pa.array(good, pa.bool_()))
 
-    def end(self) -> list[dict]:
-        return []
+    def end(self) -> None:
+        return None
 
 
 def missed_alerts(replayed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Replayed alerts (vehicle_id, code, ts, score, in order of ``fired_ts``) away from all stored (vehicle_id, code, ts)."""
-    new = replayed.where("write_alert").select("vehicle_id", "code", "ts", "lat", "lon", "score", "fired_ts", F.lit(False).alias("stored"))
-    old = stored.select("vehicle_id", "code", "ts", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("score"), F.lit(0.0).alias("fired_ts"), F.lit(True).alias("stored"))
-    both = new.unionByName(old).withColumn("_first", F.when(F.col("stored"), 0).otherwise(1))
-    return fold_sorted(both, ["vehicle_id", "code"], ["_first", "fired_ts", "ts"], _Missed, "vehicle_id string, code string, ts double, lat double, lon double, score double")
+    """Replayed alerts (vehicle_id, code, ts, score, in order of ``fired_ts``) away from all stored (vehicle_id, code, ts).
+
+    The nearest stored alerts before and after come from windows over both; what is near neither is thinned by itself.
+    """
+    names = ["vehicle_id", "code", "ts", "lat", "lon", "score", "fired_ts"]
+    new = replayed.where("write_alert").select(*names, F.lit(None).cast("double").alias("_stored"))
+    old = stored.select("vehicle_id", "code", "ts", *[F.lit(0.0).alias(c) for c in names[3:]], F.col("ts").alias("_stored"))
+    order = Window.partitionBy("vehicle_id", "code").orderBy("ts")
+    last = F.last("_stored", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    first = F.first("_stored", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    both = new.unionByName(old).withColumn("_last", last).withColumn("_first", first).where("_stored IS NULL")
+    far = (F.coalesce(F.col("ts") - F.col("_last"), F.lit(COOLDOWN_S)) >= COOLDOWN_S) & (F.coalesce(F.col("_first") - F.col("ts"), F.lit(COOLDOWN_S)) >= COOLDOWN_S)
+    return fold_tables(both.where(far).select(*names), ["vehicle_id", "code"], ["fired_ts", "ts"], _Apart, "vehicle_id string, code string, ts double, lat double, lon double, score double")
 
 
 def raised_scores(board: DataFrame, missed: DataFrame) -> DataFrame:

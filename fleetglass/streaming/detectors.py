@@ -9,9 +9,9 @@ dropped upstream; a repeat that gets here counts as one more event.
 from __future__ import annotations
 
 import pickle
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,30 +19,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import anomaly, fence, risk
-from ..operators.folds import arrow_schema
+from ..operators.folds import _top_level, arrow_schema
 from ..schema import EVENT, EXIT_AFTER, SIGNAL, SUSPECT, WINDOW_S
-from .pipelines import CLOSING, _Fold, tampers
+from .pipelines import _Fold, tampers
 
 WINDOWED = EVENT + ", session long, recent array<struct<ts:double,seq:long,lat:double,lon:double,speed:double,on:boolean,suspect:boolean>>"
 
 
-class Recent(_Fold):
-    """Gives every event with the points of its session that are at most ``seconds`` older, in order."""
+_WINDOWED = [x.strip().split(" ")[0] for x in _top_level(WINDOWED)]
+
+
+class Recent(StatefulProcessor):
+    """Gives every event with the points of its session that are at most ``seconds`` older, in order.
+
+    Only the points that a later event may still need stay as state; a batch's windows are slices found by binary search.
+    """
 
     def __init__(self, seconds: int = WINDOW_S) -> None:
         self.seconds = seconds
-        super().__init__(lambda: {"points": deque(), "session": 0, "seq": None}, ["device_ts", "seq"], WINDOWED)
 
-    def take(self, steps: dict, row: dict) -> list[dict]:
-        points, ts = steps["points"], row["device_ts"]
-        if steps["seq"] is not None and row["seq"] < steps["seq"]:
-            steps["session"] += 1
-            points.clear()
-        steps["seq"] = row["seq"]
-        points.append({"ts": ts, "seq": row["seq"], "lat": row["lat"], "lon": row["lon"], "speed": row["speed_kmh"], "on": row["ignition"], "suspect": SUSPECT in row["flags"]})
-        while points[0]["ts"] < ts - self.seconds:
-            points.popleft()
-        return [row | {"session": steps["session"], "recent": list(points)}]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("recent", "value binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
+        frame = pd.concat(list(rows)).sort_values(["device_ts", "seq"], ignore_index=True)
+        old, session, seq = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else ([], 0, frame["seq"][0])
+        fell = frame["seq"].to_numpy() < np.concatenate([[seq], frame["seq"].to_numpy()[:-1]])
+        mark = frame["flags"].map(lambda flags: SUSPECT in flags)
+        fields = zip(frame["device_ts"], frame["seq"], frame["lat"], frame["lon"], frame["speed_kmh"], frame["ignition"], mark, strict=True)
+        points = old + [dict(zip(("ts", "seq", "lat", "lon", "speed", "on", "suspect"), f, strict=True)) for f in fields]
+        place = np.arange(len(old), len(points))
+        times = np.maximum.accumulate([p["ts"] for p in points])
+        lo = np.maximum(np.searchsorted(times, frame["device_ts"].to_numpy() - self.seconds), np.maximum.accumulate(np.where(fell, place, 0)))
+        frame["session"] = session + np.cumsum(fell)
+        frame["recent"] = [points[a : b + 1] for a, b in zip(np.minimum(lo, place).tolist(), place.tolist(), strict=True)]
+        self.state.update((pickle.dumps((frame["recent"].iloc[-1], int(frame["session"].iloc[-1]), int(frame["seq"].iloc[-1]))),))
+        yield frame[_WINDOWED]
+
+    def close(self) -> None:
+        pass
 
 
 class ExitWatch(_Fold):
@@ -81,25 +96,24 @@ class RiskWatch(StatefulProcessor):
 
 def windowed(events: DataFrame) -> DataFrame:
     """The stream's form of ``anomaly.with_window``."""
-    return events.groupBy("vehicle_id").transformWithStateInPandas(Recent(), WINDOWED, "append", "ProcessingTime")
+    return events.groupBy("vehicle_id").transformWithStateInPandas(Recent(), WINDOWED, "append", "None")
 
 
 def exits(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame) -> DataFrame:
     """The stream's form of ``fence.exits``."""
     placed = fence.contained(events.where(fence.trusted()), vehicle_fences, fences)
     slim = placed.select("vehicle_id", "geofence_id", "device_ts", "seq", "lat", "lon", "inside")
-    return slim.groupBy("vehicle_id", "geofence_id").transformWithStateInPandas(ExitWatch(), SIGNAL, "append", "ProcessingTime")
+    return slim.groupBy("vehicle_id", "geofence_id").transformWithStateInPandas(ExitWatch(), SIGNAL, "append", "None")
 
 
-def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, baselines: DataFrame) -> DataFrame:
+def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, baselines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Signals of the five codes that a vehicle's own events give, with the time at which they fire.
 
-    The window is kept once for towing and once for speed, as a stream's states can't be shared between branches. Closing
-    rows end silences and are no events for the others.
+    The window is kept once for towing and once for speed, as a stream's states can't be shared between branches. Tampering
+    alone looks at the fleet's clock, a watermark of event time with the given delay.
     """
-    own = events.where(F.col("oem") != CLOSING)
-    found = [exits(own, vehicle_fences, fences), anomaly.tows(windowed(own)), anomaly.speed_spikes(windowed(own), baselines), anomaly.night_moves(own, baselines)]
-    out = tampers(events)
+    found = [exits(events, vehicle_fences, fences), anomaly.tows(windowed(events)), anomaly.speed_spikes(windowed(events), baselines), anomaly.night_moves(events, baselines)]
+    out = tampers(events, delay)
     for part in found:
         out = out.unionByName(part.withColumn("fired_ts", F.col("ts")))
     return out
@@ -108,7 +122,7 @@ def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, bas
 def decisions(found: DataFrame, loans: DataFrame, open_cases: DataFrame | None = None) -> DataFrame:
     """The stream's form of ``risk.decide``; a signal that comes in a later batch is judged later, whenever it fired."""
     ready = risk.judged(found, loans, open_cases)
-    return ready.groupBy("vehicle_id").transformWithStateInPandas(RiskWatch(), risk.DECIDED, "append", "ProcessingTime")
+    return ready.groupBy("vehicle_id").transformWithStateInPandas(RiskWatch(), risk.DECIDED, "append", "None")
 
 
 def decision_sink(root: str, loans: DataFrame) -> Callable[[DataFrame, int], None]:

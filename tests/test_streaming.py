@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -79,13 +82,13 @@ def test_detector_streams_equal_batch(spark, tmp_path):
     events, loans, owned, fences, base = moving(spark)
     stream = in_three_batches(spark, events, ["device_ts", "seq"], str(tmp_path / "in"))
     got = []
-    pipelines.run_to_end(detectors.signals(stream, owned, fences, base), lambda batch, _: got.extend(batch.drop("fired_ts").collect()), str(tmp_path / "c"))
+    pipelines.run_to_end(detectors.signals(stream, owned, fences, base, "0 seconds"), lambda batch, _: got.extend(batch.drop("fired_ts").collect()), str(tmp_path / "c"), settle=True)
     seen = anomaly.with_window(events)
-    parts = [fence.exits(events, owned, fences), anomaly.tows(seen), anomaly.speed_spikes(seen, base), anomaly.night_moves(events, base)]
+    parts = [fence.exits(events, owned, fences), anomaly.tows(seen), anomaly.speed_spikes(seen, base), anomaly.night_moves(events, base), anomaly.tampers(events).drop("fired_ts").withColumn("detail", F.create_map(F.lit("silent_s"), F.lit("900")))]
     want = [r for part in parts for r in part.collect()]
     key = lambda r: (r["vehicle_id"], r["code"], r["ts"], r["lat"], r["strength"], sorted(r["detail"].items()))
-    assert sorted(key(r) for r in got if r["code"] != "TAMPER_SUSPECTED") == sorted(map(key, want))
-    assert {r["code"] for r in want} == {"GEOFENCE_EXIT", "TOW_SUSPECTED", "SPEED_SPIKE", "NIGHT_MOVEMENT"}
+    assert sorted(key(r) if r["code"] != "TAMPER_SUSPECTED" else key(r)[:-1] + ([("silent_s", "900")],) for r in got) == sorted(map(key, want))
+    assert {r["code"] for r in want} == {"GEOFENCE_EXIT", "TOW_SUSPECTED", "SPEED_SPIKE", "NIGHT_MOVEMENT", "TAMPER_SUSPECTED"}
 
 
 def test_risk_stream_equals_batch_and_its_sink(spark, tmp_path):
@@ -117,10 +120,10 @@ def test_late_rows_have_a_sink(spark, tmp_path):
 
 
 class Held:
-    """A handle and a clock that stand in for the engine's."""
+    """A handle and an expired timer that stand in for the engine's."""
 
     def __init__(self):
-        self.value, self.timers, self.now = None, [], NOON
+        self.value, self.timers, self.now = None, [], 0
 
     def getValueState(self, name, schema):  # noqa: N802
         return self
@@ -137,19 +140,63 @@ class Held:
     def registerTimer(self, at):  # noqa: N802
         self.timers.append(at)
 
-    def getCurrentProcessingTimeInMs(self):  # noqa: N802
-        return int(self.now * 1000)
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.now
 
 
-def test_a_silent_vehicle_fires_by_a_timer():
-    held, watch = Held(), pipelines.TamperWatch()
+def test_one_timer_stands_for_an_odd_moment_and_moves():
+    held, watch, key = Held(), pipelines.TamperWatch(), ("VH-000001",)
     watch.init(held)
-    rows = [pd.DataFrame([event(1, ts=NOON), event(2, ts=NOON + 5, battery_v=3.5)])]
-    held.now = NOON + 6
-    assert list(watch.handleInputRows(("VH-000001",), iter(rows), held)) == [] and held.timers == [(NOON + 906) * 1000]
-    held.now = NOON + 500
-    assert list(watch.handleExpiredTimer(("VH-000001",), held, None)) == [] and len(held.timers) == 2
-    held.now = NOON + 906
-    fired = pd.concat(watch.handleExpiredTimer(("VH-000001",), held, None))
-    assert fired[["code", "ts", "fired_ts"]].to_numpy().tolist() == [["TAMPER_SUSPECTED", NOON + 5, NOON + 905]]
-    assert list(watch.handleExpiredTimer(("VH-000001",), held, None)) == [] and len(held.timers) == 2
+    take = lambda *rows: list(watch.handleInputRows(key, iter([pd.DataFrame(rows).assign(suspect=False)]), None))
+    assert take(event(1, ts=NOON), event(2, ts=NOON + 5, battery_v=3.5)) == [] and held.timers == [(NOON + 905) * 1000]
+    assert take(event(3, ts=NOON + 500)) == [] and held.timers == [(NOON + 1400) * 1000]
+    assert take(event(4, ts=NOON + 950)) == [] and held.timers == []  # the odd moment is too old
+    assert take(event(5, ts=NOON + 960, battery_v=3.5)) == [] and held.timers == [(NOON + 1860) * 1000]
+    held.now = held.timers.pop()
+    fired = pd.concat(watch.handleExpiredTimer(key, None, held))
+    assert fired[["code", "ts", "silent_s", "fired_ts"]].to_numpy().tolist() == [["TAMPER_SUSPECTED", NOON + 960, 900, NOON + 1860]]
+    assert list(watch.handleExpiredTimer(key, None, held)) == [] and held.timers == []
+
+
+def odd_moments(rows, clock):
+    """The rule read off all rows at once: (ts, silent seconds) of signals."""
+    out, session, sessions = [], 0, []
+    for i, r in enumerate(rows):
+        session += i > 0 and r["seq"] < rows[i - 1]["seq"]
+        sessions.append(session)
+    point = None
+    for i, r in enumerate(rows):
+        if point is not None and (sessions[i] != sessions[point] or r["ts"] - rows[point]["ts"] > 900):
+            point = None
+        best = max(x["volts"] for k, x in enumerate(rows[: i + 1]) if sessions[k] == sessions[i] and x["ts"] >= r["ts"] - 600)
+        if point is None and (r["suspect"] or r["volts"] < 3.6 or best - r["volts"] >= 0.2):
+            point = i
+        after = rows[i + 1]["ts"] if i + 1 < len(rows) else clock
+        if point is not None and after - r["ts"] >= 900:
+            out.append((rows[point]["ts"], round(after - r["ts"])))
+            point = None
+    return out
+
+
+def test_silences_in_pieces_of_any_size():
+    rng = random.Random(11)
+    for _ in range(300):
+        ts, seq, rows = 0.0, 0, []
+        for _ in range(rng.randint(1, 40)):
+            ts += rng.choice([0, 5, 60, 300, 500, 899, 900, 1500])
+            seq = seq + 1 if rng.random() < 0.9 else 0
+            rows.append({"ts": ts, "seq": seq, "volts": rng.choice([4.1, 4.1, 4.0, 3.9, 3.5]), "suspect": rng.random() < 0.1})
+        clock, state, got, at = ts + rng.choice([0, 1000]), anomaly.Silence(), [], 0
+        while at < len(rows):
+            part = rows[at : at + rng.randint(1, 15)]
+            column = lambda k, part=part: np.array([r[k] for r in part])
+            got += state.take(column("ts"), column("seq"), column("ts"), column("ts"), column("volts"), column("suspect"))
+            at += len(part)
+        got += state.until(clock)
+        assert [(t, silent) for t, _, _, silent, _ in got] == odd_moments(rows, clock)
