@@ -194,6 +194,10 @@ _put("convoy_edges", ("telemetry",), "SELECT run, a, b, streak FROM alive", _HAS
 _put("convoy_groups", ("telemetry",), "SELECT run, array_to_string(members, ',') AS members FROM groups", _HASHED, _STATES, _groups(CONVOY), recursive=True)
 _put("convoy_slow", ("telemetry",), "SELECT array_to_string(members, ',') AS members FROM maximal", _HASHED, _STATES, _groups(SLOW_CONVOY), _MAXIMAL, recursive=True)
 _put("convoy_signals", ("telemetry",), "SELECT unnest(members) AS vehicle_id, 'CONVOY' AS code, len(members)::VARCHAR AS size FROM maximal WHERE NOT members[1] < 'VH-000050'", _HASHED, _STATES, _groups(SLOW_CONVOY), _MAXIMAL, recursive=True)
+for _name in ("convoy_live_signals", "stream_convoys"):
+    _put(_name, ("telemetry",), """SELECT v AS vehicle_id, 'CONVOY' AS code, ts, size FROM (SELECT run, unnest(members) AS v, len(members) AS size FROM groups g
+  WHERE EXISTS (SELECT 1 FROM (SELECT unnest(g.members) AS m) WHERE NOT EXISTS (SELECT 1 FROM groups o WHERE o.run = g.run - 1 AND list_contains(o.members, m))))
+JOIN (SELECT run, max(device_ts) AS ts FROM states JOIN runs USING (slot) GROUP BY 1) USING (run)""", _HASHED, _STATES, _groups(CONVOY), recursive=True)
 _put("serve_convoys", ("telemetry", "loan"), "SELECT string_agg(v, ',' ORDER BY v) AS members FROM (SELECT members, unnest(members) AS v FROM maximal) JOIN own ON v = vehicle_id AND lender_id = 1 GROUP BY members", _HASHED, _STATES, _groups(SLOW_CONVOY), _MAXIMAL, _OWN, recursive=True)
 
 # risk

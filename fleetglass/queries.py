@@ -15,7 +15,7 @@ from .plans import jobs, monitor, partners, serve
 from .schema import EVENT, SIGNAL, SLOW_CONVOY
 from .sources import raw as sources
 from .sources.shared import shared_path, written
-from .streaming import detectors, pipelines
+from .streaming import convoys, detectors, pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -401,6 +401,25 @@ def stream_signals(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(SIGNAL + ", fired_ts double, batch long").parquet(out).select("vehicle_id", "code", "ts")
 
 
+@query
+def stream_convoys(spark: SparkSession, sf: str) -> DataFrame:
+    """The convoy run as a stream in three batches over all telemetry; a later row of no vehicle of the fleet closes the last window."""
+    out = shared_path(spark, "convoys")
+    names = [x.split(" ")[0] for x in EVENT.split(", ")]
+    events = written(_events(spark, sf).select(*names), "clean")
+    newest = events.agg(F.max("device_ts")).first()[0] or 0.0
+    end = events.limit(1).withColumn("vehicle_id", F.lit("end")).withColumn("device_ts", F.lit(newest + 3600.0)).withColumn("flags", F.array().cast("array<string>")).withColumn("speed_kmh", F.lit(0.0))
+    stream = _by_time(spark, events.unionByName(end), shared_path(spark, "stream"))
+    pipelines.run_to_end(convoys.closed_slots(stream, "0 seconds"), convoys.convoy_sink(spark, out), shared_path(spark, "offsets"), settle=True)
+    found = spark.read.schema(convoy.LIVE + ", batch long").parquet(f"{out}/signals")
+    return found.select("vehicle_id", "code", "ts", F.col("detail")["size"].cast("long").alias("size"))
+
+
+@query
+def convoy_live_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return convoy.live_signals(_events(spark, sf)).select("vehicle_id", "code", "ts", F.col("detail")["size"].cast("long").alias("size"))
+
+
 # ---------------------------------------------------------------- routes
 @query
 def route_nearest_nodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fleetglass.functions import geo
-from fleetglass.operators import anomaly, clean, fence, risk
+from fleetglass.operators import anomaly, clean, convoy, fence, risk
 from fleetglass.schema import SIGNAL
 from fleetglass.sources import raw as sources
-from fleetglass.streaming import detectors, pipelines
+from fleetglass.streaming import convoys, detectors, pipelines
 from tests.test_fleet import GOOD, LAT, LOANS, LON, NOON, arrivals, event
 
 
@@ -47,10 +47,13 @@ def test_sinks_repeat_safely(spark, tmp_path):
     for number in (0, 0, 1):
         store(events, number)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 18
+    stored = spark.read.parquet(str(tmp_path / "store")).where("day = '2023-11-14'")
+    assert "PartitionFilters: [isnotnull(day" in stored._jdf.queryExecution().toString()
     latest = pipelines.latest_sink(spark, str(tmp_path / "latest"))
-    latest(events.where("seq < 4"), 0)
-    latest(events, 1)
-    assert {r["seq"] for r in spark.read.parquet(str(tmp_path / "latest/version=1")).collect()} == {9}
+    for number, part in ((0, "seq < 4"), (1, "seq < 4"), (3, "true"), (3, "true")):  # no version 2, and the last batch again
+        latest(events.where(part), number)
+    assert {r["seq"] for r in spark.read.parquet(str(tmp_path / "latest/version=3")).collect()} == {9}
+    assert sorted(x.name for x in (tmp_path / "latest").iterdir() if x.is_dir()) == ["version=1", "version=3"]
     raw = spark.createDataFrame([(GOOD["A"], NOON, 0), (b"?", NOON, 1)], "payload binary, ingest_ts double, offset long")
     raw.write.parquet(str(tmp_path / "raw"))
     pipelines.run_to_end(pipelines.normalise(sources.raw_stream(spark, str(tmp_path / "raw"))), pipelines.split_sink(str(tmp_path / "split")), str(tmp_path / "s"))
@@ -119,6 +122,37 @@ def test_late_rows_have_a_sink(spark, tmp_path):
     assert kept + late == 21 and kept > 0
 
 
+def fleet(spark):
+    """Three vehicles that drive together for an hour, one of them away for a while; a fourth joins them; one goes its own way."""
+    rows = []
+    for run in range(14):
+        for v in range(5):
+            if (v == 2 and run in (8, 9, 10)) or (v == 3 and run < 3):
+                continue
+            away = 0.2 if v == 4 else 0.0
+            rows.append(event(run, ts=NOON + 300 * run + 20 * v, vehicle=f"VH-00000{v}", lat=LAT + 0.01 * run + 0.0005 * v + away, speed_kmh=40.0, heading_deg=10.0, event_id=f"{v}-{run}"))
+    out = arrivals(spark, rows)
+    return out.withColumn("geohash", geo.geohash(F.col("lat"), F.col("lon"), 7))
+
+
+def test_convoy_stream_equals_batch_and_keeps_little(spark, tmp_path):
+    events = fleet(spark)
+    end = events.limit(1).withColumn("device_ts", F.lit(NOON + 9000.0)).withColumn("vehicle_id", F.lit("VH-999999"))
+    stream = in_three_batches(spark, events.unionByName(end), ["device_ts"], str(tmp_path / "in"))
+    sink = convoys.convoy_sink(spark, str(tmp_path / "out"))
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    pipelines.run_to_end(convoys.closed_slots(stream, "0 seconds"), twice, str(tmp_path / "c"), settle=True)
+    key = lambda r: (r["ts"], r["vehicle_id"], r["lat"], r["lon"], sorted(r["detail"].items()), r["fired_ts"])
+    want = sorted(key(r) for r in convoy.live_signals(events).collect())
+    assert sorted(key(r) for r in spark.read.parquet(str(tmp_path / "out/signals")).collect()) == want
+    assert len({w[0] for w in want}) > 1
+    assert all(len([x for x in (tmp_path / f"out/{name}").iterdir() if x.is_dir()]) == 2 for name in ("edges", "members", "positions", "runs"))
+
+
 class Held:
     """A handle and an expired timer that stand in for the engine's."""
 
