@@ -33,25 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, mixed, slices, utf8, written
-from ..operators.components import components
-from .neardup import Joined, linked, shingle_sets
+from .overlaps import Joined, all_components, labelled, need, shingle_sets, sides, tied_classes
 
 WIDTH = 4
 PERCENT = 85
 #: Counters of shingle frequency, a byte each, all of which go to every task.
 COUNTERS = 1 << 16
 OUTLINE = 256
-BLOCK = 1024
-#: Elements of a block of full sets.
-SET_BLOCK = 1 << 19
-#: Weighs probing against merging, as the paper's mu.
-MU = 0.0085
 
 
-def need(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """The least overlap of linked sets of these sizes: 100 * o >= percent * (a + b - o)."""
-    return -(-percent * (a + b) // (100 + percent))
-
 
 def rare(size: int, percent: int) -> int:
     """How many of a set's first elements hold one of any linked set: it shares percent of the larger set at least."""
@@ -122,64 +112,7 @@ def _listed(width: int, percent: int, frequent: np.ndarray) -> Callable:
     return run
 
 
-def _sets(width: int, *kept: str) -> Callable:
-    """The sets of texts, beside other columns of their rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [x.tobytes() for x in shingle_sets(*utf8(batch["text"]), width)]
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in kept], pa.array(found, pa.binary())], [*kept, "set"])
-
-    return run
-
-
 # ---------------------------------------------------------------- comparing inside tasks
-def _each_group(keys: list[str], f: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> Callable:
-    """Applies ``f`` to each run of rows with equal keys of a sorted partition; gives its pairs (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, last = [], None
-        found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-
-        def close() -> None:
-            a, b = f(pa.Table.from_batches(waiting).combine_chunks())
-            found_a.append(a)
-            found_b.append(b)
-            waiting.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = np.stack([batch[k].to_numpy().astype(np.int64) for k in keys])
-            cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if waiting and tuple(columns[:, lo]) != last:
-                    close()
-                waiting.append(batch.slice(lo, hi - lo))
-                last = tuple(columns[:, lo])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-            found_a, found_b = found_a[:1], found_b[:1]
-        if waiting:
-            close()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    return run
-
-
-def _compared(rows: DataFrame, key: str, f: Callable, *columns: str) -> DataFrame:
-    """``f`` over each pair of blocks of each key, a group of bounded size."""
-    keys = [key, "left", "right"]
-    dealt = rows.select(*keys, "side", "doc_id", "component", *columns).repartition(*keys).sortWithinPartitions(*keys)
-    return arrow_map(dealt, _each_group(keys, f), "a long, b long")
-
-
-def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The rows of the first and of the second block, and whether both are the same block."""
-    within = table["left"][0].as_py() == table["right"][0].as_py()
-    side, every = table["side"].to_numpy(), np.arange(table.num_rows)
-    return (every, every, True) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)
-
-
 def _shapes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     unknown = np.full(OUTLINE, 2**16 - 1, dtype=np.uint16)
     return np.stack([unknown if x is None else np.frombuffer(x, dtype=np.uint16) for x in column.to_pylist()])
@@ -191,7 +124,7 @@ def _hopeful_pairs(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                shared = np.minimum(_shapes(batch["outline_a"]), _shapes(batch["outline_b"])).sum(axis=1, dtype=np.int64)
+                shared = np.minimum(_shapes(batch["shape_a"]), _shapes(batch["shape_b"])).sum(axis=1, dtype=np.int64)
                 good = shared >= need(batch["size_a"].to_numpy(), batch["size_b"].to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good))
 
@@ -202,9 +135,9 @@ def _hopeful(percent: int) -> Callable:
     """For the members of a pair of blocks that may be linked across components: one of those they hang with."""
 
     def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        one, two, within = _blocks(table)
+        one, two, within = sides(table)
         doc, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "size"))
-        shape = _shapes(table["outline"])
+        shape = _shapes(table["shape"])
         known, touched = Joined(np.arange(len(doc))), np.zeros(len(doc), dtype=bool)
         for i in one:
             others = two[(comp[two] != comp[i]) & (known.label[two] != known.label[i]) & ((two > i) if within else True)]
@@ -222,146 +155,7 @@ def _hopeful(percent: int) -> Callable:
     return run
 
 
-class Index:
-    """Inverted lists over some sets, and DivideSkip over them."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(x) for x in sets], dtype=np.int64)
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(every, kind="stable")  # owners rise within a list
-        self.owner, every = owner[order], every[order]
-        self.element, self.start = np.unique(every, return_index=True)
-        self.end = np.append(self.start[1:], len(every))
-
-    def partners(self, found: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
-        """Which of the wanted sets (a mask) are linked to this one."""
-        at = np.minimum(np.searchsorted(self.element, found), len(self.element) - 1)
-        at = at[self.element[at] == found]
-        least = -(-percent * len(found) // 100)  # what any partner shares
-        if len(at) < least:
-            return np.zeros(0, dtype=np.int64)
-        length = self.end[at] - self.start[at]
-        at = at[np.argsort(length, kind="stable")]
-        longest = int((self.end[at[-1]] - self.start[at[-1]]))
-        n_long = min(int(least / (MU * np.log2(max(longest, 2)) + 1)), least - 1)
-        short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-        merged = np.concatenate([self.owner[self.start[k] : self.end[k]] for k in short])
-        count = np.bincount(merged, minlength=len(self.size))
-        must = need(self.size, len(found), percent)
-        rows = np.flatnonzero((count >= np.maximum(must - n_long, 1)) & wanted)
-        count = count[rows]
-        for done, k in enumerate(long_[::-1]):
-            if not len(rows):
-                break
-            lists = self.owner[self.start[k] : self.end[k]]
-            place = np.minimum(np.searchsorted(lists, rows), len(lists) - 1)
-            count = count + (lists[place] == rows)
-            open_ = count + (n_long - done - 1) >= must[rows]
-            rows, count = rows[open_], count[open_]
-        return rows[count >= must[rows]]
-
-
-def _links(percent: int) -> Callable:
-    """Inside a pair of blocks of a group: links on full sets that join two components."""
-
-    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        one, two, _ = _blocks(table)
-        if not len(one) or not len(two):  # no member fell into one of the blocks
-            return one[:0], two[:0]
-        doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
-        index, known, a, b = Index([sets[k] for k in two]), Joined(comp), [], []
-        for i in one:
-            wanted = known.label[two] != known.label[i]
-            if not wanted.any():
-                continue
-            for k in two[index.partners(sets[i], percent, wanted)]:
-                if known.label[k] != known.label[i]:
-                    known.join(i, np.array([k]))
-                    a.append(doc[i])
-                    b.append(doc[k])
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-    return run
-
-
-def _near_hub(percent: int) -> Callable:
-    """The hub's row, the first of a group, and rows of members: the links between both."""
-
-    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, is_hub = table["doc_id"].to_numpy(), table["side"].to_numpy() == 0
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
-        hubs = np.flatnonzero(is_hub)
-        near = [k for k in np.flatnonzero(~is_hub) if any(linked(sets[h], sets[k], percent) for h in hubs)]
-        return np.full(len(near), doc[hubs[0]] if len(hubs) else 0), doc[near]
-
-    return run
-
-
 # ---------------------------------------------------------------- the join
-def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
-    """Rows of a key with a number of blocks dealt into pairs of blocks (left, right), with the side they are on."""
-    one = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
-    pairs = one.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    return pairs.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-
-
-def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """With each document's component so far."""
-    return rows.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
-def _hub_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links between documents and the hub with which they share most of their lists.
-
-    A hub's members are dealt into blocks, each of which gets the hub's set, so a text is shuffled once and a set twice.
-    """
-    reach = members.groupBy("doc_id").agg(F.sum(F.log2("n")).alias("reach"))
-    ranked = members.join(reach, "doc_id").select("list", "doc_id", F.struct(F.col("reach"), (-F.col("doc_id")).alias("id")).alias("at"))
-    hubs = ranked.groupBy("list").agg(F.max("at").alias("hub"))
-    met = members.join(hubs, "list").where(F.col("doc_id") != -F.col("hub.id")).groupBy("doc_id", "hub").agg(F.count("*").alias("shared"))
-    best = met.groupBy("doc_id").agg(F.max(F.struct("shared", "hub")).alias("m"))
-    pairs = written(best.select((-F.col("m.hub.id")).alias("hub"), "doc_id"), "pairs")
-    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = pairs.join(blocks, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("left"), F.lit(1).alias("side"))
-    centre = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left"), F.lit(0).alias("side"))
-    roles = own.unionByName(centre).groupBy("doc_id").agg(F.collect_set(F.struct("hub", "left", "side")).alias("roles"))  # a row for each block
-    texts = docs.select("doc_id", "text").join(roles, "doc_id")
-    sets = arrow_map(texts.select("doc_id", "roles", "text"), _sets(width, "doc_id", "roles"), "doc_id long, roles array<struct<hub:long,left:int,side:int>>, set binary")
-    rows = sets.select("doc_id", "set", F.inline("roles")).withColumn("right", F.col("left")).withColumn("component", F.col("hub"))
-    return _compared(rows, "hub", _near_hub(percent), "set")
-
-
-def _groups(members: DataFrame, joined: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """doc_id and ``family`` of documents that may still be linked across components."""
-    placed = _labelled(members.select("list", "doc_id"), joined)
-    print_ = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
-    of = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), print_.alias("print"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    lists = written(of.where("lo < hi").groupBy("print", "n").agg(F.min(F.struct("list", "a", "b")).alias("l")).select("l.*", "n"), "open")
-    # a list of two is one pair; longer ones are compared in blocks
-    pairs, longer = lists.where("n = 2").select("a", "b").distinct(), lists.where("n > 2").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).select("list", "blocks")
-    rest = placed.join(longer, "list")
-    rest = written(rest, "rest")
-    ids = rest.select("doc_id").unionByName(pairs.select(F.col("a").alias("doc_id"))).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    shapes = facts.join(ids, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("size"), "outline")
-    both = pairs
-    for side in ("b", "a"):
-        both = both.join(shapes.select(F.col("doc_id").alias(side), F.col("size").alias(f"size_{side}"), F.col("outline").alias(f"outline_{side}")), side)
-    both = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    found = arrow_map(both.select("a", "b", "size_a", "size_b", "outline_a", "outline_b"), _hopeful_pairs(percent), "a long, b long")
-    found = found.unionByName(_compared(_dealt(rest, "blocks").join(shapes, "doc_id"), "list", _hopeful(percent), "size", "outline"))
-    return written(components(written(found.distinct(), "hopeful")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-
-
-def _group_links(families: DataFrame, joined: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    texts = docs.select("doc_id", "text").join(families.select("doc_id"), "doc_id", "left_semi")
-    sets = written(arrow_map(texts, _sets(width, "doc_id"), "doc_id long, set binary"), "sets")
-    own = families.join(sets, "doc_id")
-    elements = own.groupBy("family").agg(F.ceil(F.sum(F.octet_length("set")) / F.lit(8 * SET_BLOCK)).alias("blocks"))
-    rows = _dealt(_labelled(own.join(elements, "family"), joined), "blocks")
-    return _compared(rows, "family", _links(percent), "set")
-
-
 def _members(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """list, doc_id and n, the list's length, of lists that several classes share, a row for each class."""
     lists = written(arrow_map(docs.where("doc_id IS NOT NULL").select("text"), _listed(width, percent, counters(docs, width)), "list long, print1 long"), "lists")
@@ -378,18 +172,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     alike = ["n_shingles", "print1", "print2"]
     filled = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     by_class = written(filled.groupBy(*alike).agg(F.min("doc_id").alias("doc_id")), "classes")
-    # an id with several texts ties their classes
-    several = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    tied = filled.join(several, "doc_id").join(by_class.withColumnRenamed("doc_id", "a"), alike).select("a", F.col("doc_id").alias("b")).distinct()
     members = _members(docs, by_class, width, percent)
-    links = written(_hub_links(members, docs, width, percent).unionByName(tied), "links")
-    joined = written(components(links), "joined")
-    families = _groups(members, joined, facts, percent)
-    if not families.isEmpty():
-        more = _group_links(families, joined, docs, width, percent)
-        joined = written(components(links.unionByName(written(more, "links"))), "joined")
+    shapes = facts.select("doc_id", F.col("n_shingles").alias("size"), F.col("outline").alias("shape"))
+    joined = all_components(members, tied_classes(filled, by_class, alike), shapes, docs, width, percent, _hopeful_pairs(percent), _hopeful(percent))
     discard(members)
-    component = _labelled(by_class, joined).select(*alike, F.col("component").alias("component_id"))
+    component = labelled(by_class, joined).select(*alike, F.col("component").alias("component_id"))
     out = filled.select("doc_id", *alike).join(component, alike).select("doc_id", "n_shingles", "component_id")
     # rows without a set or an id are components of their own and need no join, however many there are
     return out.unionByName(facts.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -6,11 +6,11 @@ smallest hash there and ten bits after them. Empty buckets borrow from the next
 banding: bands of four registers name candidates. The agreement of own registers, corrected for chance collisions, discards
 the hopeless, and the rest are confirmed on full sets.
 
-Inside a band's bucket no list of all pairs is made. First every member meets the bucket's smallest one. What these links
-join is one component; the rest of the work looks only at buckets whose members still lie in different components. These
-are dealt into blocks of bounded size whose sketches are compared inside a task. Documents that may be linked across
-components form a family, whose full sets are compared in blocks too; only links that join two components leave the task.
-So no link is given up for the size of a bucket, and no table of pairs grows with its square.
+Inside a band's bucket no list of all pairs is made. First every document meets the hub of its buckets, the one whose
+buckets are largest in all, on full sets; a family of near copies hangs together after that. The rest of the work looks only
+at buckets whose members still lie in different components: their sketches are compared in blocks inside tasks, what may be
+linked forms families, and full sets of a family are searched in blocks too (``overlaps``). So no link is given up for the
+size of a bucket, and no table of pairs grows with its square.
 
 Null texts and texts without words have the empty set, class of their own, and no links. Rows of equal doc_id count as one
 document with the union of their links. Rows with null doc_id are classes of their own without links: component_id null,
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, lowered, mixed, prefix_hash, slices, span_hash, utf8, windows_hash, words, written
-from ..operators.components import components
+from .common import arrow_map, discard, mixed, slices, utf8, written
+from .overlaps import Joined, all_components, labelled, shingle_sets, sides, tied_classes
 
 WIDTH = 5
 REGISTER_BITS = 7
@@ -35,24 +35,6 @@ REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
 BORROWED = 1 << 15
 BAND = 4
-BLOCK = 512
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its shingles; A-Z count as a-z."""
-    data = lowered(data)
-    starts, ends, at = words(data, offsets)
-    h = span_hash(prefix_hash(data), starts, ends)
-    full = windows_hash(h, width)
-    out = []
-    for a, b in zip(at, at[1:], strict=False):
-        if b - a >= width:
-            out.append(np.unique(full[a : b - width + 1]))
-        elif b > a:
-            out.append(mixed(windows_hash(h[a:b], int(b - a)) + np.uint64(b - a)))
-        else:
-            out.append(h[:0])
-    return out
 
 
 def registers(found: np.ndarray) -> np.ndarray:
@@ -92,7 +74,7 @@ _SKETCH = "doc_id long, n_shingles long, print1 long, print2 long, sketch binary
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sizes, one, two, made = [], [], [], []
-        for found in shingle_sets(*utf8(batch["text"])):
+        for found in shingle_sets(*utf8(batch["text"]), WIDTH):
             sizes.append(len(found))
             one.append(int(mixed(found).sum().astype(np.int64)) if len(found) else 0)
             two.append(int(mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)) if len(found) else 0)
@@ -111,22 +93,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(doc)], ["bucket", "doc_id"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        found = [x.tobytes() for x in shingle_sets(*utf8(batch["text"]))]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "set"])
-
-
-def _confirmer(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_a", 1 << 20):
-            pairs = zip(batch["set_a"], batch["set_b"], strict=True)
-            good = [linked(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in p), percent) for p in pairs]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _hopeful(percent: int):
     """Pairs (a, b) with both sizes and sketches; those stay that may be links."""
 
@@ -134,38 +100,20 @@ def _hopeful(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
+            n_a, n_b = batch["size_a"].to_numpy(), batch["size_b"].to_numpy()
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("shape_a", "shape_b"))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(possible(a, b, n_a, n_b, percent)))
 
     return run
 
 
-class Joined:
-    """Which of a task's documents are known to be connected."""
-
-    def __init__(self, labels: np.ndarray):
-        _, self.label = np.unique(labels, return_inverse=True)
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        gone = np.unique(self.label[others])
-        self.label[np.isin(self.label, gone)] = self.label[i]
-
-
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The rows of the first and of the second block, and whether both are the same block."""
-    within = table["left"][0].as_py() == table["right"][0].as_py()
-    side, every = table["side"].to_numpy(), np.arange(table.num_rows)
-    return (every, every, True) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1), False)
-
-
 def _partners(percent: int):
     """For the documents of a pair of blocks that may be linked to one in another component: one of those they hang with."""
 
-    def run(table: pa.Table) -> pa.Table:
-        one, two, within = _sides(table)
-        doc, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        one, two, within = sides(table)
+        doc, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "size"))
+        sketch = np.frombuffer(b"".join(table["shape"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
         known, touched = Joined(np.arange(len(doc))), np.zeros(len(doc), dtype=bool)
         for i in one:
             others = two[(comp[two] != comp[i]) & (known.label[two] != known.label[i]) & ((two > i) if within else True)]
@@ -175,97 +123,26 @@ def _partners(percent: int):
                 touched[i] = touched[others] = True
         root = np.full(len(doc), np.iinfo(np.int64).max)
         np.minimum.at(root, known.label[touched], doc[touched])
-        return pa.table({"a": root[known.label[touched]], "b": doc[touched]})
-
-    return run
-
-
-def _links(percent: int):
-    """Inside a pair of blocks of a family: links on full sets that join two components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        one, two, within = _sides(table)
-        doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["set"].to_pylist()]
-        size, sketch = np.array([len(x) for x in sets]), np.stack([registers(x) for x in sets])
-        known, a, b = Joined(comp), [], []
-        for i in one:
-            others = two[(known.label[two] != known.label[i]) & ((two > i) if within else True)]
-            others = others[possible(sketch[others], sketch[i], size[others], size[i], percent)] if len(others) else others
-            for k in others:
-                if known.label[k] != known.label[i] and linked(sets[i], sets[k], percent):
-                    known.join(i, np.array([k]))
-                    a.append(doc[i])
-                    b.append(doc[k])
-        return pa.table({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+        return root[known.label[touched]], doc[touched]
 
     return run
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets share enough of their union."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(both) - shared)
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of each key (with ``n``, the key's number of rows) dealt into pairs of blocks: left, right and side."""
-    blocks = rows.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    pairs = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    out = pairs.withColumn("left", F.least("_block", "_other")).withColumn("right", F.greatest("_block", "_other")).withColumn("side", (F.col("_block") > F.col("_other")).cast("int"))
-    return out.drop("n", "_blocks", "_block", "_other")
-
-
-def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """doc_id and ``set`` of the needed documents."""
-    return arrow_map(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), _sets, "doc_id long, set binary")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_id whose full sets are similar enough."""
-    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    return arrow_map(both.select("a", "b", "set_a", "set_b"), _confirmer(percent), "a long, b long")
-
-
-def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    small = reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
-    out = pairs
-    for side in ("b", "a"):
-        out = out.join(small.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    return out
-
-
 def classes(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     facts = written(arrow_map(docs.select("doc_id", "text"), _sketches, _SKETCH), "sketches")
     alike = ["n_shingles", "print1", "print2"]
     filled = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = written(filled.groupBy(*alike).agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("r")).select("r.doc_id", "n_shingles", "r.sketch"), "classes")
+    by_class = filled.groupBy(*alike).agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("r"))
+    by_class = written(by_class.select(*alike, "r.doc_id", "r.sketch"), "classes")
     # sets of one or two shingles are similar to equal ones only
-    members = written(arrow_map(reps.where("n_shingles > 2").select("doc_id", "sketch"), _banded, "bucket long, doc_id long"), "bands")
-    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = members.join(heads, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    hopeful = written(arrow_map(_with_sketches(stars, reps), _hopeful(percent), "a long, b long"), "pairs")
-    links = written(confirmed(hopeful, docs, percent), "links")
-    joined = components(links)
-    # buckets whose members still lie in different components
-    placed = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spread = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("bucket", "n")
-    apart = _dealt(placed.join(spread, "bucket")).join(reps, "doc_id")
-    hanging = components(written(apart.groupBy("bucket", "left", "right").applyInArrow(_partners(percent), "a long, b long").distinct(), "partners"))
-    families = written(hanging.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-    if not families.isEmpty():
-        sized = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        whole = _dealt(sized.join(full_sets(docs, families.select("doc_id")), "doc_id"))
-        more = whole.groupBy("family", "left", "right").applyInArrow(_links(percent), "a long, b long")
-        joined = components(links.unionByName(written(more, "links")))
-    component = reps.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    by_class = filled.groupBy(*alike).agg(F.min("doc_id").alias("_rep")).join(component.select(F.col("doc_id").alias("_rep"), F.coalesce("component", "doc_id").alias("_component")), "_rep")
-    linked_rows = filled.select("doc_id", *alike).join(by_class.drop("_rep"), alike).select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
+    bands = written(arrow_map(by_class.where("n_shingles > 2").select("doc_id", "sketch"), _banded, "list long, doc_id long").distinct(), "bands")
+    members = written(bands.join(bands.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "list"), "members")
+    shapes = by_class.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("shape"))
+    joined = all_components(members, tied_classes(filled, by_class, alike), shapes, docs, WIDTH, percent, _hopeful(percent), _partners(percent))
+    discard(bands, members)
+    component = labelled(by_class.select(*alike, "doc_id"), joined).select(*alike, F.col("component").alias("component_id"))
+    linked_rows = filled.select("doc_id", *alike).join(component, alike).select("doc_id", "n_shingles", "component_id")
     # rows without a set or an id are components of their own and need no join, however many there are
     alone = facts.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_rows.unionByName(alone)

@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from fleetglass.llm import bpe, jaccard, merkle, search
+from fleetglass.llm import bpe, jaccard, merkle, overlaps, search
 from tests.llm import brute
 from tests.llm.test_operators import by_id, corpus
 
@@ -199,7 +199,7 @@ def near_copies(seed, bases=20, copies=12):
 @pytest.mark.parametrize("limits", [{}, {"BLOCK": 3, "SET_BLOCK": 200}])
 def test_jaccard_of_near_copies(spark, monkeypatch, limits):
     for name, value in limits.items():
-        monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(overlaps, name, value)
     rows = near_copies(4)
     assert by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id") == joined(rows)
 
@@ -219,7 +219,7 @@ def test_divide_skip_finds_all_partners():
         for _ in range(60):
             keep = base[rng.random(len(base)) > rng.random() * 0.3]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 1 + len(base) // 5), dtype=np.uint64)])))
-        index = jaccard.Index(sets)
+        index = overlaps.Index(sets)
         for found in sets:
             want = [k for k, x in enumerate(sets) if 100 * len(np.intersect1d(x, found)) >= 85 * len(np.union1d(x, found))] if len(found) else []
             assert index.partners(found, 85, np.ones(len(sets), dtype=bool)).tolist() == want
