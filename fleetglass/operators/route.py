@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_centre, flat_distance_m, geohash, haversine_m, neighbours, pinned
 from ..schema import OFF_PATH_M, OFF_PATH_S, TRAFFIC
 from ..sources.shared import written
+from . import hublabels
 from .fence import signal_columns, trusted
 
 
@@ -112,6 +113,12 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds:
     return _joined_legs(wanted, best)
 
 
+def label_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What ``shortest_paths`` gives, from labels of the pairs' nodes: a fixed number of steps, however long the ways are."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
+    return hublabels.paths(pairs, hublabels.hub_labels(nodes, edges, ends))
+
+
 def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """src, dst, cost, length_m and the path of each way."""
     legs = paths.where(F.size("path") > 1).select("src", "dst", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.size("path") - 1).alias("v"))).alias("at", "leg"))
@@ -177,7 +184,7 @@ def nearest_target(sources: DataFrame, targets: DataFrame, edges: DataFrame) ->
         open_ = open_.join(legs, ["grp", "_at"]).select("src", "grp", "dst", "cost", F.concat("path", "_leg").alias("path"))
 
 
-def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
+def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """request_id, eta_s, distance_m and coordinates (lon, lat) of the way from (lat, lon) to (to_lat, to_lon)."""
     ends = requests.select(F.concat(F.lit("a"), F.col("request_id").cast("string")).alias("point_id"), "lat", "lon").unionByName(
         requests.select(F.concat(F.lit("b"), F.col("request_id").cast("string")).alias("point_id"), F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"))
@@ -185,7 +192,7 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: Data
     snapped = nearest_nodes(ends, nodes)
     of = lambda side, name: snapped.where(F.col("point_id").startswith(side)).select(F.substring("point_id", 2, 40).alias("_id"), F.col("node_id").alias(name))
     pairs = written(of("a", "src").join(of("b", "dst"), "_id"), "pairs")
-    ways = path_lengths(shortest_paths(pairs, nodes, edges, speeds), edges)
+    ways = path_lengths(label_paths(pairs, nodes, edges), edges)
     steps = ways.select("src", "dst", F.posexplode("path").alias("_at", "node_id")).join(nodes.select("node_id", "lat", "lon"), "node_id")
     point = F.struct("_at", F.array(F.bround("lon", 6), F.bround("lat", 6)).alias("p"))
     lines = steps.groupBy("src", "dst").agg(F.transform(F.array_sort(F.collect_list(point)), lambda x: x["p"]).alias("coordinates"))
@@ -209,7 +216,7 @@ def destinations(starts: DataFrame, baselines: DataFrame) -> DataFrame:
     return joined.groupBy("vehicle_id", "trip", "lat", "lon").agg(best).select("vehicle_id", "trip", "lat", "lon", F.col("_d.cell").alias("cell"), F.col("_d._c.lat").alias("to_lat"), F.col("_d._c.lon").alias("to_lon"))
 
 
-def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
+def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """vehicle_id, trip and ``points`` (lat, lon of the nodes) of the way to each trip's expected destination."""
     trips = written(destinations(trip_starts(events).where("starts"), baselines), "trips")
     key = F.concat_ws("|", "vehicle_id", F.col("trip").cast("string"))
@@ -219,7 +226,7 @@ def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, ed
     for side, name in (("a", "src"), ("b", "dst")):
         keyed = keyed.join(snapped.where(F.col("point_id").startswith(side)).select(F.substring("point_id", 2, 60).alias("_k"), F.col("node_id").alias(name)), "_k")
     keyed = written(keyed, "trips")
-    ways = shortest_paths(keyed, nodes, edges, speeds)
+    ways = label_paths(keyed, nodes, edges)
     points = ways.select("src", "dst", F.explode("path").alias("node_id")).join(nodes.select("node_id", "lat", "lon"), "node_id").groupBy("src", "dst").agg(F.collect_list(F.struct("lat", "lon")).alias("points"))
     return keyed.join(points, ["src", "dst"]).select("vehicle_id", "trip", "points")
 

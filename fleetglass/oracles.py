@@ -183,7 +183,8 @@ def _labels(start: str) -> str:
 label AS (SELECT grp, node, min(cost) AS cost FROM round GROUP BY 1, 2)"""
 
 
-_put("route_shortest_paths", ("telemetry",), "SELECT vehicle_id, src, dst, round_even(cost, 3) AS cost FROM pair JOIN label ON grp = src AND node = dst", _ROADS, _ENDS, _labels("SELECT DISTINCT src, src, 0.0::DOUBLE FROM pair"), recursive=True)
+for _name in ("route_shortest_paths", "route_label_paths"):
+    _put(_name, ("telemetry",), "SELECT vehicle_id, src, dst, round_even(cost, 3) AS cost FROM pair JOIN label ON grp = src AND node = dst", _ROADS, _ENDS, _labels("SELECT DISTINCT src, src, 0.0::DOUBLE FROM pair"), recursive=True)
 _put("route_nearest_agent", ("telemetry", "loan", "agent"), "SELECT vehicle_id, round_even(cost, 3) AS cost FROM pair JOIN own USING (vehicle_id) JOIN label ON grp = lender_id AND node = dst", _ROADS, _ENDS, _OWN,
      "ranked AS (SELECT node_id, row_number() OVER (ORDER BY node_id) AS r, count(*) OVER () AS n FROM grid)", _labels("SELECT DISTINCT lender_id, node_id, 0.0::DOUBLE FROM agent JOIN ranked ON r = agent_id * 37 % n + 1"), recursive=True)
 _put("route_trips", ("telemetry",), """SELECT vehicle_id, seq, starts, sum(starts::INT) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq)::BIGINT AS trip FROM (SELECT *, ignition AND NOT coalesce(lag(ignition) OVER (PARTITION BY vehicle_id ORDER BY device_ts, seq), false) AS starts FROM noisy WHERE NOT suspect)""", _HASHED, _NOISE, recursive=True)

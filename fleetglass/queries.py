@@ -104,7 +104,7 @@ def _signals(spark: SparkSession, sf: str, convoys: bool = True) -> DataFrame:
     events = written(_trusted_events(spark, sf), "clean")
     base = jobs.baselines(events)
     windowed = anomaly.with_window(events)
-    off_route = route.deviations(events, route.expected_paths(events, base, *_graph(spark, sf)))
+    off_route = route.deviations(events, route.expected_paths(events, base, *_graph(spark, sf)[:2]))
     own = [fence.exits(events, _vehicle_fences(spark, sf), _fences(spark, sf)), anomaly.tows(windowed), anomaly.night_moves(events, base), anomaly.speed_spikes(windowed, base), off_route]
     out = anomaly.tampers(events)
     if convoys:
@@ -445,12 +445,19 @@ def route_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(ways, ["src", "dst"]).select("vehicle_id", "src", "dst", F.bround("cost", 3).alias("cost"))
 
 
+@query
+def route_label_paths(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, nodes, edges, _ = _vehicle_pairs(spark, sf)
+    ways = route.label_paths(pairs, nodes, edges)
+    return pairs.join(ways, ["src", "dst"]).select("vehicle_id", "src", "dst", F.bround("cost", 3).alias("cost"))
+
+
 @query
 def route_requests(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, speeds = _graph(spark, sf)
+    nodes, edges, _ = _graph(spark, sf)
     last = _events(spark, sf).groupBy("vehicle_id").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("p"))
     asked = last.select(F.col("vehicle_id").alias("request_id"), F.lit(CENTRE[0]).alias("lat"), F.lit(CENTRE[1]).alias("lon"), F.col("p.lat").alias("to_lat"), F.col("p.lon").alias("to_lon"))
-    return route.routes(asked, nodes, edges, speeds).select("request_id", "eta_s", F.size("coordinates").cast("long").alias("points"))
+    return route.routes(asked, nodes, edges).select("request_id", "eta_s", F.size("coordinates").cast("long").alias("points"))
 
 
 @query
@@ -469,9 +476,9 @@ def route_trips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def route_deviations(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges, speeds = _graph(spark, sf)
+    nodes, edges, _ = _graph(spark, sf)
     events = written(_trusted_events(spark, sf), "clean")
-    paths = route.expected_paths(events, jobs.baselines(events), nodes, edges, speeds)
+    paths = route.expected_paths(events, jobs.baselines(events), nodes, edges)
     return route.deviations(events, paths).select("vehicle_id", "code", "ts")
 
 
