@@ -5,7 +5,9 @@ shuffle, so a payload that many documents share may be stored more than once; fe
 before the join, and a reference meets one row. Position and caption stay on the reference all the way.
 
 Null texts count as empty; a payload has at least one block of 64 samples. References that no stored payload answers keep
-null features. Repeated rows stay repeated; rows with null ids stay. Empty tables give no rows; other columns play no part.
+null features. In broken HTML no text is lost: captions end with their figure or the body, elements that hide their content
+hide nothing without an end tag; only scripts and styles without one run to the end of the page, as browsers have it.
+Repeated rows stay repeated; rows with null ids stay. Empty tables give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,62 +29,150 @@ RATE = 8000
 BLOCK = 64
 ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_VOID = {"img", "source", "embed"}
-_SKIP = {"script", "style", "noscript", "template"}
+_MEDIA = {"img", "audio", "video", "source", "embed"}
+_SKIP = {"script", "style"}
+_HIDDEN = {"noscript", "template"}
+#: How many open hidden elements an end tag looks back over.
+_DEEPEST = 64
 _BREAK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "article", "section", "figure", "ul", "ol", "table", "nav", "body"}
 
 
-class _Reader(HTMLParser):
-    """Text runs and media references in the order of the page."""
+class _Pairs(HTMLParser):
+    """Which openings of hidden elements have an end, by number: an opening without one hides nothing."""
 
     def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, int]] = []
+        self.seen = 0
+        self.closed: set[int] = set()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _HIDDEN:
+            self.open.append((tag, self.seen))
+            self.seen += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in _HIDDEN and (own := [k for k, (t, _) in enumerate(self.open[-_DEEPEST:], max(0, len(self.open) - _DEEPEST)) if t == tag]):
+            self.closed.add(self.open[own[-1]][1])
+            del self.open[own[-1] :]
+
+
+class _Reader(HTMLParser):
+    """Text runs and media references in the order of the page.
+
+    A caption belongs to the media of its own figure, whichever comes first. One without a figure or whose figure shows
+    nothing is text, where it stood.
+    """
+
+    def __init__(self, closed: set[int]) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.caption: list[str] | None = None
-        self.skip = 0
+        self.figures: list[dict] = []
+        self.script = False
+        self.closed, self.seen, self.hidden = closed, 0, []
+
+    def add(self, kind: str, text: str | None, ref: str | None = None, alt: str | None = None) -> dict:
+        self.items.append({"position": 0, "kind": kind, "text": text, "ref": ref, "caption": alt})
+        return self.items[-1]
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.add("text", text)
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        self.caption = None
+        if text:
+            self.figures[-1]["captions"].append(self.add("text", text))
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        figure = self.figures.pop()
+        if figure["media"] and figure["captions"]:
+            text = " ".join(x["text"] for x in figure["captions"])
+            for x in figure["media"]:
+                x["caption"] = text
+            for x in figure["captions"]:
+                x["kind"] = "caption"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = dict(attrs)
         if tag in _SKIP:
-            self.skip += 1
+            self.script = True
+        elif tag in _HIDDEN:
+            if self.seen in self.closed:
+                self.hidden.append(tag)
+            self.seen += 1
+        elif self.hidden:
+            return
+        elif tag == "figure":
+            self.end_caption()
+            self.flush()
+            self.figures.append({"media": [], "captions": []})
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = []
-        elif tag in {"img", "audio", "video", "source", "embed"} and given.get("src"):
+            self.caption = [] if self.figures else None
+        elif tag in _MEDIA and given.get("src"):
             self.flush()
-            self.items.append({"position": len(self.items), "kind": "media", "text": None, "ref": given["src"], "caption": given.get("alt") or None})
+            item = self.add("media", None, given["src"], given.get("alt") or None)
+            if self.figures:
+                self.figures[-1]["media"].append(item)
         elif tag in _BREAK:
-            self.flush()
+            self.breaks()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            if text and self.items and self.items[-1]["kind"] == "media":
-                self.items[-1]["caption"] = text
-            self.caption = None
+            self.script = False
+        elif tag in _HIDDEN:
+            if tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+        elif self.hidden:
+            return
+        elif tag == "figcaption":
+            self.flush()
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.flush()
+            self.end_figure()
+        elif tag == "body":
+            self.end()
         elif tag in _BREAK:
+            self.breaks()
+
+    def breaks(self) -> None:
+        if self.caption is None:
             self.flush()
+        else:
+            self.caption.append(" ")
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.script and not self.hidden:
             (self.run if self.caption is None else self.caption).append(data)
 
+    def end(self) -> None:
+        self.flush()
+        while self.figures:
+            self.end_figure()
+
 
 def _items(html: str | None) -> list[dict]:
-    reader = _Reader()
+    pairs = _Pairs()
+    pairs.feed(html or "")
+    pairs.close()
+    reader = _Reader(pairs.closed)
     reader.feed(html or "")
     reader.close()
-    reader.flush()
-    return reader.items
+    reader.end()
+    shown = [x for x in reader.items if x["kind"] != "caption"]
+    return [x | {"position": at} for at, x in enumerate(shown)]
 
 
 def interleaved(pages: DataFrame, *keys: str) -> DataFrame:

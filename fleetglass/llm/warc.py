@@ -7,7 +7,7 @@ On reading, tasks cut the files at every magic string, also at those inside payl
 names its successor's offset by its Content-Length. Pointer jumping from the start of each file keeps the candidates that
 the chain reaches; the other pieces are parts of the payload before them and are put back there.
 
-Rows without page_id are records without an id: they take no part in the choice of the response, and never revisit. Rows
+Rows without page_id are records with an id of no page: they take no part in the choice of the response, and never revisit. Rows
 that repeat the page_id and payload of a response are responses too. An empty table writes no record and gives no rows.
 Other columns play no part.
 """
@@ -15,6 +15,7 @@ Other columns play no part.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: The alphabet of base 32 (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: What a revisit of an equal payload names in WARC 1.1 (fixed value).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 2000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FACTS = "record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string"
@@ -47,19 +50,34 @@ def base32_sha1(payload: Column) -> Column:
     return F.transform(F.array(F.sha1(payload)), letters)[0]
 
 
+def _revisits(pages: DataFrame) -> DataFrame:
+    """page_id and digest of the pages that revisit, and the page with their payload that is kept; html itself is not shuffled."""
+    facts = pages.where("page_id IS NOT NULL").select("page_id", _digest().alias("digest")).distinct()
+    shared = facts.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("_n")).where("_n > 1")
+    return facts.join(shared, "digest").where("page_id < last").select("page_id", "digest", "last")
+
+
+def _digest() -> Column:
+    return base32_sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+
+
 def archive_records(pages: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to and the whole ``record`` of each page, without its end."""
-    body = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", body.alias("html"), base32_sha1(body.cast("binary")).alias("digest"))
-    last = keyed.groupBy("digest").agg(F.max("page_id").alias("last"))
-    joined = keyed.join(last, "digest")
-    revisit = F.coalesce(F.col("page_id") < F.col("last"), F.lit(False))
+    """page_id and the whole ``record`` of each page, without its end.
+
+    Pages meet what is known of their payload by their id, so copies of one payload spread over all tasks.
+    """
+    known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _digest().alias("digest"))
+    named = known.where("page_id IS NOT NULL").join(_revisits(pages), ["page_id", "digest"], "left")
+    joined = named.unionByName(known.where("page_id IS NULL").withColumn("last", F.lit(None).cast("long")))
+    revisit = F.col("last").isNotNull()
     block = F.concat(F.lit(_HTTP), F.when(~revisit, F.col("html")).otherwise(""))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    anonymous = F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
+    now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = F.concat(
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page_id"))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")), line("WARC-Refers-To", F.when(revisit, urn(F.col("last")))),
+        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), anonymous)), line("WARC-Date", F.lit(now)),
+        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")), line("WARC-Refers-To", F.when(revisit, urn(F.col("last")))), line("WARC-Profile", F.when(revisit, PROFILE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
