@@ -216,19 +216,33 @@ def destinations(starts: DataFrame, baselines: DataFrame) -> DataFrame:
     return joined.groupBy("vehicle_id", "trip", "lat", "lon").agg(best).select("vehicle_id", "trip", "lat", "lon", F.col("_d.cell").alias("cell"), F.col("_d._c.lat").alias("to_lat"), F.col("_d._c.lon").alias("to_lon"))
 
 
-def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """vehicle_id, trip and ``points`` (lat, lon of the nodes) of the way to each trip's expected destination."""
-    trips = written(destinations(trip_starts(events).where("starts"), baselines), "trips")
+def _trip_ends(starts: DataFrame, baselines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """vehicle_id, trip, and the nodes at which the way to the expected destination begins and ends (src, dst)."""
+    trips = written(destinations(starts, baselines), "trips")
     key = F.concat_ws("|", "vehicle_id", F.col("trip").cast("string"))
     ends = trips.select(F.concat(F.lit("a"), key).alias("point_id"), "lat", "lon").unionByName(trips.select(F.concat(F.lit("b"), key).alias("point_id"), F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")))
     snapped = nearest_nodes(ends, nodes)
     keyed = trips.select("vehicle_id", "trip", key.alias("_k"))
     for side, name in (("a", "src"), ("b", "dst")):
         keyed = keyed.join(snapped.where(F.col("point_id").startswith(side)).select(F.substring("point_id", 2, 60).alias("_k"), F.col("node_id").alias(name)), "_k")
-    keyed = written(keyed, "trips")
-    ways = label_paths(keyed, nodes, edges)
+    return written(keyed.drop("_k"), "trips")
+
+
+def _with_points(ends: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     points = ways.select("src", "dst", F.explode("path").alias("node_id")).join(nodes.select("node_id", "lat", "lon"), "node_id").groupBy("src", "dst").agg(F.collect_list(F.struct("lat", "lon")).alias("points"))
-    return keyed.join(points, ["src", "dst"]).select("vehicle_id", "trip", "points")
+    return ends.join(points, ["src", "dst"]).select("vehicle_id", "trip", "points")
+
+
+def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """vehicle_id, trip and ``points`` (lat, lon of the nodes) of the way to each trip's expected destination."""
+    ends = _trip_ends(trip_starts(events).where("starts"), baselines, nodes)
+    return _with_points(ends, label_paths(ends, nodes, edges), nodes)
+
+
+def trip_paths(starts: DataFrame, baselines: DataFrame, nodes: DataFrame, labels: hublabels.HubLabels) -> DataFrame:
+    """``expected_paths`` for trip starts (vehicle_id, trip, lat, lon), from labels that stand already."""
+    ends = _trip_ends(starts, baselines, nodes)
+    return _with_points(ends, hublabels.paths(ends, labels), nodes)
 
 
 def deviations(events: DataFrame, paths: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import geo, privacy
-from .operators import anomaly, clean, convoy, fence, normalise, risk, route
+from .operators import anomaly, clean, convoy, fence, hublabels, normalise, risk, route
 from .operators.numbering import numbered
 from .plans import jobs, monitor, partners, serve
 from .schema import EVENT, SIGNAL, SLOW_CONVOY
 from .sources import raw as sources
 from .sources.shared import shared_path, written
-from .streaming import convoys, detectors, pipelines
+from .streaming import convoys, detectors, deviations, pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -415,6 +415,21 @@ def stream_convoys(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("vehicle_id", "code", "ts", F.col("detail")["size"].cast("long").alias("size"))
 
 
+@query
+def stream_deviations(spark: SparkSession, sf: str) -> DataFrame:
+    """Route deviations by two streams in three batches: one has the trips' paths answered, one follows the vehicles on them."""
+    answered, out = shared_path(spark, "answers"), shared_path(spark, "deviations")
+    nodes, edges, _ = _graph(spark, sf)
+    events = written(_trusted_events(spark, sf).select(*[x.split(" ")[0] for x in EVENT.split(", ")]), "clean")
+    nodes, base = written(nodes, "nodes"), written(jobs.baselines(events), "base")
+    stream = _by_time(spark, events, shared_path(spark, "stream"))
+    sink = deviations.path_sink(spark, answered, base, nodes, hublabels.hub_labels(nodes, edges))
+    pipelines.run_to_end(deviations.trip_requests(stream), sink, shared_path(spark, "offsets"))
+    found = deviations.deviations(stream, deviations.answers(spark, answered, maxFilesPerTrigger=1))
+    pipelines.run_to_end(found, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), shared_path(spark, "offsets"))
+    return spark.read.schema(SIGNAL + ", batch long").parquet(out).select("vehicle_id", "code", "ts")
+
+
 @query
 def convoy_live_signals(spark: SparkSession, sf: str) -> DataFrame:
     return convoy.live_signals(_events(spark, sf)).select("vehicle_id", "code", "ts", F.col("detail")["size"].cast("long").alias("size"))

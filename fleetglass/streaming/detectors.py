@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import anomaly, fence, risk
 from ..operators.folds import _top_level, arrow_schema
 from ..schema import EVENT, EXIT_AFTER, SIGNAL, SUSPECT, WINDOW_S
+from .deviations import deviations
 from .pipelines import _Fold, tampers
 
 WINDOWED = EVENT + ", session long, recent array<struct<ts:double,seq:long,lat:double,lon:double,speed:double,on:boolean,suspect:boolean>>"
@@ -106,13 +107,16 @@ def exits(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame) -> Da
     return slim.groupBy("vehicle_id", "geofence_id").transformWithStateInPandas(ExitWatch(), SIGNAL, "append", "None")
 
 
-def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, baselines: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Signals of the five codes that a vehicle's own events give, with the time at which they fire.
+def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, baselines: DataFrame, delay: str = "10 minutes", answered: DataFrame | None = None) -> DataFrame:
+    """Signals of the codes that a vehicle's own events give, with the time at which they fire.
+
+    Route deviations are among them if the stream of answers to the trips' requests is given.
 
     The window is kept once for towing and once for speed, as a stream's states can't be shared between branches. Tampering
     alone looks at the fleet's clock, a watermark of event time with the given delay.
     """
     found = [exits(events, vehicle_fences, fences), anomaly.tows(windowed(events)), anomaly.speed_spikes(windowed(events), baselines), anomaly.night_moves(events, baselines)]
+    found += [] if answered is None else [deviations(events, answered)]
     out = tampers(events, delay)
     for part in found:
         out = out.unionByName(part.withColumn("fired_ts", F.col("ts")))
