@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import EARTH_M
 from ..schema import (
     DROP_V, LOCAL_OFFSET_S, LOW_V, MOVING_KMH, NIGHT_FROM, NIGHT_TO, SIGNAL, SILENCE_S, SPIKE_POINTS, SPIKE_STD, SUSPECT, TOW_FULL_M, TOW_M, TOW_POINTS, WINDOW_S,
 )
@@ -31,23 +31,131 @@ def with_window(events: DataFrame, seconds: int = WINDOW_S) -> DataFrame:
     return collected.withColumn("recent", ordered).drop("_all")
 
 
-def _median3(points: Column, name: str) -> Column:
-    return F.get(F.array_sort(F.transform(points, lambda p: p[name])), 1)
+def _window_starts(ts: np.ndarray, first: int, fell: np.ndarray) -> np.ndarray:
+    """Where the window of each row from ``first`` on begins: in its session (``fell`` begins one), at most ``WINDOW_S`` back."""
+    place = np.arange(first, len(ts))
+    begun = np.maximum.accumulate(np.where(fell, place, 0))
+    return np.minimum(np.maximum(begun, np.searchsorted(np.maximum.accumulate(ts), ts[first:] - WINDOW_S)), place)
 
 
-def tows(windowed: DataFrame) -> DataFrame:
+def _metres(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    s, t = np.sin((p2 - p1) / 2), np.sin(np.radians(lon2 - lon1) / 2)
+    return 2 * EARTH_M * np.arcsin(np.sqrt(s * s + np.cos(p1) * np.cos(p2) * t * t))
+
+
+#: What a row must tell about itself, in the order in which ``Movement`` keeps it.
+MOVED = "device_ts double, lat double, lon double, speed_kmh double, on boolean, suspect boolean"
+MOVED_NAMES = [x.split(" ")[0] for x in MOVED.split(", ")]
+FACTS = "vehicle_id string, device_ts double, seq long, lat double, lon double, moved_m double, avg_kmh double"
+
+
+class Movement:
+    """How far a vehicle was carried and how fast it drove in its last minutes, for columns of rows in order.
+
+    Windows are pairs of positions in the columns, found by binary search, and what is asked of them is looked up by position:
+    no row holds its window. Between calls only the rows of the last minutes stay.
+    """
+
+    def __init__(self, kept: list[np.ndarray] | None = None, seq: int | None = None) -> None:
+        self.kept = kept or [np.zeros(0)] * 4 + [np.zeros(0, dtype=bool)] * 2
+        self.seq = seq
+
+    def take(self, seq: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (``MOVED``) with something to tell: their positions, metres carried and mean speed, NaN where there is none."""
+        first, n = len(self.kept[0]), len(seq)
+        ts, lat, lon, speed, on, suspect = now = [np.concatenate(x) for x in zip(self.kept, rows, strict=True)]
+        lo = _window_starts(ts, first, seq < np.concatenate([[seq[0] if self.seq is None else self.seq], seq[:-1]]))
+        carried, mean = np.full(n, np.nan), np.full(n, np.nan)
+        self._carried(carried, lo, first, lat, lon, on, suspect)
+        self._driven(mean, lo, first, speed, suspect)
+        self.kept, self.seq = [c[lo[-1] :] for c in now], int(seq[-1])
+        at = np.flatnonzero(~np.isnan(carried) | ~np.isnan(mean))
+        return at, carried[at], mean[at]
+
+    @staticmethod
+    def _carried(out: np.ndarray, lo: np.ndarray, first: int, lat: np.ndarray, lon: np.ndarray, on: np.ndarray, suspect: np.ndarray) -> None:
+        """Metres from where the run of trusted points since the ignition went off began, if plausible and lasting."""
+        place, trusted_at = np.arange(first, len(on)), np.flatnonzero(~suspect)
+        lit = np.maximum.accumulate(np.where(on, np.arange(len(on)), -1))[first:]
+        a, b = np.searchsorted(trusted_at, np.maximum(lo, lit + 1)), np.searchsorted(trusted_at, place, "right")
+        rows = np.flatnonzero(~on[first:] & ~suspect[first:] & (b - a >= 2 * TOW_POINTS))
+        if not len(rows):
+            return
+        three = np.arange(TOW_POINTS)
+        oldest, newest = trusted_at[a[rows, None] + three], trusted_at[b[rows, None] - TOW_POINTS + three]
+        from_lat, from_lon = np.median(lat[oldest], axis=1), np.median(lon[oldest], axis=1)
+        moved = _metres(from_lat, from_lon, lat[first + rows], lon[first + rows])
+        away = (_metres(from_lat[:, None], from_lon[:, None], lat[newest], lon[newest]) > TOW_M / 2).all(axis=1)
+        steps = (_metres(lat[newest[:, :-1]], lon[newest[:, :-1]], lat[newest[:, 1:]], lon[newest[:, 1:]]) <= TOW_M).all(axis=1)
+        sure = (moved > TOW_M) & away & steps
+        out[rows[sure]] = moved[sure]
+
+    @staticmethod
+    def _driven(out: np.ndarray, lo: np.ndarray, first: int, speed: np.ndarray, suspect: np.ndarray) -> None:
+        """The mean speed of the window's moving points, if there are enough. Sums are the windows' own, so that equal speeds have exactly their mean."""
+        moving = np.flatnonzero((speed >= MOVING_KMH) & ~suspect)
+        a, b = np.searchsorted(moving, lo), np.searchsorted(moving, np.arange(first, len(speed)), "right")
+        rows = np.flatnonzero(b - a >= SPIKE_POINTS)
+        if len(rows):
+            ends = np.column_stack([a[rows], b[rows]]).ravel()
+            out[rows] = np.add.reduceat(np.append(speed[moving], 0.0), ends)[::2] / (b - a)[rows]
+
+
+def movement_rows(events: DataFrame) -> DataFrame:
+    on, suspect = F.coalesce("ignition", F.lit(False)).alias("on"), F.array_contains("flags", SUSPECT).alias("suspect")
+    return events.select("vehicle_id", "seq", "device_ts", "lat", "lon", "speed_kmh", on, suspect)
+
+
+class _Movements:
+    """``Movement`` vehicle by vehicle over a task's sorted rows."""
+
+    def __init__(self) -> None:
+        self.vehicle, self.state = None, Movement()
+
+    def take(self, table: pa.Table) -> pa.Table:
+        names, starts = key_codes(table)
+        seq, *rows = (table[c].to_numpy() for c in ("seq", *MOVED_NAMES))
+        found = []
+        for vehicle, a, b in zip(names, starts.tolist(), starts[1:].tolist(), strict=False):
+            if vehicle != self.vehicle:
+                self.vehicle, self.state = vehicle, Movement()
+            at, moved, mean = self.state.take(seq[a:b], *(c[a:b] for c in rows))
+            found.append((at + a, moved, mean))
+        at, moved, mean = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0)] * 3
+        out = table.take(pa.array(at.astype(np.int64)))
+        return out.append_column("moved_m", pa.array(moved, from_pandas=True)).append_column("avg_kmh", pa.array(mean, from_pandas=True))
+
+    def end(self) -> None:
+        return None
+
+
+def movement(events: DataFrame) -> DataFrame:
+    """``FACTS`` of the events that a tow or a speed spike could be seen at, from the vehicle's last minutes in its session.
+
+    ``moved_m`` is null unless the vehicle was carried off with its ignition off, ``avg_kmh`` unless enough points moved. One
+    fold in bounded memory serves both; rows with equal time and seq see those before them.
+    """
+    return fold_tables(movement_rows(events), ["vehicle_id"], ["device_ts", "seq"], _Movements, FACTS)
+
+
+def _tow() -> list[Column]:
+    return signal_columns(F.lit("TOW_SUSPECTED"), F.least(F.lit(1.0), F.col("moved_m") / TOW_FULL_M), F.create_map(F.lit("moved_m"), F.bround("moved_m").cast("long").cast("string")))
+
+
+def _spike() -> list[Column]:
+    detail = F.create_map(F.lit("avg_kmh"), F.bround("avg_kmh").cast("long").cast("string"), F.lit("limit_kmh"), F.bround("_limit").cast("long").cast("string"))
+    return signal_columns(F.lit("SPEED_SPIKE"), F.lit(1.0), detail)
+
+
+def _with_limit(facts: DataFrame, baselines: DataFrame) -> DataFrame:
+    limit = (F.col("avg_speed") + SPIKE_STD * F.col("std_speed")).alias("_limit")
+    return facts.join(baselines.select("vehicle_id", limit), "vehicle_id", "left")
+
+
+def tows(facts: DataFrame) -> DataFrame:
     """TOW_SUSPECTED: ignition off, yet displaced from where the run of points began, plausibly and lastingly."""
-    last_on = F.coalesce(F.array_max(F.transform("recent", lambda p, i: F.when(p["on"], i))), F.lit(-1))
-    n = 2 * TOW_POINTS
-    run = F.filter(F.transform("recent", lambda p, i: F.when(i > F.col("_last_on"), p)), lambda p: p.isNotNull() & ~p["suspect"])
-    off = windowed.where(~F.col("ignition") & ~F.array_contains("flags", SUSPECT)).withColumn("_last_on", last_on).withColumn("_run", run).where(F.size("_run") >= n)
-    oldest = F.slice("_run", 1, TOW_POINTS)
-    off = off.withColumn("_lat", _median3(oldest, "lat")).withColumn("_lon", _median3(oldest, "lon")).withColumn("_new", F.slice("_run", -TOW_POINTS, TOW_POINTS))
-    off = off.withColumn("_moved", haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("_moved") > TOW_M)
-    away = F.forall("_new", lambda p: haversine_m(F.col("_lat"), F.col("_lon"), p["lat"], p["lon"]) > TOW_M / 2)
-    steps = F.zip_with(F.slice("_new", 1, TOW_POINTS - 1), F.slice("_new", 2, TOW_POINTS - 1), lambda a, b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) <= TOW_M)
-    off = off.where(away & F.forall(steps, lambda s: s))
-    return off.select(*signal_columns(F.lit("TOW_SUSPECTED"), F.least(F.lit(1.0), F.col("_moved") / TOW_FULL_M), F.create_map(F.lit("moved_m"), F.bround("_moved").cast("long").cast("string"))))
+    return facts.where("moved_m IS NOT NULL").select(*_tow())
 
 
 def night_moves(events: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -59,15 +167,15 @@ def night_moves(events: DataFrame, baselines: DataFrame) -> DataFrame:
     return joined.where(~usual).select(*signal_columns(F.lit("NIGHT_MOVEMENT"), F.lit(1.0), F.create_map(F.lit("local_hour"), F.floor("_hour").cast("string"))))
 
 
-def speed_spikes(windowed: DataFrame, baselines: DataFrame) -> DataFrame:
+def speed_spikes(facts: DataFrame, baselines: DataFrame) -> DataFrame:
     """SPEED_SPIKE: the window's mean moving speed is above the vehicle's mean by three deviations."""
-    moving = F.transform(F.filter("recent", lambda p: (p["speed"] >= MOVING_KMH) & ~p["suspect"]), lambda p: p["speed"])
-    joined = windowed.join(baselines.where("avg_speed IS NOT NULL AND std_speed IS NOT NULL").select("vehicle_id", "avg_speed", "std_speed"), "vehicle_id")
-    joined = joined.withColumn("_speeds", moving).where(F.size("_speeds") >= SPIKE_POINTS)
-    mean = F.aggregate("_speeds", F.lit(0.0), lambda a, b: a + b) / F.size("_speeds")
-    joined = joined.withColumn("_mean", mean).withColumn("_limit", F.col("avg_speed") + SPIKE_STD * F.col("std_speed")).where("_mean > _limit")
-    detail = F.create_map(F.lit("avg_kmh"), F.bround("_mean").cast("long").cast("string"), F.lit("limit_kmh"), F.bround("_limit").cast("long").cast("string"))
-    return joined.select(*signal_columns(F.lit("SPEED_SPIKE"), F.lit(1.0), detail))
+    return _with_limit(facts.where("avg_kmh IS NOT NULL"), baselines).where("avg_kmh > _limit").select(*_spike())
+
+
+def tows_and_spikes(facts: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Both kinds of signals in one pass over the facts, as a stream's state can't be shared between branches."""
+    both = F.array(F.when(F.col("moved_m").isNotNull(), F.struct(*_tow())), F.when(F.col("avg_kmh") > F.col("_limit"), F.struct(*_spike())))
+    return _with_limit(facts, baselines).select(F.inline(F.array_compact(both)))
 
 
 def _peaks(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -111,8 +219,7 @@ class Silence:
         before = np.concatenate([self.ts[-1:] if kept else ts[:1], ts[:-1]])
         fell = seq < np.concatenate([[seq[0] if self.seq is None else self.seq], seq[:-1]])
         every, all_volts = np.concatenate([self.ts, ts]), np.concatenate([self.volts, volts])
-        begun = np.maximum.accumulate(np.where(fell, np.arange(n) + kept, 0))
-        lo = np.minimum(np.maximum(begun, np.searchsorted(np.maximum.accumulate(every), ts - WINDOW_S)), np.arange(n) + kept)
+        lo = _window_starts(every, kept, fell)
         odd = suspect | (volts < LOW_V) | (_peaks(all_volts, lo, np.arange(n) + kept + 1) - volts >= DROP_V)
         out, cuts = [], np.flatnonzero(fell | (ts - before >= SILENCE_S))
         for a, z in zip(np.unique([0, *cuts]).tolist(), [*np.unique([0, *cuts]).tolist()[1:], n], strict=True):

@@ -103,9 +103,9 @@ def _signals(spark: SparkSession, sf: str, convoys: bool = True) -> DataFrame:
     """The signals of all seven codes, with the time at which they fire; a replay of the vehicles' own events has no convoys."""
     events = written(_trusted_events(spark, sf), "clean")
     base = jobs.baselines(events)
-    windowed = anomaly.with_window(events)
+    moved = anomaly.tows_and_spikes(anomaly.movement(events), base)
     off_route = route.deviations(events, route.expected_paths(events, base, *_graph(spark, sf)[:2]))
-    own = [fence.exits(events, _vehicle_fences(spark, sf), _fences(spark, sf)), anomaly.tows(windowed), anomaly.night_moves(events, base), anomaly.speed_spikes(windowed, base), off_route]
+    own = [fence.exits(events, _vehicle_fences(spark, sf), _fences(spark, sf)), moved, anomaly.night_moves(events, base), off_route]
     out = anomaly.tampers(events)
     if convoys:
         out = out.unionByName(convoy.live_signals(events))
@@ -360,7 +360,7 @@ def anomaly_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def anomaly_tows(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.tows(anomaly.with_window(_trusted_events(spark, sf))).select("vehicle_id", "code", "ts", F.bround("strength", 3).alias("strength"))
+    return anomaly.tows(anomaly.movement(_trusted_events(spark, sf))).select("vehicle_id", "code", "ts", F.bround("strength", 3).alias("strength"))
 
 
 @query
@@ -372,7 +372,7 @@ def anomaly_night(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def anomaly_speed(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf)
-    return anomaly.speed_spikes(anomaly.with_window(events), jobs.baselines(events)).select("vehicle_id", "code", "ts")
+    return anomaly.speed_spikes(anomaly.movement(events), jobs.baselines(events)).select("vehicle_id", "code", "ts")
 
 
 @query

@@ -19,43 +19,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import anomaly, fence, risk
-from ..operators.folds import _top_level, arrow_schema
-from ..schema import EVENT, EXIT_AFTER, SIGNAL, SUSPECT, WINDOW_S
+from ..operators.folds import arrow_schema
+from ..schema import EXIT_AFTER, SIGNAL
 from .deviations import deviations
 from .pipelines import _Fold, tampers
 
-WINDOWED = EVENT + ", session long, recent array<struct<ts:double,seq:long,lat:double,lon:double,speed:double,on:boolean,suspect:boolean>>"
+_FACTS = [x.split(" ")[0] for x in anomaly.FACTS.split(", ")]
 
 
-_WINDOWED = [x.strip().split(" ")[0] for x in _top_level(WINDOWED)]
-
-
-class Recent(StatefulProcessor):
-    """Gives every event with the points of its session that are at most ``seconds`` older, in order.
-
-    Only the points that a later event may still need stay as state; a batch's windows are slices found by binary search.
-    """
-
-    def __init__(self, seconds: int = WINDOW_S) -> None:
-        self.seconds = seconds
+class MovementWatch(StatefulProcessor):
+    """A vehicle's ``anomaly.movement``: the rows of its last minutes are the state, as typed columns."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "value binary")
+        self.recent, self.seq = handle.getListState("recent", anomaly.MOVED), handle.getValueState("seq", "seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
         frame = pd.concat(list(rows)).sort_values(["device_ts", "seq"], ignore_index=True)
-        old, session, seq = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else ([], 0, frame["seq"][0])
-        fell = frame["seq"].to_numpy() < np.concatenate([[seq], frame["seq"].to_numpy()[:-1]])
-        mark = frame["flags"].map(lambda flags: SUSPECT in flags)
-        fields = zip(frame["device_ts"], frame["seq"], frame["lat"], frame["lon"], frame["speed_kmh"], frame["ignition"], mark, strict=True)
-        points = old + [dict(zip(("ts", "seq", "lat", "lon", "speed", "on", "suspect"), f, strict=True)) for f in fields]
-        place = np.arange(len(old), len(points))
-        times = np.maximum.accumulate([p["ts"] for p in points])
-        lo = np.maximum(np.searchsorted(times, frame["device_ts"].to_numpy() - self.seconds), np.maximum.accumulate(np.where(fell, place, 0)))
-        frame["session"] = session + np.cumsum(fell)
-        frame["recent"] = [points[a : b + 1] for a, b in zip(np.minimum(lo, place).tolist(), place.tolist(), strict=True)]
-        self.state.update((pickle.dumps((frame["recent"].iloc[-1], int(frame["session"].iloc[-1]), int(frame["seq"].iloc[-1]))),))
-        yield frame[_WINDOWED]
+        kept = list(zip(*self.recent.get(), strict=True)) if self.seq.exists() else None
+        columns = kept and [np.array(c, dtype=bool if name in ("on", "suspect") else float) for name, c in zip(anomaly.MOVED_NAMES, kept, strict=True)]
+        state = anomaly.Movement(columns, self.seq.get()[0] if self.seq.exists() else None)
+        at, moved, mean = state.take(*(frame[c].to_numpy() for c in ("seq", *anomaly.MOVED_NAMES)))
+        self.recent.put(list(zip(*(c.tolist() for c in state.kept), strict=True)))
+        self.seq.update((state.seq,))
+        if len(at):
+            yield frame.iloc[at].assign(moved_m=moved, avg_kmh=mean)[_FACTS]
 
     def close(self) -> None:
         pass
@@ -95,9 +82,9 @@ class RiskWatch(StatefulProcessor):
         pass
 
 
-def windowed(events: DataFrame) -> DataFrame:
-    """The stream's form of ``anomaly.with_window``."""
-    return events.groupBy("vehicle_id").transformWithStateInPandas(Recent(), WINDOWED, "append", "None")
+def movement(events: DataFrame) -> DataFrame:
+    """The stream's form of ``anomaly.movement``."""
+    return anomaly.movement_rows(events).groupBy("vehicle_id").transformWithStateInPandas(MovementWatch(), anomaly.FACTS, "append", "None")
 
 
 def exits(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame) -> DataFrame:
@@ -112,10 +99,10 @@ def signals(events: DataFrame, vehicle_fences: DataFrame, fences: DataFrame, bas
 
     Route deviations are among them if the stream of answers to the trips' requests is given.
 
-    The window is kept once for towing and once for speed, as a stream's states can't be shared between branches. Tampering
-    alone looks at the fleet's clock, a watermark of event time with the given delay.
+    One state serves towing and speed. Tampering alone looks at the fleet's clock, a watermark of event time with the given
+    delay.
     """
-    found = [exits(events, vehicle_fences, fences), anomaly.tows(windowed(events)), anomaly.speed_spikes(windowed(events), baselines), anomaly.night_moves(events, baselines)]
+    found = [exits(events, vehicle_fences, fences), anomaly.tows_and_spikes(movement(events), baselines), anomaly.night_moves(events, baselines)]
     found += [] if answered is None else [deviations(events, answered)]
     out = tampers(events, delay)
     for part in found:

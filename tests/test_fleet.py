@@ -268,11 +268,11 @@ def test_fence_index_equals_exact_test_and_exits(spark):
 def test_tow(spark):
     parked = [event(i, ignition=False) for i in range(10)]
     towed = [event(10 + i, ignition=False, lat=LAT + 0.002 * (i + 1), speed_kmh=30.0) for i in range(8)]
-    out = anomaly.tows(anomaly.with_window(frame(spark, parked + towed))).orderBy("ts").collect()
+    out = anomaly.tows(anomaly.movement(frame(spark, parked + towed))).orderBy("ts").collect()
     assert out[0]["ts"] == NOON + 20 * 13
     assert out[-1]["strength"] == 1.0
     driven = [r | {"ignition": True} for r in towed]
-    assert anomaly.tows(anomaly.with_window(frame(spark, parked + driven))).count() == 0
+    assert anomaly.tows(anomaly.movement(frame(spark, parked + driven))).count() == 0
 
 
 def test_night_and_baseline(spark):

@@ -86,7 +86,7 @@ def test_detector_streams_equal_batch(spark, tmp_path):
     stream = in_three_batches(spark, events, ["device_ts", "seq"], str(tmp_path / "in"))
     got = []
     pipelines.run_to_end(detectors.signals(stream, owned, fences, base, "0 seconds"), lambda batch, _: got.extend(batch.drop("fired_ts").collect()), str(tmp_path / "c"), settle=True)
-    seen = anomaly.with_window(events)
+    seen = anomaly.movement(events)
     parts = [fence.exits(events, owned, fences), anomaly.tows(seen), anomaly.speed_spikes(seen, base), anomaly.night_moves(events, base), anomaly.tampers(events).drop("fired_ts").withColumn("detail", F.create_map(F.lit("silent_s"), F.lit("900")))]
     want = [r for part in parts for r in part.collect()]
     key = lambda r: (r["vehicle_id"], r["code"], r["ts"], r["lat"], r["strength"], sorted(r["detail"].items()))
@@ -234,3 +234,48 @@ def test_silences_in_pieces_of_any_size():
             at += len(part)
         got += state.until(clock)
         assert [(t, silent) for t, _, _, silent, _ in got] == odd_moments(rows, clock)
+
+
+def carried_and_driven(rows):
+    """The rules read off each row's own window: (metres carried or None, mean speed or None)."""
+    out, session, sessions = [], 0, []
+    for i, r in enumerate(rows):
+        session += i > 0 and r["seq"] < rows[i - 1]["seq"]
+        sessions.append(session)
+        window = [x for k, x in enumerate(rows[: i + 1]) if sessions[k] == session and x["ts"] >= r["ts"] - 600]
+        speeds = [x["speed"] for x in window if x["speed"] >= 5 and not x["suspect"]]
+        run = []
+        for x in window:
+            run = [] if x["on"] else run + ([] if x["suspect"] else [x])
+        moved = None
+        if not r["on"] and not r["suspect"] and len(run) >= 6:
+            lat, lon = (sorted(x[c] for x in run[:3])[1] for c in ("lat", "lon"))
+            metres = lambda a, b: float(anomaly._metres(*(np.float64(v) for v in (*a, *b))))
+            new = [(x["lat"], x["lon"]) for x in run[-3:]]
+            far = metres((lat, lon), (r["lat"], r["lon"]))
+            if far > 500 and all(metres((lat, lon), p) > 250 for p in new) and all(metres(a, b) <= 500 for a, b in zip(new, new[1:], strict=False)):
+                moved = far
+        out.append((moved, sum(speeds) / len(speeds) if len(speeds) >= 5 else None))
+    return out
+
+
+def test_movement_in_pieces_of_any_size():
+    rng, told = random.Random(12), 0
+    for _ in range(300):
+        ts, seq, lat, on, rows = 0.0, 0, 12.9, False, []
+        for _ in range(rng.randint(1, 60)):
+            ts += rng.choice([0, 5, 20, 60, 60, 300])
+            seq = seq + 1 if rng.random() < 0.95 else 0
+            on = rng.random() < 0.3 if rng.random() < 0.1 else on
+            lat += rng.choice([0, 0, 0.002, 0.002, 0.01])
+            rows.append({"ts": ts, "seq": seq, "lat": lat, "lon": 77.5, "speed": rng.choice([0.0, 4.9, 5.0, 30.1, 30.1]), "on": on, "suspect": rng.random() < 0.1})
+        state, got, at = anomaly.Movement(), [], 0
+        while at < len(rows):
+            part = rows[at : at + rng.randint(1, 20)]
+            found = {i: (m, v) for i, m, v in zip(*state.take(*(np.array([r[k] for r in part]) for k in ("seq", "ts", "lat", "lon", "speed", "on", "suspect"))), strict=True)}
+            got += [found.get(i, (np.nan, np.nan)) for i in range(len(part))]
+            at += len(part)
+        want = carried_and_driven(rows)
+        told += sum(m is not None for m, _ in want)
+        assert np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), rtol=1e-12, equal_nan=True)
+    assert told > 50
