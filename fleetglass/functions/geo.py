@@ -48,6 +48,39 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     return F.concat(*chars)
 
 
+def box_ranges(lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, precision: int = 7, most: int = 32) -> list[tuple[str, str]]:
+    """Ranges (first and last cell) that hold every geohash of a point in the box: at most ``most``, neighbours joined.
+
+    Cells are in the order of their interleaved bits. Regions are halved bit by bit, the widest first; those inside the box are
+    kept whole, and those on its border too when no more ranges are allowed. So ranges may hold more than the box, never less.
+    """
+    wanted, bits, slack = ((lat_lo, lat_hi), (lon_lo, lon_hi)), 5 * precision, 1e-9
+    whole: list[tuple[int, int]] = []
+    border = [(0, 0, ((-90.0, 90.0), (-180.0, 180.0)))]
+    while border and len(whole) + len(border) < most:
+        prefix, depth, sides = border.pop(0)
+        axis = 1 - depth % 2
+        lo, hi = sides[axis]
+        for bit, part in ((0, (lo, (lo + hi) / 2)), (1, ((lo + hi) / 2, hi))):
+            now = (part, sides[1]) if axis == 0 else (sides[0], part)
+            if any(have[1] < want[0] - slack or have[0] > want[1] + slack for have, want in zip(now, wanted, strict=True)):
+                continue
+            inside = all(have[0] >= want[0] and have[1] <= want[1] for have, want in zip(now, wanted, strict=True))
+            if inside or depth + 1 == bits:
+                whole.append((prefix * 2 + bit, depth + 1))
+            else:
+                border.append((prefix * 2 + bit, depth + 1, now))
+    spans = sorted((p << (bits - d), ((p + 1) << (bits - d)) - 1) for p, d in whole + [(p, d) for p, d, _ in border])
+    joined: list[list[int]] = []
+    for first, last in spans:
+        if joined and first == joined[-1][1] + 1:
+            joined[-1][1] = last
+        else:
+            joined.append([first, last])
+    text = lambda n: "".join(BASE32[n >> 5 * (precision - 1 - c) & 31] for c in range(precision))
+    return [(text(first), text(last)) for first, last in joined]
+
+
 def geohash_box(cell: Column, precision: int) -> Column:
     """A struct lat_lo, lat_hi, lon_lo, lon_hi of a cell of known length."""
     of_lon, of_lat = _bits(precision)

@@ -158,6 +158,12 @@ def cases(decided: DataFrame, loans: DataFrame) -> DataFrame:
     return rows.select(case_id.alias("case_id"), F.col("ts").alias("opened_ts"), F.lit("open").alias("status"), "loan_id", "vehicle_id", F.xxhash64("vehicle_id", "code", "ts").alias("alert_id"))
 
 
+def counters(alert_rows: DataFrame, case_rows: DataFrame) -> DataFrame:
+    """name and n: alerts by code, and opened cases (0 if there are none)."""
+    by_code = alert_rows.groupBy("code").agg(F.count("*").alias("n")).select(F.concat(F.lit("alert."), F.col("code")).alias("name"), "n")
+    return by_code.unionByName(case_rows.agg(F.count("*").alias("n")).select(F.lit("cases_opened").alias("name"), "n"))
+
+
 def breakdown(alert_rows: DataFrame, loans: DataFrame, now: float) -> DataFrame:
     """For each vehicle the parts of its score by code, from the newest alert of each, and the multiplier."""
     newest = alert_rows.groupBy("vehicle_id", "code").agg(F.max("created_ts").alias("ts"))

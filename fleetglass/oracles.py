@@ -211,7 +211,7 @@ _put("job_export_rows", ("telemetry",), f"SELECT strftime({_LOCAL}, '%Y-%m-%d')
 _put("job_missing_days", ("telemetry",), f"SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-01-06', INTERVAL 1 DAY)) AS d) WHERE strftime(d, '%Y-%m-%d') NOT IN (SELECT strftime({_LOCAL}, '%Y-%m-%d') FROM hashed WHERE strftime({_LOCAL}, '%Y-%m-%d') < '2024-01-03')", _HASHED)
 _put("job_baselines", ("telemetry",), """SELECT v.vehicle_id, home.geohash AS home_cell, work.geohash AS work_cell, h0::BIGINT AS active_from, (h1 + 1)::BIGINT AS active_to, round_even(avg_speed, 6) AS avg_speed, round_even(std_speed, 6) AS std_speed
 FROM (SELECT DISTINCT vehicle_id FROM hashed) v LEFT JOIN home ON home.vehicle_id = v.vehicle_id AND home.r = 1 LEFT JOIN work ON work.vehicle_id = v.vehicle_id AND work.r = 1 LEFT JOIN drive ON drive.vehicle_id = v.vehicle_id""", _HASHED, _BASE)
-_put("job_raised_scores", ("alert", "loan"), "SELECT vehicle_id, greatest(score, new) AS score FROM board FULL JOIN (SELECT vehicle_id, max(risk_score) AS new FROM alert WHERE code = 'TOW_SUSPECTED' GROUP BY 1) USING (vehicle_id)", _BOARD)
+_put("job_raised_scores", ("alert", "loan"), "SELECT vehicle_id, greatest(score, new) AS score FROM board FULL JOIN (SELECT vehicle_id, max(risk_score) AS new FROM alert GROUP BY 1) USING (vehicle_id)", _BOARD)
 _START = NOW - 2 * 86_400 - 19_800
 _TODAY = f"today AS (SELECT a.*, lender_id, days_past_due FROM alert a JOIN loan USING (vehicle_id) WHERE created_ts >= {_START} AND created_ts < {_START + 86_400})"
 _put("job_report_figures", ("alert", "loan", "recovery_case"), f"""SELECT lender_id, vehicles, coalesce(alerts, 0) AS alerts, coalesce(v, 0) AS vehicles_with_alerts, coalesce(opened, 0) AS cases_opened, coalesce(r, 0) AS cases_recovered_30d, coalesce(c, 0) AS cases_closed_30d, CASE WHEN r + c > 0 THEN round_even(r / (r + c), 3) ELSE 0 END::DOUBLE AS recovery_rate_30d
@@ -254,7 +254,8 @@ _put("serve_masked_samples", ("payloads", "loan"), """SELECT "offset", outcome,
 _CELLS = "cells AS (SELECT substr(geohash, 1, 5) AS cell, count(*) AS vehicles FROM positions GROUP BY 1 HAVING count(*) >= 10)"
 _put("privacy_cell_insights", ("telemetry", "alert", "loan"), "SELECT substr(geohash, 1, 5) AS cell, count(*) AS vehicles, round_even(count(*) FILTER (speed_kmh > 5) / count(*), 3) AS moving_share, round_even(avg(speed_kmh), 1) AS avg_speed_kmh, round_even(count(*) FILTER (coalesce(score, 0) > 50) / count(*), 3) AS high_risk_share FROM positions LEFT JOIN board USING (vehicle_id) GROUP BY 1 HAVING count(*) >= 10", _HASHED, _POSITIONS, _BOARD)
 _put("privacy_events", ("telemetry", "alert"), f"SELECT {_PSEUDONYM} AS vehicle, code AS event, (floor(created_ts / 3600) * 3600)::BIGINT AS hour, cell FROM alert JOIN (SELECT vehicle_id, substr(geohash, 1, 5) AS cell FROM positions) USING (vehicle_id) JOIN cells USING (cell)", _HASHED, _POSITIONS, _CELLS)
-_put("privacy_share", ("telemetry", "alert"), f"SELECT cell, vehicles, coalesce(events, 0) AS events FROM cells LEFT JOIN (SELECT substr(geohash, 1, 5) AS cell, count(*) AS events FROM alert JOIN positions USING (vehicle_id) WHERE code IN ('GEOFENCE_EXIT', 'TOW_SUSPECTED') AND created_ts > {NOW - 86_400} GROUP BY 1) USING (cell)", _HASHED, _POSITIONS, _CELLS)
+_put("privacy_share", ("telemetry", "alert"), f"""SELECT cell, vehicles, vehicle, event, hour FROM cells LEFT JOIN (SELECT substr(geohash, 1, 5) AS cell, {_PSEUDONYM} AS vehicle, code AS event, (floor(created_ts / 3600) * 3600)::BIGINT AS hour
+FROM alert JOIN (SELECT vehicle_id, geohash FROM positions) USING (vehicle_id) WHERE code IN ('GEOFENCE_EXIT', 'TOW_SUSPECTED') AND created_ts > {NOW - 86_400}) USING (cell)""", _HASHED, _POSITIONS, _CELLS)
 _put("privacy_identities", (), "SELECT c_custkey, sha256(c_name) AS name_hash FROM customer")
 
 # monitoring
@@ -264,7 +265,7 @@ _put("monitor_latency", ("telemetry",), f"""SELECT oem, {', '.join(f"round_even(
 FROM (SELECT oem, ingest_ts - device_ts AS x, row_number() OVER (PARTITION BY oem ORDER BY ingest_ts - device_ts) AS i, count(*) OVER (PARTITION BY oem) AS n FROM telemetry) GROUP BY 1""")
 _put("monitor_raw_summary", ("payloads",), """SELECT format, count(*) AS payloads, count(*) FILTER (bad) AS unreadable, count(DISTINCT vehicle_id) FILTER (NOT bad) AS vehicles, count(*) FILTER (NOT bad AND kmh >= 5) AS moving, count(*) FILTER (NOT bad AND kmh >= 5 AND NOT ignition) AS moving_ignition_off
 FROM (SELECT *, speed * CASE oem WHEN 'A' THEN 1 WHEN 'B' THEN 1.609344::DOUBLE ELSE 3.6::DOUBLE END AS kmh FROM judged) GROUP BY 1""", _PARSED)
-_put("monitor_personas", ("telemetry", "alert"), "SELECT persona, count(*) FILTER (code = 'GEOFENCE_EXIT') AS \"GEOFENCE_EXIT\", count(*) FILTER (code = 'TOW_SUSPECTED') AS \"TOW_SUSPECTED\" FROM (SELECT DISTINCT vehicle_id, persona FROM telemetry) LEFT JOIN alert USING (vehicle_id) GROUP BY 1")
+_put("monitor_personas", ("telemetry", "alert"), "SELECT persona, " + ", ".join(f"count(*) FILTER (code = '{c}') AS \"{c}\"" for c in WEIGHTS) + " FROM (SELECT DISTINCT vehicle_id, persona FROM telemetry) LEFT JOIN alert USING (vehicle_id) GROUP BY 1")
 _put("monitor_purge", ("telemetry", "alert", "recovery_case"), """SELECT 'alerts' AS name, count(*) AS n FROM kept UNION ALL SELECT 'links', count(*) FROM kept UNION ALL SELECT 'cases', count(*) FROM recovery_case WHERE case_id NOT IN (SELECT case_id FROM alert WHERE case_id NOT IN (SELECT case_id FROM kept))""",
      "truth AS (SELECT DISTINCT vehicle_id, persona FROM telemetry), kept AS (SELECT a.* FROM alert a LEFT JOIN truth USING (vehicle_id) WHERE NOT (code = 'TOW_SUSPECTED' AND coalesce(persona, -1) <> 0) AND NOT (code = 'TAMPER_SUSPECTED' AND coalesce(persona, -1) <> 1))")
 _put("monitor_loan_status", ("loan",), "SELECT CASE WHEN days_past_due = 0 THEN 'current' WHEN days_past_due < 90 THEN 'overdue' ELSE 'default' END AS status, count(*) AS n FROM loan GROUP BY 1")

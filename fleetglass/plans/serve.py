@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import bearing_deg, haversine_m, ring_to_geojson
+from ..functions.geo import bearing_deg, box_ranges, haversine_m, ring_to_geojson
 from ..schema import HOT_DAYS, LIVE_S, LOCAL_OFFSET_S, MAP_CAP, MAP_STALE_S, TRAIL_LIMIT, TRAIL_MAX_S
 
 
@@ -45,11 +47,24 @@ def live_counts(positions: DataFrame, loans: DataFrame, live_s: int = LIVE_S) ->
     return timed.groupBy("lender_id").agg(F.count_if(F.col("device_ts") >= F.col("now") - live_s).alias("live"))
 
 
+def clustered(positions: DataFrame) -> DataFrame:
+    """Positions in the order of their cells over all partitions, so that files and row groups hold neighbours."""
+    return positions.repartitionByRange("geohash").sortWithinPartitions("geohash")
+
+
 def in_box(positions: DataFrame, loans: DataFrame, lender_id: int, scores: DataFrame, lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, least_km: float = 0.1, live_s: int = LIVE_S) -> DataFrame:
-    """A lender's vehicles that reported lately in a box of at least ``least_km`` each way, with their score or 0."""
+    """A lender's vehicles that reported lately in a box of at least ``least_km`` each way, with their score or 0.
+
+    Positions with the ``geohash`` of their place (7 letters; null if it is not known) are read by ranges of cells, so that a
+    table that ``clustered`` laid out is read in part.
+    """
     pad_lat = max(0.0, least_km / 111.32 - (lat_hi - lat_lo)) / 2
     pad_lon = max(0.0, least_km / 111.32 - (lon_hi - lon_lo)) / 2
-    inside = F.col("lat").between(lat_lo - pad_lat, lat_hi + pad_lat) & F.col("lon").between(lon_lo - pad_lon, lon_hi + pad_lon)
+    box = (lat_lo - pad_lat, lat_hi + pad_lat, lon_lo - pad_lon, lon_hi + pad_lon)
+    inside = F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])
+    if "geohash" in positions.columns:
+        cells = [F.col("geohash").between(first, last) for first, last in box_ranges(*box)]
+        inside = functools.reduce(lambda a, b: a | b, cells, F.col("geohash").isNull()) & inside
     fresh = positions.join(F.broadcast(event_now(positions))).where(F.col("device_ts") >= F.col("now") - live_s).drop("now")  # one row
     return owned(fresh.where(inside), loans, lender_id).join(scores.select("vehicle_id", "score"), "vehicle_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 

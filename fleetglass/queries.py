@@ -12,7 +12,7 @@ from .functions import geo, privacy
 from .operators import anomaly, clean, convoy, fence, hublabels, normalise, risk, route
 from .operators.numbering import numbered
 from .plans import jobs, monitor, partners, serve
-from .schema import EVENT, SIGNAL, SLOW_CONVOY
+from .schema import EVENT, SIGNAL, SLOW_CONVOY, WEIGHTS
 from .sources import raw as sources
 from .sources.shared import shared_path, written
 from .streaming import convoys, detectors, deviations, pipelines
@@ -552,13 +552,25 @@ def risk_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return decided.select("vehicle_id", "code", "ts", "score", "write_alert", "open_case")
 
 
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The alerts and cases of all signals, beside the cases that are open."""
+    loans = _table(spark, sf, "loan")
+    decided = written(risk.decide(_signals(spark, sf), loans, sources.open_cases(_table(spark, sf, "recovery_case"), loans)), "decided")
+    return risk.alerts(decided, loans), risk.cases(decided, loans)
+
+
 @query
 def risk_alerts_and_cases(spark: SparkSession, sf: str) -> DataFrame:
-    loans = _table(spark, sf, "loan")
-    decided = written(risk.decide(_signals(spark, sf), loans), "decided")
-    alerts, cases = risk.alerts(decided, loans), risk.cases(decided, loans)
-    counts = alerts.groupBy("code").agg(F.count("*").alias("n")).select(F.concat(F.lit("alert."), F.col("code")).alias("name"), "n")
-    return counts.unionByName(cases.agg(F.count("*").alias("n")).select(F.lit("cases_opened").alias("name"), "n"))
+    """Every alert row, and every case row with the alert that opened it."""
+    alerts, cases = _judged(spark, sf)
+    rows = alerts.select(F.lit("alert").alias("kind"), F.col("alert_id").alias("id"), "alert_id", "vehicle_id", "loan_id", F.col("created_ts").alias("ts"), "code", F.col("risk_score").cast("double").alias("score"))
+    opened = cases.select(F.lit("case").alias("kind"), F.col("case_id").alias("id"), "alert_id", "vehicle_id", "loan_id", F.col("opened_ts").alias("ts"))
+    return rows.unionByName(opened, allowMissingColumns=True)
+
+
+@query
+def risk_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return risk.counters(*_judged(spark, sf))
 
 
 @query
@@ -602,7 +614,7 @@ def job_missed_alerts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def job_raised_scores(spark: SparkSession, sf: str) -> DataFrame:
     alerts = _table(spark, sf, "alert")
-    return jobs.raised_scores(_scores(spark, sf), alerts.where("code = 'TOW_SUSPECTED'").select("vehicle_id", F.col("risk_score").alias("score")))
+    return jobs.raised_scores(_scores(spark, sf), alerts.select("vehicle_id", F.col("risk_score").alias("score")))
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
@@ -640,7 +652,8 @@ def serve_on_the_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def serve_in_box(spark: SparkSession, sf: str) -> DataFrame:
-    return serve.in_box(_positions(spark, sf), _table(spark, sf, "loan"), 1, _scores(spark, sf), 12.97, 13.0, 77.59, 77.61, live_s=7200).select("vehicle_id", "lat", "lon", "score")
+    positions = written(serve.clustered(_positions(spark, sf)), "positions")
+    return serve.in_box(positions, _table(spark, sf, "loan"), 1, _scores(spark, sf), 12.97, 13.0, 77.59, 77.61, live_s=7200).select("vehicle_id", "lat", "lon", "score")
 
 
 @query
@@ -816,7 +829,7 @@ def privacy_events(spark: SparkSession, sf: str) -> DataFrame:
 def privacy_share(spark: SparkSession, sf: str) -> DataFrame:
     alerts = _table(spark, sf, "alert").join(_positions(spark, sf).select("vehicle_id", "lat", "lon"), "vehicle_id")
     cells, events = partners.share(_positions(spark, sf), _scores(spark, sf), alerts, _key(), NOW)
-    return cells.select("cell", "vehicles").join(events.groupBy("cell").agg(F.count("*").alias("events")), "cell", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    return cells.select("cell", "vehicles").join(events, "cell", "left").select("cell", "vehicles", "vehicle", "event", "hour")
 
 
 @query
@@ -846,7 +859,7 @@ def monitor_raw_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def monitor_personas(spark: SparkSession, sf: str) -> DataFrame:
     personas = _table(spark, sf, "telemetry").select("vehicle_id", "persona").distinct()
-    return monitor.signals_by_persona(_table(spark, sf, "alert").select("vehicle_id", "code"), personas, ["GEOFENCE_EXIT", "TOW_SUSPECTED"])
+    return monitor.signals_by_persona(_table(spark, sf, "alert").select("vehicle_id", "code"), personas, list(WEIGHTS))
 
 
 @query

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from fleetglass import queries
+from fleetglass.functions import geo
 from fleetglass.operators import convoy, route
 from fleetglass.plans import serve
 from tests.test_fleet import LAT, LOANS, LON, NOON, event, frame
@@ -91,3 +96,31 @@ def test_box_has_fresh_vehicles_of_the_lender(spark):
     scores = spark.createDataFrame([("VH-000002", 7.5)], "vehicle_id string, score double")
     got = {(r["vehicle_id"], r["score"]) for r in serve.in_box(positions, loans, 1, scores, LAT, LAT, LON, LON).collect()}
     assert got == {("VH-000001", 0.0), ("VH-000002", 7.5)}
+
+
+def test_ranges_of_cells_hold_every_point_of_a_box(spark):
+    rng = random.Random(3)
+    boxes = [(LAT, LAT, LON, LON), (-90.0, 90.0, -180.0, 180.0), (12.0, 12.9, -180.0, 180.0), (-0.001, 0.001, -0.001, 0.001)]
+    boxes += [(a, a + rng.random(), b, b + rng.random()) for a, b in ((rng.uniform(-80, 80), rng.uniform(-170, 170)) for _ in range(20))]
+    for lat_lo, lat_hi, lon_lo, lon_hi in boxes:
+        ranges = geo.box_ranges(lat_lo, lat_hi, lon_lo, lon_hi)
+        assert 0 < len(ranges) <= 32 and all(a <= b for a, b in ranges) and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+        points = [(rng.choice([lat_lo, lat_hi, rng.uniform(lat_lo, lat_hi)]), rng.choice([lon_lo, lon_hi, rng.uniform(lon_lo, lon_hi)])) for _ in range(40)]
+        cells = spark.createDataFrame(points, "lat double, lon double").select(geo.geohash(F.col("lat"), F.col("lon"), 7).alias("c")).collect()
+        assert all(any(a <= r["c"] <= b for a, b in ranges) for r in cells)
+
+
+def test_box_reads_clustered_positions_by_ranges(spark, tmp_path, capsys):
+    places = spark.range(400).select(F.format_string("VH-%06d", "id").alias("vehicle_id"), F.lit(1000.0).alias("device_ts"), (LAT + (F.col("id") % 20) * 0.01).alias("lat"), (LON + F.floor(F.col("id") / 20) * 0.01).alias("lon"))
+    known = places.withColumn("geohash", F.when(F.col("vehicle_id") != "VH-000000", geo.geohash(F.col("lat"), F.col("lon"), 7)))
+    serve.clustered(known).write.parquet(str(tmp_path / "positions"))
+    loans = places.select("vehicle_id", F.lit(1).alias("loan_id"), F.lit(1).alias("lender_id"), F.lit(0).alias("days_past_due"), F.lit("current").alias("status"))
+    scores = spark.createDataFrame([], "vehicle_id string, score double")
+    box = (LAT - 0.001, LAT + 0.021, LON - 0.001, LON + 0.011)
+    found = serve.in_box(spark.read.parquet(str(tmp_path / "positions")), loans, 1, scores, *box)
+    ids = lambda df: {r["vehicle_id"] for r in df.collect()}
+    assert ids(found) == ids(serve.in_box(places, loans, 1, scores, *box)) == {f"VH-{i:06d}" for i in (0, 1, 2, 20, 21, 22)}
+    capsys.readouterr()
+    found.explain("formatted")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters")]
+    assert any("IsNull(geohash)" in line and "GreaterThanOrEqual(geohash" in line for line in pushed)
