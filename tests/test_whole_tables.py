@@ -124,3 +124,12 @@ def test_box_reads_clustered_positions_by_ranges(spark, tmp_path, capsys):
     found.explain("formatted")
     pushed = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters")]
     assert any("IsNull(geohash)" in line and "GreaterThanOrEqual(geohash" in line for line in pushed)
+
+
+def test_crowded_cells_give_the_same_pairs(spark):
+    rng = random.Random(8)
+    rows = [event(v, NOON + v % 7 - NOON % 300, vehicle=f"VH-{v:06d}", lat=LAT + rng.uniform(0, 0.012), lon=LON + rng.uniform(0, 0.012), speed_kmh=rng.choice([5.0, 10.0, 30.0, 50.0, 63.3]), heading_deg=rng.choice([0.0, 45.0, 90.0, 359.0, 360.0, rng.uniform(0, 360)])) for v in range(300)]
+    states = convoy.snapshots(frame(spark, rows))
+    pairs = lambda dense: {(r["a"], r["b"]) for r in convoy.near_pairs(states, dense=dense).collect()}
+    assert convoy.near_pairs(states, dense=10).count() == len(pairs(10))
+    assert pairs(10) == pairs(60) == pairs(10_000) != set()
