@@ -77,9 +77,20 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def replay_rows(history: DataFrame, day: str) -> DataFrame:
-    """A day's telemetry for replay: late rows included, without their mark."""
-    return history.where(F.col("date") == day).withColumn("flags", F.filter("flags", lambda f: (f != LATE) & (f != "")))
+def replay_rows(history: DataFrame, day: str, before: int = 0) -> DataFrame:
+    """A day's telemetry for replay: late rows included, without their mark.
+
+    ``before`` adds the days that lead to it, so that windows, trips, runs outside a fence and fading signals stand when the
+    day begins; signals fade within one day.
+    """
+    days = F.transform(day_list(day, before + 1), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return history.where(F.array_contains(days, F.col("date"))).withColumn("flags", F.filter("flags", lambda f: (f != LATE) & (f != "")))
+
+
+def of_day(decided: DataFrame, day: str) -> DataFrame:
+    """What fired within a local day."""
+    start, end = day_bounds(day)
+    return decided.where((F.col("fired_ts") >= start) & (F.col("fired_ts") < end))
 
 
 class _Apart:

@@ -101,7 +101,10 @@ def _agents(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
 
 def _signals(spark: SparkSession, sf: str, convoys: bool = True) -> DataFrame:
     """The signals of all seven codes, with the time at which they fire; a replay of the vehicles' own events has no convoys."""
-    events = written(_trusted_events(spark, sf), "clean")
+    return _signals_of(spark, sf, written(_trusted_events(spark, sf), "clean"), convoys)
+
+
+def _signals_of(spark: SparkSession, sf: str, events: DataFrame, convoys: bool) -> DataFrame:
     base = jobs.baselines(events)
     moved = anomaly.tows_and_spikes(anomaly.movement(events), base)
     off_route = route.deviations(events, route.expected_paths(events, base, *_graph(spark, sf)[:2]))
@@ -611,6 +614,15 @@ def job_missed_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.missed_alerts(decided, _table(spark, sf, "alert").select("vehicle_id", "code", F.col("created_ts").alias("ts"))).select("vehicle_id", "code", "ts", "score")
 
 
+@query
+def job_missed_of_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The missed alerts of one day's replay, which begins with the state that the day before left."""
+    history = jobs.export_rows(_trusted_events(spark, sf))
+    rows = written(jobs.replay_rows(history, DAY, before=1).drop("date", "cell"), "replay")
+    decided = jobs.of_day(risk.decide(_signals_of(spark, sf, rows, convoys=False), _table(spark, sf, "loan")), DAY)
+    return jobs.missed_alerts(decided, _table(spark, sf, "alert").select("vehicle_id", "code", F.col("created_ts").alias("ts"))).select("vehicle_id", "code", "ts", "score")
+
+
 @query
 def job_raised_scores(spark: SparkSession, sf: str) -> DataFrame:
     alerts = _table(spark, sf, "alert")

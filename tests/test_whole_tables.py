@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from fleetglass import queries
 from fleetglass.functions import geo
-from fleetglass.operators import convoy, route
-from fleetglass.plans import serve
+from fleetglass.operators import anomaly, convoy, route
+from fleetglass.plans import jobs, serve
 from tests.test_fleet import LAT, LOANS, LON, NOON, event, frame
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +133,16 @@ def test_crowded_cells_give_the_same_pairs(spark):
     pairs = lambda dense: {(r["a"], r["b"]) for r in convoy.near_pairs(states, dense=dense).collect()}
     assert convoy.near_pairs(states, dense=10).count() == len(pairs(10))
     assert pairs(10) == pairs(60) == pairs(10_000) != set()
+
+
+# ---------------------------------------------------------------- replay of a day
+def test_a_day_is_replayed_from_where_the_evening_ended(spark):
+    midnight = 1704133800.0  # 2024-01-02 local
+    parked = [event(i, midnight - 300 + 60 * i, ignition=False, lat=LAT + max(0, i - 4) * 0.003, flags=["late"] if i == 2 else []) for i in range(12)]
+    history = jobs.export_rows(frame(spark, [event(0, midnight - 90_000), *parked]))
+    tows = lambda before: anomaly.tows(anomaly.movement(jobs.replay_rows(history, "2024-01-02", before))).withColumn("fired_ts", F.col("ts"))
+    whole = anomaly.tows(anomaly.movement(frame(spark, parked))).withColumn("fired_ts", F.col("ts"))
+    times = lambda df: sorted(r["ts"] for r in jobs.of_day(df, "2024-01-02").collect())
+    assert times(tows(1)) == times(whole) != times(tows(0))
+    assert jobs.replay_rows(history, "2024-01-02", 1).count() == 12 and jobs.replay_rows(history, "2024-01-02", 2).count() == 13
+    assert jobs.replay_rows(history, "2024-01-02", 1).where("array_contains(flags, 'late')").count() == 0
