@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_centre, flat_distance_m, geohash, haversine_m, neighbours, pinned
 from ..schema import OFF_PATH_M, OFF_PATH_S, TRAFFIC
 from ..sources.shared import written
-from . import hublabels
+from . import hublabels, reach
 from .fence import signal_columns, trusted
 
 
@@ -86,6 +86,14 @@ def _joined_legs(wanted: DataFrame, best: DataFrame) -> DataFrame:
 def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
     """src, dst, cost (seconds) and path (nodes) of the fastest way for each pair of nodes; pairs without one have no row.
 
+    The search stays in what the pairs' ways can reach (``reach``).
+    """
+    return reach.within_reach(pairs, nodes, edges, lambda some, roads: _relaxed_paths(pairs, some, roads, speeds))
+
+
+def _relaxed_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds: DataFrame) -> DataFrame:
+    """``shortest_paths`` over the whole of a graph.
+
     All sources relax ``HOPS`` edges a round. A way is given up when its cost, with the straight line to the source's
     farthest target at the highest speed, cannot beat what is known for any of the source's targets. Only ways that ended
     at the round's last edge are carried on: shorter ones were within the round. Rounds keep the leg they added alone, at
@@ -114,9 +122,12 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds:
 
 
 def label_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """What ``shortest_paths`` gives, from labels of the pairs' nodes: a fixed number of steps, however long the ways are."""
+    """What ``shortest_paths`` gives, from labels of the pairs' nodes: a fixed number of steps, however long the ways are.
+
+    Labels are built over what the pairs' ways can reach alone (``reach``).
+    """
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node"))
-    return hublabels.paths(pairs, hublabels.hub_labels(nodes, edges, ends))
+    return reach.within_reach(pairs, nodes, edges, lambda some, roads: hublabels.paths(pairs, hublabels.hub_labels(some, roads, ends)))
 
 
 def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,11 +175,20 @@ def nearest_labels(targets: DataFrame, edges: DataFrame, sources: DataFrame | No
             return written(best(), "labels")
 
 
-def nearest_target(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+def nearest_target(sources: DataFrame, targets: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """For each row of ``sources`` (src, grp) the cheapest target (dst) of its group: src, grp, dst, cost and path.
 
     A source from which no target of its group can be reached has no row. Paths are put together from the labels' legs.
+    Given ``nodes`` (node_id, lat, lon), the search stays in what the sources' ways can reach (``reach``).
     """
+    if nodes is None:
+        return _nearest_target(sources, targets, edges)
+    able = sources.join(targets.select("grp").distinct(), "grp", "left_semi").select("src", "grp")
+    inside = lambda some: targets.join(some.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    return reach.within_reach(able, nodes, edges, lambda some, roads: _nearest_target(able, inside(some), roads), ends=("src",), keys=("src", "grp"))
+
+
+def _nearest_target(sources: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
     wanted = written(sources.select("src", "grp").distinct(), "sources")
     labels = nearest_labels(targets, edges, wanted)
     legs = labels.select("grp", F.col("node").alias("_at"), F.col("leg").alias("_leg"))
@@ -239,10 +259,11 @@ def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, ed
     return _with_points(ends, label_paths(ends, nodes, edges), nodes)
 
 
-def trip_paths(starts: DataFrame, baselines: DataFrame, nodes: DataFrame, labels: hublabels.HubLabels) -> DataFrame:
-    """``expected_paths`` for trip starts (vehicle_id, trip, lat, lon), from labels that stand already."""
+def trip_paths(starts: DataFrame, baselines: DataFrame, nodes: DataFrame, labels: hublabels.HubLabels | DataFrame) -> DataFrame:
+    """``expected_paths`` for trip starts (vehicle_id, trip, lat, lon), from labels that stand already or from the edges."""
     ends = _trip_ends(starts, baselines, nodes)
-    return _with_points(ends, hublabels.paths(ends, labels), nodes)
+    ways = hublabels.paths(ends, labels) if isinstance(labels, hublabels.HubLabels) else label_paths(ends, nodes, labels)
+    return _with_points(ends, ways, nodes)
 
 
 def deviations(events: DataFrame, paths: DataFrame) -> DataFrame:

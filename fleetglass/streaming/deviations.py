@@ -141,8 +141,12 @@ def trip_requests(events: DataFrame) -> DataFrame:
     return slim.groupBy("vehicle_id").transformWithStateInPandas(TripWatch(), REQUEST, "append", "None")
 
 
-def path_sink(spark: SparkSession, root: str, baselines: DataFrame, nodes: DataFrame, labels: HubLabels) -> Callable[[DataFrame, int], None]:
-    """Answers a batch of requests; a repeated batch finds its answers there, as readers may have seen them already."""
+def path_sink(spark: SparkSession, root: str, baselines: DataFrame, nodes: DataFrame, labels: HubLabels | DataFrame) -> Callable[[DataFrame, int], None]:
+    """Answers a batch of requests; a repeated batch finds its answers there, as readers may have seen them already.
+
+    ``labels`` are those of all nodes, for streams of many small batches, or the edges, from which each batch has labels of
+    its own requests' ends built.
+    """
     files = _files(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
