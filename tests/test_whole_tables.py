@@ -135,6 +135,15 @@ def test_crowded_cells_give_the_same_pairs(spark):
     assert pairs(10) == pairs(60) == pairs(10_000) != set()
 
 
+def test_large_convoys_are_compared_member_by_member(spark):
+    """Copies of a whole list beside each of its members would be 20,000 x 20,000 ids here."""
+    lists = lambda *spans: spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "i int, a int, b int").select(F.transform(F.sequence("a", "b"), lambda n: F.format_string("VH-%06d", n)).alias("members"))
+    groups = lists((0, 20_000), (0, 19_000), (5, 12_000), (19_990, 20_010), (30_000, 30_003), (30_000, 30_003))
+    spans = lambda df: sorted((r["m"], r["n"]) for r in df.select(F.col("members")[0].alias("m"), F.size("members").alias("n")).collect())
+    assert spans(convoy.maximal(groups)) == [("VH-000000", 20_001), ("VH-019990", 21), ("VH-030000", 4)]
+    assert spans(convoy.not_stored(groups, lists((0, 20_000), (30_000, 30_003)))) == [("VH-019990", 21)]
+
+
 # ---------------------------------------------------------------- replay of a day
 def test_a_day_is_replayed_from_where_the_evening_ended(spark):
     midnight = 1704133800.0  # 2024-01-02 local
