@@ -167,7 +167,9 @@ def counters(alert_rows: DataFrame, case_rows: DataFrame) -> DataFrame:
 def breakdown(alert_rows: DataFrame, loans: DataFrame, now: float) -> DataFrame:
     """For each vehicle the parts of its score by code, from the newest alert of each, and the multiplier."""
     newest = alert_rows.groupBy("vehicle_id", "code").agg(F.max("created_ts").alias("ts"))
-    parts = newest.withColumn("part", F.bround(weight(F.col("code")) * fade(F.lit(float(now)) - F.col("ts")), 1))
+    # weight times what is left of a day, divided last, so that a tie between two tenths is exact and goes to the even one
+    left = F.greatest(F.lit(0.0), F.lit(float(DECAY_S)) - (F.lit(float(now)) - F.col("ts")))
+    parts = newest.withColumn("part", F.rint(weight(F.col("code")) * 10 * left / DECAY_S) / 10)
     grouped = parts.groupBy("vehicle_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "part")))).alias("parts"))
     due = grouped.join(loans.where("status <> 'closed'").select("vehicle_id", "days_past_due"), "vehicle_id", "left")
     return due.select("vehicle_id", "parts", F.bround(multiplier(F.col("days_past_due")), 2).alias("multiplier"))

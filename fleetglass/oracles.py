@@ -203,7 +203,7 @@ _put("serve_convoys", ("telemetry", "loan"), "SELECT string_agg(v, ',' ORDER BY
 
 # risk
 _put("risk_rescore", ("alert", "loan"), "SELECT * FROM board", _BOARD)
-_put("risk_breakdown", ("alert", "loan"), f"""SELECT vehicle_id, round_even(1 + least(coalesce(days_past_due, 0), 90) / 90.0::DOUBLE, 2) AS multiplier, code, round_even(CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} END::DOUBLE * greatest(0, 1 - ({NOW} - ts) / 86400), 1) AS part
+_put("risk_breakdown", ("alert", "loan"), f"""SELECT vehicle_id, round_even(1 + least(coalesce(days_past_due, 0), 90) / 90.0::DOUBLE, 2) AS multiplier, code, round_even(CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} END::DOUBLE * 10 * greatest(0::DOUBLE, 86400 - ({NOW} - ts)) / 86400, 0) / 10 AS part
 FROM active LEFT JOIN due USING (vehicle_id)""", _SCORE)
 
 # jobs

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from fleetglass import queries
 from fleetglass.functions import geo
-from fleetglass.operators import anomaly, convoy, route
+from fleetglass.operators import anomaly, convoy, risk, route
 from fleetglass.plans import jobs, serve
 from tests.test_fleet import LAT, LOANS, LON, NOON, event, frame
 
@@ -144,6 +145,14 @@ def test_large_convoys_are_compared_member_by_member(spark):
     assert spans(convoy.not_stored(groups, lists((0, 20_000), (30_000, 30_003)))) == [("VH-019990", 21)]
 
 
+def test_parts_of_a_score_are_rounded_exactly(spark):
+    """Every second of a day; ties go to the even tenth, which products of rounded numbers miss."""
+    alerts = spark.range(86_401).select(F.col("id").cast("string").alias("vehicle_id"), F.lit("TOW_SUSPECTED").alias("code"), F.col("id").cast("double").alias("created_ts"))
+    loans = spark.createDataFrame([], "vehicle_id string, status string, days_past_due int")
+    got = {int(r["vehicle_id"]): r["parts"]["TOW_SUSPECTED"] for r in risk.breakdown(alerts, loans, 86_400.0).collect()}
+    assert got == {n: round(Fraction(30 * 10 * n, 86_400)) / 10 for n in range(86_401)}
+
+
 # ---------------------------------------------------------------- replay of a day
 def test_a_day_is_replayed_from_where_the_evening_ended(spark):
     midnight = 1704133800.0  # 2024-01-02 local
