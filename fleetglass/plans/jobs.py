@@ -12,6 +12,9 @@ from ..operators.fence import trusted
 from ..operators.folds import fold_tables
 from ..schema import COOLDOWN_S, LATE, LOCAL_OFFSET_S, MOVING_KMH
 
+#: Parts of one day and cell that may be written apart, so that no task sorts a fleet's day alone; small ones are joined.
+EXPORT_BLOCKS = 64
+
 
 def local_date(ts: Column) -> Column:
     """The local calendar day of epoch seconds."""
@@ -40,8 +43,9 @@ def export_rows(telemetry: DataFrame) -> DataFrame:
 
 
 def export(telemetry: DataFrame, root: str) -> None:
-    """Writes the days' partitions anew; other days stay."""
-    rows = export_rows(telemetry).repartition("date", "cell").sortWithinPartitions("vehicle_id", "device_ts")
+    """Writes the days' partitions anew; other days stay. Vehicles of a partition are dealt over several tasks and files."""
+    block = F.pmod(F.xxhash64("vehicle_id"), F.lit(EXPORT_BLOCKS))
+    rows = export_rows(telemetry).repartition("date", "cell", block).sortWithinPartitions("date", "cell", "vehicle_id", "device_ts")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "cell").parquet(root)
 
 

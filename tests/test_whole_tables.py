@@ -153,6 +153,20 @@ def test_parts_of_a_score_are_rounded_exactly(spark):
     assert got == {n: round(Fraction(30 * 10 * n, 86_400)) / 10 for n in range(86_401)}
 
 
+def test_a_days_export_is_not_one_task(spark, tmp_path):
+    rows = frame(spark, [event(i, vehicle=f"VH-{v:06d}") for v in range(40) for i in (2, 1)])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        jobs.export(rows, str(tmp_path / "history"))
+    finally:
+        spark.conf.unset(coalesce)
+    back = spark.read.parquet(str(tmp_path / "history"))
+    files = back.groupBy("date", "cell", F.input_file_name().alias("file")).agg(F.count_distinct("vehicle_id").alias("n")).collect()
+    assert len({(r["date"], r["cell"]) for r in files}) == 1 and len(files) > 1
+    assert sum(r["n"] for r in files) == 40 and back.count() == 80
+
+
 # ---------------------------------------------------------------- replay of a day
 def test_a_day_is_replayed_from_where_the_evening_ended(spark):
     midnight = 1704133800.0  # 2024-01-02 local
