@@ -212,7 +212,8 @@ def labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
 def hub_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links between documents and the hub with which they share most of their lists.
 
-    A hub's members are dealt into blocks, each of which gets the hub's set, so a text is shuffled once and a set twice.
+    A hub's members are dealt into blocks, each of which gets the hub's set, so a text is shuffled once and a set twice. Texts
+    meet roles by a sorted join at every size, as a broadcast would send a row for each text that shares a list.
     """
     reach = members.groupBy("doc_id").agg(F.sum(F.log2("n")).alias("reach"))
     ranked = members.join(reach, "doc_id").select("list", "doc_id", F.struct(F.col("reach"), (-F.col("doc_id")).alias("id")).alias("at"))
@@ -224,7 +225,7 @@ def hub_links(members: DataFrame, docs: DataFrame, width: int, percent: int) ->
     own = pairs.join(blocks, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("left"), F.lit(1).alias("side"))
     centre = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left"), F.lit(0).alias("side"))
     roles = own.unionByName(centre).groupBy("doc_id").agg(F.collect_set(F.struct("hub", "left", "side")).alias("roles"))  # a row for each block
-    texts = docs.select("doc_id", "text").join(roles, "doc_id")
+    texts = docs.select("doc_id", "text").join(roles.hint("merge"), "doc_id")
     sets = arrow_map(texts.select("doc_id", "roles", "text"), sets_of(width, "doc_id", "roles"), "doc_id long, roles array<struct<hub:long,left:int,side:int>>, set binary")
     rows = sets.select("doc_id", "set", F.inline("roles")).withColumn("right", F.col("left")).withColumn("component", F.col("hub"))
     return compared(rows, "hub", near_hub(percent), "set")
