@@ -87,7 +87,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n + n // 4, 1 << 16)
         for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 2**64))):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1

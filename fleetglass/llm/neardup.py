@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, mixed, slices, utf8, written
-from .overlaps import Joined, all_components, labelled, shingle_sets, sides, tied_classes
+from .overlaps import SHINGLE_BYTES, Joined, all_components, labelled, shingle_sets, sides, tied_classes
 
 WIDTH = 5
 REGISTER_BITS = 7
@@ -72,7 +72,7 @@ _SKETCH = "doc_id long, n_shingles long, print1 long, print2 long, sketch binary
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SHINGLE_BYTES):
         sizes, one, two, made = [], [], [], []
         for found in shingle_sets(*utf8(batch["text"]), WIDTH):
             sizes.append(len(found))
