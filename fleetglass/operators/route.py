@@ -33,10 +33,12 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """point_id and node_id of the nearest node by equirectangular distance; the smaller id on ties.
 
-    Points meet the nodes of their cell and its neighbours. What lies nearer than a cell is wide is the nearest of all; the
-    rest try wider cells. At the widest the nearest found counts; a point with none even there has no row.
+    Each place is searched once, however many points are there. Places meet the nodes of their cell and its neighbours. What
+    lies nearer than a cell is wide is the nearest of all; the rest try wider cells. At the widest the nearest found counts;
+    a place with none even there has no row.
     """
-    left, found = points.select("point_id", "lat", "lon"), None
+    asked = written(points.select("point_id", "lat", "lon"), "points")
+    left, found = written(asked.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct(), "places"), None
     for precision in (6, 5, 4, 3, 2, 1):
         of_lon, of_lat = (5 * precision + 1) // 2, 5 * precision // 2
         width = F.least(F.lit(180.0 / (1 << of_lat)), F.lit(360.0 / (1 << of_lon)) * F.cos(F.radians("lat")))
@@ -44,14 +46,14 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
         cells = cells.withColumn("_cell", F.explode(F.array_distinct(F.concat(F.array("_own"), neighbours(F.col("_own"), precision)))))
         near = cells.join(nodes.select("node_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), geohash(F.col("lat"), F.col("lon"), precision).alias("_cell")), "_cell")
         dx, dy = (F.col("_lon") - F.col("lon")) * F.cos(F.radians("lat")), F.col("_lat") - F.col("lat")
-        best = near.withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy("point_id", "lat", "lon").agg(F.min(F.struct("_d", "node_id")).alias("_b"))
-        sure = best.where((F.col("_b._d") <= width) | F.lit(precision == 1)).select("point_id", F.col("_b.node_id").alias("node_id"))
+        best = near.withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy("lat", "lon").agg(F.min(F.struct("_d", "node_id")).alias("_b"))
+        sure = best.where((F.col("_b._d") <= width) | F.lit(precision == 1)).select("lat", "lon", F.col("_b.node_id").alias("node_id"))
         sure = written(sure, "snap")
         found = sure if found is None else found.unionByName(sure)
-        left = written(left.join(sure, "point_id", "left_anti"), "snap")
+        left = written(left.join(sure, ["lat", "lon"], "left_anti"), "snap")
         if left.isEmpty():
             break
-    return found
+    return asked.join(found, ["lat", "lon"]).select("point_id", "node_id")
 
 
 HOPS = 8
