@@ -202,13 +202,22 @@ def counters(normalised: DataFrame) -> DataFrame:
     return normalised.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def samples(normalised: DataFrame, every: int = 500) -> DataFrame:
-    """Every ``every``-th payload in order of offset, cut to 400 characters, with what became of it at parsing."""
+def sampled(raw: DataFrame, every: int = 500) -> DataFrame:
+    """Every ``every``-th row in order of offset."""
     from .numbering import numbered
 
-    out = numbered(normalised, "offset").where(F.col("row_no") % every == 0)
+    return numbered(raw, "offset").where(F.col("row_no") % every == 0).drop("row_no")
+
+
+def as_samples(normalised: DataFrame) -> DataFrame:
+    """Payloads cut to 400 characters, with what became of them at parsing."""
     raw = F.substring(F.make_valid_utf8(F.col("payload").cast("string")), 1, 400)
-    return out.select("offset", F.col("format").alias("oem"), raw.alias("raw"), F.when(F.col("reason").isNull(), "parsed").otherwise("dead_letter").alias("outcome"), F.coalesce("reason", F.lit("")).alias("detail"))
+    return normalised.select("offset", F.col("format").alias("oem"), raw.alias("raw"), F.when(F.col("reason").isNull(), "parsed").otherwise("dead_letter").alias("outcome"), F.coalesce("reason", F.lit("")).alias("detail"))
+
+
+def samples(normalised: DataFrame, every: int = 500) -> DataFrame:
+    """``as_samples`` of every ``every``-th payload. Parsing keeps every row, so raw rows may as well be ``sampled`` before it."""
+    return as_samples(sampled(normalised.select("offset", "payload", "format", "reason"), every))
 
 
 def sample_outcomes(normalised: DataFrame, cleaned: DataFrame, every: int = 500) -> DataFrame:

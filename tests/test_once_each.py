@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetglass import queries
-from fleetglass.operators import route
+from fleetglass.operators import normalise, route
 
 
 def test_places_are_searched_once(spark, monkeypatch):
@@ -33,3 +33,13 @@ def test_a_cell_is_worked_out_once(spark, monkeypatch):
     assert rows.count() == queries._events(spark, "/root/testdata/sf0.001").count()
     assert rows.where(F.col("neighbours").isNull()).isEmpty()
     assert of and of[-1][0] == of[-1][1]
+
+
+def test_masked_samples_parse_what_they_show(spark, monkeypatch):
+    parsed, whole = [], normalise.normalise
+    monkeypatch.setattr(normalise, "normalise", lambda raw: (parsed.append(raw.count()), whole(raw))[1])
+    shown = queries.serve_masked_samples(spark, "/root/testdata/sf0.001").collect()
+    all_ = queries._raw(spark, "/root/testdata/sf0.001").count()
+    assert shown and parsed == [all_ // 10]
+    taken = normalise.as_samples(whole(normalise.sampled(queries._raw(spark, "/root/testdata/sf0.001"), 10)))
+    assert sorted(taken.collect()) == sorted(normalise.samples(whole(queries._raw(spark, "/root/testdata/sf0.001")), 10).collect())
