@@ -5,6 +5,7 @@ Null texts count as empty. All hashes are 64-bit and wrap around.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,6 +86,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Powers that a worker keeps between tasks, and what else it keeps by name: the value, and whether this task has used it.
+_KEPT_POWERS = 1 << 16
+_held: dict[str, list] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, made when it is first asked for; a task that does not use it lets it go."""
+    if name not in _held:
+        _held[name] = [make(), True]
+    _held[name][1] = True
+    return _held[name][0]
+
+
+def let_go() -> None:
+    """Gives back the memory that the next task, which may be of another operator, need not use: workers live on for a whole session."""
+    for name in [k for k, (_, used) in _held.items() if not used]:
+        del _held[name]
+    for kept in _held.values():
+        kept[1] = False
+    if len(_powers.get("up", ())) > _KEPT_POWERS:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         size = max(n + n // 4, 1 << 16)
@@ -120,9 +147,16 @@ def windows_hash(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of bounded size."""
+    """``mapInArrow`` with batches of bounded size, after which a worker keeps little (``let_go``)."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            let_go()
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .common import _SPACE, lowered, utf8
+from .common import _SPACE, held, lowered, utf8
 
 CACHE_ENTRIES = 250_000
 TOKEN_SLICE = 9 << 20
@@ -156,12 +156,10 @@ def _word_form(config: dict) -> tuple[Callable[[str], str | None] | None, bool]:
     return form, bare
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def library_encoder(path: str) -> Encoder:
     """An encoder over the tokenizers library, one for each vocabulary file and worker; special strings are plain text."""
-    if path not in _encoders:
+
+    def make() -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -186,8 +184,9 @@ def library_encoder(path: str) -> Encoder:
                 out[k] = ids
             return out
 
-        _encoders[path] = Encoder(encode, bare)
-    return _encoders[path]
+        return Encoder(encode, bare)
+
+    return held(path, make)
 
 
 def crc(ids: np.ndarray) -> int:
