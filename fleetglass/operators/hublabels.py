@@ -64,7 +64,7 @@ def _placed(nodes: DataFrame, levels: int) -> DataFrame:
 def _crossing(placed: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     """u, v, w, the cells of both, and the level of the smallest district that holds both."""
     best = edges.where("u <> v AND travel_s IS NOT NULL").groupBy(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).agg(F.min("travel_s").alias("w"))
-    ends = best.join(placed.select(F.col("node").alias("u"), F.col("cell").alias("cu")), "u").join(placed.select(F.col("node").alias("v"), F.col("cell").alias("cv")), "v")
+    ends = best.join(placed.select(F.col("node").alias("u"), F.col("cell").alias("cu")).hint("merge"), "u").join(placed.select(F.col("node").alias("v"), F.col("cell").alias("cv")).hint("merge"), "v")
     apart = [F.when(F.shiftright("cu", 2 * n) != F.shiftright("cv", 2 * n), 1).otherwise(0) for n in range(levels)]
     return ends.withColumn("level", functools.reduce(lambda a, b: a + b, apart, F.lit(0)).cast("int"))
 

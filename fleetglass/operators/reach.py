@@ -23,7 +23,7 @@ from ..sources.shared import discard, written
 #: Graphs of up to so many nodes are searched whole.
 SMALL_NODES = 4096
 #: What the first box adds on each side, of the longest straight line between a pair's ends, and at least in metres.
-_WIDER, _LEAST_M = 0.5, 5000.0
+_WIDER, _LEAST_M = 1.25, 5000.0
 
 
 def _to_border(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
@@ -51,7 +51,8 @@ def within_reach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, search: C
     n, *whole = placed.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
     if n <= small:
         return search(nodes, edges)
-    at = lambda end: placed.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
+    # sorted joins: nodes are as many as the graph has, whatever their compressed size tells
+    at = lambda end: placed.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon")).hint("merge")
     asked = pairs.select(*keys).distinct()
     for end in ends:
         asked = asked.join(at(end), end)
@@ -72,7 +73,7 @@ def within_reach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, search: C
         if math.isinf(speed) or (wide[0] <= whole[0] and wide[1] >= whole[1] and wide[2] <= whole[2] and wide[3] >= whole[3]):
             return search(nodes, edges)
         some = written(nodes.where(F.col("lat").between(wide[0], wide[1]) & F.col("lon").between(wide[2], wide[3])), "reach")
-        known = some.select("node_id").distinct()
+        known = some.select("node_id").distinct().hint("merge")
         inside = written(edges.join(known.withColumnRenamed("node_id", "u"), "u", "left_semi").join(known.withColumnRenamed("node_id", "v"), "v", "left_semi").select(*edges.columns), "reach")
         found = written(search(some, inside), "ways")
         out = sum((_to_border(lat, lon, wide) for lat, lon in zip(lats, lons, strict=True)), F.lit(0.0))

@@ -108,7 +108,8 @@ def _relaxed_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, speeds:
     best = written(start.select("src", "node", F.lit(0.0).alias("cost"), F.col("src").alias("origin"), F.array().cast("array<int>").alias("leg")), "paths")
     frontier = best
     targets = written(wanted.join(at, wanted["dst"] == at["node_id"]).select("src", "dst", F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")), "targets")
-    places, speed = written(at, "places"), speeds.select("max_mps")
+    # one row, written so that rounds do not work it out again from all edges
+    places, speed = written(at, "places"), written(speeds.select("max_mps"), "speed")
     while True:
         known = targets.join(best.select("src", F.col("node").alias("dst"), F.col("cost").alias("_known")), ["src", "dst"], "left")
         better = _relaxed(frontier, roads, HOPS).alias("s").join(best.select("src", "node", F.col("cost").alias("_old")), ["src", "node"], "left").where("_old IS NULL OR cost < _old").drop("_old")

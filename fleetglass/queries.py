@@ -86,9 +86,10 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     nodes = placed.select("node_id", (12.95 + F.col("y") * 0.006).alias("lat"), (77.58 + F.col("x") * 0.006).alias("lon"))
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     ends = placed.select(F.col("node_id").alias("u"), "x", "y", F.explode(steps).alias("s")).select("u", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    edges = ends.join(placed.withColumnRenamed("node_id", "v"), ["x", "y"]).select("u", "v").withColumn("len_m", F.lit(660.0))
+    # a sorted join: what a written table takes on disk says little about what a broadcast would take
+    edges = ends.join(placed.withColumnRenamed("node_id", "v").hint("merge"), ["x", "y"]).select("u", "v").withColumn("len_m", F.lit(660.0))
     edges = edges.withColumn("speed_kmh", F.element_at(F.array(F.lit(20.0), F.lit(40.0), F.lit(60.0)), ((F.col("u").cast("long") * 7 + F.col("v").cast("long") * 3) % 3 + 1).cast("int")))
-    return nodes, route.road_edges(edges), route.fastest_mps(edges)
+    return nodes, written(route.road_edges(edges), "edges"), route.fastest_mps(edges)
 
 
 def _agents(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
