@@ -42,44 +42,78 @@ def _widened(box: tuple[float, float, float, float], metres: float) -> tuple[flo
     return lat_lo - up, lat_hi + up, lon_lo - across, lon_hi + across
 
 
-def within_reach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], ends: tuple[str, ...] = ("src", "dst"), keys: tuple[str, ...] = ("src", "dst"), small: int = SMALL_NODES) -> DataFrame:
-    """What ``search`` gives over nodes (node_id, lat, lon) and edges (u, v, travel_s), found on as few of them as do.
+class Town:
+    """A road graph, nodes (node_id, lat, lon) and edges (u, v, travel_s), that is searched once or many times.
 
-    ``search`` takes nodes and edges and gives a row with ``cost`` (seconds) for each of the pairs' ``keys`` that has a way.
+    What holds for the whole graph is found out once, and the last search's box stands until ends outside it come or its
+    ways might be beaten outside; so a stream's batches share it. Each search proves anew that the box is enough.
     """
-    placed = nodes.where("node_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").groupBy("node_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    n, *whole = placed.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if n <= small:
-        return search(nodes, edges)
-    # sorted joins: nodes are as many as the graph has, whatever their compressed size tells
-    at = lambda end: placed.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon")).hint("merge")
-    asked = pairs.select(*keys).distinct()
-    for end in ends:
-        asked = asked.join(at(end), end)
-    asked = written(asked, "asked")
-    lats, lons = ([F.col(f"{end}_{c}") for end in ends] for c in ("lat", "lon"))
-    low, high = (lambda c: F.least(*c) if len(c) > 1 else c[0]), (lambda c: F.greatest(*c) if len(c) > 1 else c[0])
-    straight = haversine_m(lats[0], lons[0], lats[-1], lons[-1])
-    *box, longest = asked.agg(F.min(low(lats)), F.max(high(lats)), F.min(low(lons)), F.max(high(lons)), F.max(straight)).first()
-    if longest is None:
-        return search(nodes.limit(0), edges.limit(0))
-    roads = edges.where("u <> v AND travel_s IS NOT NULL").join(at("u"), "u").join(at("v"), "v")
-    flight = haversine_m(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
-    speed = roads.agg(F.max(F.when(F.col("travel_s") > 0, flight / F.col("travel_s")).when(flight > 0, F.lit(float("inf"))))).first()[0] or 0.0
-    margin = max(_LEAST_M, _WIDER * longest)
-    box = tuple(box)
-    while True:
-        wide = _widened(box, margin)
-        if math.isinf(speed) or (wide[0] <= whole[0] and wide[1] >= whole[1] and wide[2] <= whole[2] and wide[3] >= whole[3]):
-            return search(nodes, edges)
-        some = written(nodes.where(F.col("lat").between(wide[0], wide[1]) & F.col("lon").between(wide[2], wide[3])), "reach")
-        known = some.select("node_id").distinct().hint("merge")
-        inside = written(edges.join(known.withColumnRenamed("node_id", "u"), "u", "left_semi").join(known.withColumnRenamed("node_id", "v"), "v", "left_semi").select(*edges.columns), "reach")
-        found = written(search(some, inside), "ways")
-        out = sum((_to_border(lat, lon, wide) for lat, lon in zip(lats, lons, strict=True)), F.lit(0.0))
-        missing = F.coalesce(F.col("cost") * (speed * (1 + 1e-9)), F.lit(float("inf"))) - out
-        short = asked.join(found.select(*keys, "cost"), list(keys), "left").agg(F.max(missing)).first()[0]
-        if short < 0:
-            return found
-        discard(some, inside, found)
-        margin = 4 * margin if math.isinf(short) else margin + short / len(ends) * 1.01 + 1.0
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, small: int = SMALL_NODES) -> None:
+        self.nodes, self.edges, self.small = nodes, edges, small
+        self.placed = nodes.where("node_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").groupBy("node_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+        self.whole = self.speed = self.box = self.inside = None
+
+    def _at(self, end: str) -> DataFrame:
+        # sorted joins: nodes are as many as the graph has, whatever their compressed size tells
+        return self.placed.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon")).hint("merge")
+
+    def _fastest(self) -> float:
+        """The highest speed as the crow flies on any edge, metres a second."""
+        if self.speed is None:
+            roads = self.edges.where("u <> v AND travel_s IS NOT NULL").join(self._at("u"), "u").join(self._at("v"), "v")
+            flight = haversine_m(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
+            self.speed = roads.agg(F.max(F.when(F.col("travel_s") > 0, flight / F.col("travel_s")).when(flight > 0, F.lit(float("inf"))))).first()[0] or 0.0
+        return self.speed
+
+    def _part(self, wide: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+        """The nodes of a box and the edges between them."""
+        if self.box != wide:
+            discard(*(self.inside or ()))
+            some = written(self.nodes.where(F.col("lat").between(wide[0], wide[1]) & F.col("lon").between(wide[2], wide[3])), "reach")
+            known = some.select("node_id").distinct().hint("merge")
+            between = self.edges.join(known.withColumnRenamed("node_id", "u"), "u", "left_semi").join(known.withColumnRenamed("node_id", "v"), "v", "left_semi")
+            self.box, self.inside = wide, (some, written(between.select(*self.edges.columns), "reach"))
+        return self.inside
+
+    def search(self, pairs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], ends: tuple[str, ...] = ("src", "dst"), keys: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+        """What ``search`` gives over nodes and edges, found on as few of them as do.
+
+        ``search`` takes nodes and edges and gives a row with ``cost`` (seconds) for each of the pairs' ``keys`` that has a way.
+        """
+        if self.whole is None:
+            self.whole = tuple(self.placed.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first())
+        n, *whole = self.whole
+        if n <= self.small:
+            return search(self.nodes, self.edges)
+        asked = pairs.select(*keys).distinct()
+        for end in ends:
+            asked = asked.join(self._at(end), end)
+        asked = written(asked, "asked")
+        lats, lons = ([F.col(f"{end}_{c}") for end in ends] for c in ("lat", "lon"))
+        low, high = (lambda c: F.least(*c) if len(c) > 1 else c[0]), (lambda c: F.greatest(*c) if len(c) > 1 else c[0])
+        straight = haversine_m(lats[0], lons[0], lats[-1], lons[-1])
+        *box, longest = asked.agg(F.min(low(lats)), F.max(high(lats)), F.min(low(lons)), F.max(high(lons)), F.max(straight)).first()
+        if longest is None:
+            return search(self.nodes.limit(0), self.edges.limit(0))
+        box, margin = tuple(box), max(_LEAST_M, _WIDER * longest)
+        last = self.box if self.box and self.box[0] <= box[0] and self.box[1] >= box[1] and self.box[2] <= box[2] and self.box[3] >= box[3] else None
+        while True:
+            wide, last = last or _widened(box, margin), None
+            if math.isinf(self._fastest()) or (wide[0] <= whole[0] and wide[1] >= whole[1] and wide[2] <= whole[2] and wide[3] >= whole[3]):
+                return search(self.nodes, self.edges)
+            found = written(search(*self._part(wide)), "ways")
+            out = sum((_to_border(lat, lon, wide) for lat, lon in zip(lats, lons, strict=True)), F.lit(0.0))
+            missing = F.coalesce(F.col("cost") * (self.speed * (1 + 1e-9)), F.lit(float("inf"))) - out
+            short = asked.join(found.select(*keys, "cost"), list(keys), "left").agg(F.max(missing)).first()[0]
+            if short < 0:
+                return found
+            discard(*self.inside, found)
+            self.box = self.inside = None
+            if wide == _widened(box, margin):
+                margin = 4 * margin if math.isinf(short) else margin + short / len(ends) * 1.01 + 1.0
+
+
+def within_reach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], ends: tuple[str, ...] = ("src", "dst"), keys: tuple[str, ...] = ("src", "dst"), small: int = SMALL_NODES) -> DataFrame:
+    """A single search of a graph (``Town.search``)."""
+    return Town(nodes, edges, small).search(pairs, search, ends, keys)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
+import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +137,85 @@ def label_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     return reach.within_reach(pairs, nodes, edges, lambda some, roads: hublabels.paths(pairs, hublabels.hub_labels(some, roads, ends)))
 
 
+#: Edges of a graph that one task holds for searches, and sources times nodes up to which they are searched one by one.
+DIRECT_EDGES, DIRECT_WORK = 1 << 20, 1 << 24
+
+
+def _search(pairs: pd.DataFrame, edges: pd.DataFrame) -> Iterator[tuple[int, int, float, list[int]]]:
+    """src, dst, cost and path of the fastest way of each pair, from one search for each source (Dijkstra).
+
+    Of ways of equal cost that one is taken whose last nodes have the smallest ids, so it does not depend on what else the
+    graph holds.
+    """
+    ids, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    u, v = np.split(ends, 2)
+    order = np.lexsort((v, u))
+    heads, costs, first = v[order].tolist(), edges["travel_s"].to_numpy(dtype=float)[order].tolist(), np.searchsorted(u[order], np.arange(len(ids) + 1)).tolist()
+    place = {node: n for n, node in enumerate(ids.tolist())}
+    for src, own in pairs.groupby("src"):
+        left = {int(d) for d in own["dst"]}
+        if src in left:
+            yield int(src), int(src), 0.0, [int(src)]
+        wanted = {place[d] for d in left - {src} if d in place}
+        if src not in place:
+            continue
+        begin = place[src]
+        best, parent, done, heap = {begin: 0.0}, {begin: -1}, set(), [(0.0, begin)]
+        while heap and wanted:
+            cost, at = heapq.heappop(heap)
+            if at in done:
+                continue
+            done.add(at)
+            if at in wanted:
+                wanted.remove(at)
+                path, back = [], at
+                while back >= 0:
+                    path.append(int(ids[back]))
+                    back = parent[back]
+                yield int(src), int(ids[at]), cost, path[::-1]
+            for k in range(first[at], first[at + 1]):
+                to, way = heads[k], cost + costs[k]
+                known = best.get(to)
+                if known is None or way < known:
+                    best[to], parent[to] = way, at
+                    heapq.heappush(heap, (way, to))
+                elif way == known and at < parent[to] and to not in done:
+                    parent[to] = at
+
+
+def _direct_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, sources: int) -> DataFrame:
+    """src, dst, cost and path by a search for each source; sources are dealt over tasks, each of which holds the graph."""
+    known = nodes.where("node_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("node_id").cast("long").alias("node_id"))
+    of = lambda df: functools.reduce(lambda x, end: x.join(known.withColumnRenamed("node_id", end), end, "left_semi"), df.columns[:2], df)
+    blocks = max(1, min(sources, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    asked = of(pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    roads = of(edges.where("u <> v AND travel_s IS NOT NULL").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "travel_s"))
+
+    def run(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_search(own, graph) if len(own) else [], columns=["src", "dst", "cost", "path"])
+
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int"))
+    each = roads.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.groupBy("_block").cogroup(each.groupBy("_block")).applyInPandas(run, "src long, dst long, cost double, path array<long>")
+
+
+def fastest_paths(pairs: DataFrame, town: reach.Town) -> DataFrame:
+    """What ``label_paths`` gives, for a graph that may be asked again: few sources in a small part are searched one by one.
+
+    Labels cost many steps however few pairs there are; they are built where the searches would cost more.
+    """
+    asked = written(pairs.select("src", "dst").distinct(), "pairs")
+    sources = asked.select("src").distinct().count()
+    ends = asked.select(F.explode(F.array("src", "dst")).alias("node"))
+
+    def search(some: DataFrame, roads: DataFrame) -> DataFrame:
+        if sources * some.count() <= DIRECT_WORK and roads.count() <= DIRECT_EDGES:
+            return _direct_paths(asked, some, roads, sources)
+        return hublabels.paths(asked, hublabels.hub_labels(some, roads, ends))
+
+    return town.search(asked, search)
+
+
 def path_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """src, dst, cost, length_m and the path of each way."""
     legs = paths.where(F.size("path") > 1).select("src", "dst", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.size("path") - 1).alias("v"))).alias("at", "leg"))
@@ -259,13 +342,13 @@ def _with_points(ends: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFram
 def expected_paths(events: DataFrame, baselines: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """vehicle_id, trip and ``points`` (lat, lon of the nodes) of the way to each trip's expected destination."""
     ends = _trip_ends(trip_starts(events).where("starts"), baselines, nodes)
-    return _with_points(ends, label_paths(ends, nodes, edges), nodes)
+    return _with_points(ends, fastest_paths(ends, reach.Town(nodes, edges)), nodes)
 
 
-def trip_paths(starts: DataFrame, baselines: DataFrame, nodes: DataFrame, labels: hublabels.HubLabels | DataFrame) -> DataFrame:
-    """``expected_paths`` for trip starts (vehicle_id, trip, lat, lon), from labels that stand already or from the edges."""
+def trip_paths(starts: DataFrame, baselines: DataFrame, nodes: DataFrame, labels: hublabels.HubLabels | reach.Town) -> DataFrame:
+    """``expected_paths`` for trip starts (vehicle_id, trip, lat, lon), from labels that stand already or from the graph."""
     ends = _trip_ends(starts, baselines, nodes)
-    ways = hublabels.paths(ends, labels) if isinstance(labels, hublabels.HubLabels) else label_paths(ends, nodes, labels)
+    ways = hublabels.paths(ends, labels) if isinstance(labels, hublabels.HubLabels) else fastest_paths(ends, labels)
     return _with_points(ends, ways, nodes)
 
 

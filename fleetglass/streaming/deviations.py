@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.geo import DEGREE_LAT_M, DEGREE_M
-from ..operators import route
+from ..operators import reach, route
 from ..operators.fence import trusted
 from ..operators.hublabels import HubLabels
 from ..schema import OFF_PATH_M, OFF_PATH_S, SIGNAL
@@ -34,8 +34,8 @@ REQUEST = "vehicle_id string, trip long, lat double, lon double"
 ANSWER = "vehicle_id string, trip long, lats array<double>, lons array<double>"
 _ROW = "device_ts double, seq long, lat double, lon double, trip long"
 _ROW_NAMES = [x.split(" ")[0] for x in _ROW.split(", ")]
-#: Rows that are held against a path at once.
-BLOCK_ROWS = 1024
+#: Rows that are held against a path at once, and answers that go to one file.
+BLOCK_ROWS, FILE_ROWS = 1024, 1 << 14
 
 
 def _ignition_runs(ignition: np.ndarray, before: bool) -> np.ndarray:
@@ -51,7 +51,7 @@ class TripWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
         frame = pd.concat(list(rows)).sort_values(["device_ts", "seq"])
-        before, trip = self.state.get() if self.state.exists() else (False, 0)
+        before, trip = self.state.get() or (False, 0)
         ignition = frame["ignition"].to_numpy(dtype=bool)
         starts = _ignition_runs(ignition, before)
         trips = trip + np.cumsum(starts)
@@ -76,37 +76,45 @@ class OffPath(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
         frame = pd.concat(list(rows))
-        ignition, trip, at, since, told = self.state.get() if self.state.exists() else (False, 0, 0, None, False)
+        ignition, trip, at, since, told = self.state.get() or (False, 0, 0, None, False)
         answers, events = frame[frame["trip"].notna()], frame[frame["trip"].isna()].sort_values(["device_ts", "seq"])
+        # each call of the state is a message to the executor, so what this batch brings is put there only if it must stay
+        stored, fresh = {k[0] for k in self.paths.keys()}, {}
         for n, lats, lons in zip(answers["trip"], answers["lats"], answers["lons"], strict=True):
-            if n >= at and not self.paths.containsKey((int(n),)):
-                self.paths.updateValue((int(n),), ([float(x) for x in lats], [float(x) for x in lons]))
+            if n >= at and int(n) not in stored:
+                fresh.setdefault(int(n), ([float(x) for x in lats], [float(x) for x in lons]))
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        rest = pd.DataFrame(held, columns=_ROW_NAMES)
         if len(events):
             on = events["ignition"].to_numpy(dtype=bool)
             trips = trip + np.cumsum(_ignition_runs(on, ignition))
             ignition, trip = bool(on[-1]), int(trips[-1])
             events = events.assign(trip=trips)[on][_ROW_NAMES].astype({"trip": "int64", "seq": "int64"})
-            if len(events):
-                self.waiting.appendList([tuple(r) for r in events.astype(object).itertuples(index=False)])
-        out, rest = [], pd.DataFrame(self.waiting.get(), columns=_ROW_NAMES)
-        held = len(rest)
-        while len(rest) and self.paths.containsKey((int(rest["trip"].iloc[0]),)):
-            n = int(rest["trip"].iloc[0])
+            rest = pd.concat([rest, events], ignore_index=True) if held else events
+        out, new = [], len(rest) - len(held)
+        while len(rest) and ((n := int(rest["trip"].iloc[0])) in stored or n in fresh):
             if n != at:
                 at, since, told = n, None, False
             own = rest[rest["trip"] == n]
-            found, since = self._follow(own, *self.paths.getValue((n,)), since)
+            found, since = self._follow(own, *(fresh[n] if n in fresh else self.paths.getValue((n,))), since)
             if found and not told:
                 told = True
                 out.append((key[0], "ROUTE_DEVIATION", *found[:3], 1.0, {"off_path_s": str(found[3])}))
             rest = rest.iloc[len(own) :]
-        if len(rest) < held:
-            for (n,) in [k for k in self.paths.keys() if k[0] < at]:
+        for n in stored:
+            if n < at:
                 self.paths.removeKey((n,))
-            if len(rest):
-                self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
-            else:
-                self.waiting.clear()
+        for n, path in fresh.items():
+            if n >= at:
+                self.paths.updateValue((n,), path)
+        left = [tuple(r) for r in rest.astype(object).itertuples(index=False)]
+        if len(left) == len(held) + new:
+            if new:
+                self.waiting.appendList(left[len(held) :])
+        elif left:
+            self.waiting.put(left)
+        elif held:
+            self.waiting.clear()
         self.state.update((ignition, trip, at, since, told))
         if out:
             yield pd.DataFrame(out, columns=["vehicle_id", "code", "ts", "lat", "lon", "strength", "detail"])
@@ -144,23 +152,29 @@ def trip_requests(events: DataFrame) -> DataFrame:
 def path_sink(spark: SparkSession, root: str, baselines: DataFrame, nodes: DataFrame, labels: HubLabels | DataFrame) -> Callable[[DataFrame, int], None]:
     """Answers a batch of requests; a repeated batch finds its answers there, as readers may have seen them already.
 
-    ``labels`` are those of all nodes, for streams of many small batches, or the edges, from which each batch has labels of
-    its own requests' ends built.
+    ``labels`` are those of all nodes, for streams of many small batches, or the edges; then batches share what is known of
+    the graph, and each one's ways are searched in the part that its requests' ends need.
     """
     files = _files(spark, root)
+    town = reach.Town(nodes, labels) if isinstance(labels, DataFrame) else labels
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def write(batch: DataFrame, number: int) -> None:
         out = f"{root}/batch={number}"
         if files.exists(path(f"{out}/_SUCCESS")):
             return
-        starts = written(batch, "starts")
-        if starts.isEmpty():
+        asked = written(batch, "starts")
+        # a stream's own session plans without what the rows tell, so the answers are worked out in the caller's
+        starts = spark.read.schema(asked.schema).parquet(*asked.inputFiles())
+        n = starts.count()
+        if not n:
             return
-        found = route.trip_paths(starts, baselines, nodes, labels)
+        found = route.trip_paths(starts, baselines, nodes, town)
         of = lambda name: F.coalesce(F.transform("points", lambda p: p[name]), F.array().cast("array<double>")).alias(f"{name}s")
-        starts.join(found, ["vehicle_id", "trip"], "left").select("vehicle_id", "trip", of("lat"), of("lon")).write.mode("overwrite").parquet(out)
-        discard(starts)
+        answered = starts.join(found, ["vehicle_id", "trip"], "left").select("vehicle_id", "trip", of("lat"), of("lon"))
+        # readers may take a file a batch, so there are as many as the answers ask for and not as the join has tasks
+        answered.repartition(-(-n // FILE_ROWS), "vehicle_id", "trip").write.mode("overwrite").parquet(out)
+        discard(asked)
 
     return write
 
